@@ -20,9 +20,12 @@ from urllib.parse import urlparse
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import importable
+
 DOC = "doc_id"
 TEXT = "text"
 
@@ -70,6 +73,7 @@ def partitions(spark: SparkSession) -> int:
 
 
 def map_arrow(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterable[pa.RecordBatch]], schema: str) -> DataFrame:
+    importable(df.sparkSession)
     return df.mapInArrow(fn, schema)
 
 
@@ -84,7 +88,7 @@ def slices(batch: pa.RecordBatch, text: str = TEXT, most: int = 8_000_000) -> It
     if batch.num_rows < 2 or column.nbytes <= most:
         yield batch
         return
-    sizes = pa.compute.fill_null(pa.compute.binary_length(column), 0).to_numpy(zero_copy_only=False)
+    sizes = pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False)
     ends = np.cumsum(sizes, dtype=np.int64)
     first = 0
     while first < batch.num_rows:

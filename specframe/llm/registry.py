@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, secrets, token_counts, token_files
+from . import bpe, perplexity_rules, secrets, token_counts, token_files
 from .common import table
 
 
@@ -16,6 +16,11 @@ def op1_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.read_token_files(token_files.write_token_files(table(spark, sf_dir, "documents")))
 
 
+def op3_perplexity_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept (and perplexity)."""
+    return perplexity_rules.quality_rules(table(spark, sf_dir, "documents"))
+
+
 def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256."""
     return bpe.digests(table(spark, sf_dir, "documents"))
@@ -33,6 +38,7 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_token_files": op1_token_files,
+    "op3_perplexity_rules": op3_perplexity_rules,
     "op4_bpe": op4_bpe,
     "op8_secrets": op8_secrets,
     "op9_token_counts": op9_token_counts,

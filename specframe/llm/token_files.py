@@ -15,6 +15,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -60,7 +61,7 @@ def write_token_files(docs: DataFrame, folder: str | None = None, vocab: str | N
                     ids = [x + tail for x in enc.encode(texts_of(piece.column(TEXT)))]
                     rec = np.zeros(len(ids), dtype=OFFSETS)
                     docs_ = piece.column(DOC)
-                    rec["doc_id"] = pa.compute.fill_null(docs_.cast(pa.int64()), 0).to_numpy(zero_copy_only=False)
+                    rec["doc_id"] = pc.fill_null(docs_.cast(pa.int64()), 0).to_numpy(zero_copy_only=False)
                     rec["null"] = docs_.is_null().to_numpy(zero_copy_only=False)
                     rec["n"] = [len(x) // width for x in ids]
                     rec["start"] = total + np.cumsum(rec["n"]) - rec["n"]
