@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, perplexity_rules, secrets, token_counts, token_files
+from . import bpe, decontaminate, line_dedup, perplexity_rules, secrets, token_counts, token_files
 from .common import table
 
 
@@ -26,6 +26,16 @@ def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"))
 
 
+def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, contaminated, item_ids, similarity: every document against every benchmark item."""
+    return decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, n_lines, n_exact, n_near, kept_sha256."""
+    return line_dedup.line_report(table(spark, sf_dir, "documents"))
+
+
 def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, n_assign, n_access, n_hex, base_sha256, spans (and n_added)."""
     return secrets.find_secrets(table(spark, sf_dir, "documents"))
@@ -40,6 +50,8 @@ QUERIES = {
     "op1_token_files": op1_token_files,
     "op3_perplexity_rules": op3_perplexity_rules,
     "op4_bpe": op4_bpe,
+    "op6_decontaminate": op6_decontaminate,
+    "op7_line_dedup": op7_line_dedup,
     "op8_secrets": op8_secrets,
     "op9_token_counts": op9_token_counts,
 }
