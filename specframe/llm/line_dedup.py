@@ -212,9 +212,10 @@ def dropped_lines(docs: DataFrame) -> DataFrame:
 
 
 def _joined(docs: DataFrame) -> DataFrame:
-    gone = dropped_lines(docs).select("doc", "th", F.col("exact").alias("__exact"), F.col("near").alias("__near"))
-    with_ids = docs.withColumn("__doc", F.col(DOC).cast("long")).withColumn("__th", F.xxhash64(F.coalesce(F.col(TEXT), F.lit(""))))
-    return with_ids.join(gone, F.col("__doc").eqNullSafe(F.col("doc")) & (F.col("__th") == F.col("th")), "left")
+    null = F.lit(-(1 << 63))  # stands for a null id
+    gone = dropped_lines(docs).select(F.coalesce("doc", null).alias("__doc"), F.col("th").alias("__th"), F.col("exact").alias("__exact"), F.col("near").alias("__near"))
+    with_ids = docs.withColumn("__doc", F.coalesce(F.col(DOC).cast("long"), null)).withColumn("__th", F.xxhash64(F.coalesce(F.col(TEXT), F.lit(""))))
+    return with_ids.join(gone, ["__doc", "__th"], "left")
 
 
 _KEPT = """
@@ -236,7 +237,7 @@ def line_report(docs: DataFrame) -> DataFrame:
     j = _joined(docs.select(DOC, TEXT))
     kept = F.coalesce(F.expr(_KEPT.format(text=f"`{TEXT}`")), F.lit(""))
     return j.select(
-        F.col("__doc").alias(DOC),
+        F.col(DOC).cast("long").alias(DOC),
         F.size(F.split(F.coalesce(F.col(TEXT), F.lit("")), "\n", -1)).cast("long").alias("n_lines"),
         F.coalesce(F.size("__exact"), F.lit(0)).cast("long").alias("n_exact"),
         F.coalesce(F.size("__near"), F.lit(0)).cast("long").alias("n_near"),

@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontaminate, line_dedup, perplexity_rules, secrets, token_counts, token_files
+from . import bpe, decontaminate, line_dedup, near_dedup, perplexity_rules, secrets, token_counts, token_files
 from .common import table
 
 
@@ -26,6 +26,11 @@ def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"))
 
 
+def op5_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, class_id, class_size."""
+    return near_dedup.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, contaminated, item_ids, similarity: every document against every benchmark item."""
     return decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
@@ -50,6 +55,7 @@ QUERIES = {
     "op1_token_files": op1_token_files,
     "op3_perplexity_rules": op3_perplexity_rules,
     "op4_bpe": op4_bpe,
+    "op5_near_dedup": op5_near_dedup,
     "op6_decontaminate": op6_decontaminate,
     "op7_line_dedup": op7_line_dedup,
     "op8_secrets": op8_secrets,
