@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontaminate, line_dedup, near_dedup, perplexity_rules, secrets, token_counts, token_files
+from . import bpe, decontaminate, line_dedup, lm_scoring, near_dedup, perplexity_rules, quality, secrets, token_counts, token_files
 from .common import table
 
 
@@ -16,6 +16,11 @@ def op1_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.read_token_files(token_files.write_token_files(table(spark, sf_dir, "documents")))
 
 
+def op2_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, n_tokens, target_loss, background_loss, score, selected."""
+    return lm_scoring.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op3_perplexity_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept (and perplexity)."""
     return perplexity_rules.quality_rules(table(spark, sf_dir, "documents"))
@@ -51,8 +56,14 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(table(spark, sf_dir, "documents"))
 
 
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, probabilities and posteriors of quality and toxicity, kept."""
+    return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES = {
     "op1_token_files": op1_token_files,
+    "op2_lm_scoring": op2_lm_scoring,
     "op3_perplexity_rules": op3_perplexity_rules,
     "op4_bpe": op4_bpe,
     "op5_near_dedup": op5_near_dedup,
@@ -60,6 +71,7 @@ QUERIES = {
     "op7_line_dedup": op7_line_dedup,
     "op8_secrets": op8_secrets,
     "op9_token_counts": op9_token_counts,
+    "op10_quality": op10_quality,
 }
 
 SQL: dict[str, str] = {}
