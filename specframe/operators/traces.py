@@ -101,7 +101,7 @@ def extents(points: DataFrame, plot: str = "plot") -> DataFrame:
 def to_json(traces: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     """keys…, json: one document for each trace, its points in order."""
     points = F.array_sort(F.collect_list(F.struct(*dict.fromkeys([*order, "x", "y", "text"]))))
-    drawn = F.to_json(F.struct("p.x", "p.y", "p.text"), {"ignoreNullFields": "false"})
+    drawn = F.to_json(F.struct(*[F.col(f"p.{c}").alias(c) for c in ("x", "y", "text")]), {"ignoreNullFields": "false"})
     return traces.groupBy(*keys).agg(points.alias("p")).select(*keys, drawn.alias("json"))
 
 

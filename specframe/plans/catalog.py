@@ -77,7 +77,11 @@ def _terms(spark: SparkSession, d: str) -> DataFrame:
 
 SQL_TERMS = """terms AS (SELECT 'NA:' || n_nationkey AS id, n_name AS name, 'nation of region ' || n_regionkey AS def, 'RG:' || n_regionkey AS parent FROM nation
     UNION ALL SELECT 'RG:' || r_regionkey, r_name, NULL, NULL FROM region)"""
-RAW_ID = F.concat(F.lit("controllerType=0 controllerNumber=1 scan="), F.col("conv_id"))
+
+
+def _raw_id():
+    return F.concat(F.lit("controllerType=0 controllerNumber=1 scan="), F.col("conv_id"))
+
 
 
 # -- matching ------------------------------------------------------------------------------------------------------------
@@ -324,12 +328,12 @@ def scan_time_minutes(spark, d):
 
 @query("native_id_parse", """SELECT conv_id, turn, TRY_CAST(regexp_extract('controllerType=0 controllerNumber=1 scan=' || conv_id, '="?([0-9]+)"?>?$', 1) AS BIGINT) AS native_id FROM conversations""")
 def native_id_parse(spark, d):
-    return _t(spark, d, "conversations").select("conv_id", "turn", spectra.native_id(RAW_ID).alias("native_id"))
+    return _t(spark, d, "conversations").select("conv_id", "turn", spectra.native_id(_raw_id()).alias("native_id"))
 
 
 @query("id_map", "SELECT conv_id, turn, 0::BIGINT AS controller_type, 1::BIGINT AS controller_number, conv_id AS scan, 3::INT AS n FROM conversations")
 def id_map(spark, d):
-    m = spectra.id_map(RAW_ID)
+    m = spectra.id_map(_raw_id())
     return _t(spark, d, "conversations").select("conv_id", "turn", m["controllerType"].alias("controller_type"), m["controllerNumber"].alias("controller_number"), m["scan"].alias("scan"), F.size(m).alias("n"))
 
 
