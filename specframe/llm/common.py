@@ -63,9 +63,15 @@ def shared_folder(spark: SparkSession, what: str) -> str:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Materialise in the shared checkpoint folder; lost executors don't matter after it."""
-    checkpoint_root(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Materialise in the shared checkpoint folder; lost executors don't matter after it.
+
+    The result knows nothing of the plan before it.  (A plain checkpoint keeps
+    the plan's constraints, which multiply in loops.)
+    """
+    spark = df.sparkSession
+    checkpoint_root(spark)
+    done = df.checkpoint(eager=True)
+    return DataFrame(spark._jsparkSession.createDataFrame(done._jdf.javaRDD(), done._jdf.schema()), spark)
 
 
 def partitions(spark: SparkSession) -> int:

@@ -2,8 +2,9 @@
 
 A document is its set of five-word shingles (words between white space, lower
 case; all words where there are fewer than five), weighted by TF-IDF: the
-shingle's count times an inverse document frequency that falls from 2 for the
-rarest to 1 for a shingle of every document.  Document frequencies come from
+shingle's count times an inverse document frequency that falls from 1 + ``RISE``
+for the rarest to 1 for a shingle of every document.  (A steeper one would tell
+copies of frequent texts apart by their few own, rare shingles.)  Document frequencies come from
 one pass over all documents: each task adds up a sketch of ``SKETCH`` counters,
 Spark adds the tasks' sketches, and the median counter, which is what
 colliding shingles put into any counter, is taken off.  Relative to the number
@@ -14,13 +15,15 @@ sample's smallest value can only come from shingles whose gamma variates bound
 it from below, so those are tried first, and all others only where that bound
 doesn't settle it.
 
-Equal documents are one to begin with.  In every bucket of every band each
-member is held against one leader, the bucket's smallest; the pair is verified
-by exact weighted Jaccard similarity (``SIMILARITY`` or more) and links the
-two.  Members that fail get a leader among themselves, until none is left, so
-no bucket makes all its pairs.  First each member meets only the leader it
-shares most bands with; what that already joins needn't be verified again.
-Linked documents form classes by repeated minimum labels.
+Equal documents are one to begin with.  In every bucket of every band the
+members first meet one leader each, the one they share most bands with.  A pair
+that meets is verified by exact weighted Jaccard similarity (``SIMILARITY`` or
+more) and linked, and linked documents form classes, by repeated minimum
+labels.  Then, in buckets of several classes, members lead in turn (1, 4, 16 …
+at a time, those of the smallest classes first) and meet all that aren't in
+their class, until all but the largest class have led or one class is left.  So
+every pair of a bucket is either in one class or has been verified: no link is
+lost, and near copies never make all their pairs.
 
 Texts without words are equal to each other.  Rows that repeat an id are
 documents of their own if their texts differ.  A null id stays null, and a
@@ -35,13 +38,13 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import bloom
 from .common import DOC, TEXT, cut, map_arrow, mix64, shared_folder, slices, texts_of
 
-SHINGLE, SIMILARITY, ROWS, BANDS, SKETCH, SAMPLES, SEED = 5, 0.8, 5, 16, 1 << 18, 1 << 20, 11
+SHINGLE, SIMILARITY, RISE, ROWS, BANDS, SKETCH, SAMPLES, SEED = 5, 0.8, 0.25, 5, 16, 1 << 18, 1 << 20, 11
 _POWERS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63], dtype=np.uint64)
 _CACHE: dict = {}
 
@@ -94,7 +97,7 @@ class Idf:
     def __init__(self, counts: np.ndarray, documents: int):
         n = max(1, documents)
         df = np.clip(counts - np.median(counts), 0, n)
-        self.of = (1 + np.log((n + 1) / (df + 1)) / np.log(n + 1)).astype(np.float64)
+        self.of = 1 + RISE * np.log((n + 1) / (df + 1)) / np.log(n + 1)
 
     def weights(self, s: np.ndarray, n: np.ndarray) -> np.ndarray:
         return n * self.of[s & np.uint32(SKETCH - 1)]
@@ -315,12 +318,34 @@ def components(links: DataFrame) -> DataFrame:
         # A node takes its label's label, which halves the way to the least one.
         jump = labels.select(F.col("node").alias("class"), F.col("class").alias("further"))
         new = cut(lower.join(jump, "class", "left").select("node", "old", F.least(F.col("class"), F.coalesce("further", "class")).alias("class")))
-        if new.where("class <> old").isEmpty():
-            return new.select("node", "class")
         labels = new.select("node", "class")
+        if new.where("class <> old").isEmpty():
+            return labels
+
+
+def _merged(labels: DataFrame | None, links: DataFrame) -> DataFrame | None:
+    """Labels after some more links (a, b): only classes are joined, so the work is that of the new links."""
+    links = cut(links)
+    if links.isEmpty():
+        return labels
+    if labels is None:
+        return components(links)
+    ends = _labelled(links, labels).where("ca <> cb").select(F.col("ca").alias("a"), F.col("cb").alias("b"))
+    over = components(ends).toDF("class", "to")
+    nodes = labels.unionByName(links.select(F.col("a").alias("node")).union(links.select("b")).distinct().join(labels, "node", "left_anti").withColumn("class", F.col("node")))
+    return cut(nodes.join(over, "class", "left").select("node", F.coalesce("to", "class").alias("class")))
+
+
+def _labelled(pairs: DataFrame, labels: DataFrame | None) -> DataFrame:
+    """pairs with ca and cb, the classes of a and b; a node without links is its own class."""
+    if labels is None:
+        return pairs.withColumn("ca", F.col("a")).withColumn("cb", F.col("b"))
+    for x in ("a", "b"):
+        pairs = pairs.join(labels.select(F.col("node").alias(x), F.col("class").alias(f"c{x}")), x, "left").withColumn(f"c{x}", F.coalesce(f"c{x}", x))
+    return pairs
 
 
-def _classes(docs: DataFrame, similarity: float) -> tuple[DataFrame, DataFrame]:
+def _classes(docs: DataFrame, similarity: float) -> tuple[DataFrame, DataFrame | None]:
     """(node, doc, th of every document), (node, class of every linked node)."""
     sketch = document_frequencies(docs)
     raw = cut(_signatures(docs, sketch))
@@ -331,37 +356,42 @@ def _classes(docs: DataFrame, similarity: float) -> tuple[DataFrame, DataFrame]:
     wanted = members.groupBy("node").agg(F.first("rep").alias("rep")).select("node", "rep.doc", "rep.th")
     vectors = cut(_vectors(docs, wanted))
     open_ = members.select("key", "node")
-    links = None
-    label = None
-    first = True
+    # Each member's leader of the most bands first; of the others only what these don't join is verified.
+    least = open_.groupBy("key").agg(F.min("node").alias("b"))
+    most = open_.join(least, "key").where("node <> b").groupBy(F.col("node").alias("a"), "b").count().groupBy("a").agg(F.max_by("b", F.struct("count", "b")).alias("b"))
+    labels = _merged(None, _verified(most, vectors, sketch, similarity))
+    open_ = open_.withColumn("led", F.lit(False))
+    leaders = 1
     while True:
-        leaders = open_.groupBy("key").agg(F.min("node").alias("b"))
-        met = open_.join(leaders, "key").where("node <> b").select("key", F.col("node").alias("a"), "b")
-        if first:
-            # Each member's leader of the most bands; the rest waits for what these join.
-            most = met.groupBy("a", "b").count().groupBy("a").agg(F.max_by("b", F.struct("count", "b")).alias("b"))
-            links = cut(_verified(most, vectors, sketch, similarity))
-            label = components(links)
-            first = False
-        met = cut(met)
-        if met.isEmpty():
-            return raw.select("node", "doc", "th"), label
-        la = label.select(F.col("node").alias("a"), F.col("class").alias("ca"))
-        lb = label.select(F.col("node").alias("b"), F.col("class").alias("cb"))
-        told = met.join(la, "a", "left").join(lb, "b", "left").withColumn("joined", F.coalesce(F.col("ca") == F.col("cb"), F.lit(False)))
-        new = _verified(told.where("not joined").select("a", "b").distinct(), vectors, sketch, similarity)
-        links = cut(links.union(new))
-        label = components(links)
-        # Who isn't in the leader's class by now gets a leader among those like it.
-        la = label.select(F.col("node").alias("a"), F.col("class").alias("ca"))
-        lb = label.select(F.col("node").alias("b"), F.col("class").alias("cb"))
-        open_ = cut(met.join(la, "a", "left").join(lb, "b", "left").where(F.coalesce(F.col("ca") != F.col("cb"), F.lit(True))).select("key", F.col("a").alias("node")))
+        # Buckets of one class are done, and so are those all of whose members but the largest class's have led.
+        own = open_.withColumn("a", F.col("node")).withColumn("b", F.col("node"))
+        classed = cut(_labelled(own, labels).select("key", "node", "led", F.col("ca").alias("class")))
+        sizes = classed.groupBy("key", "class").agg(F.count("*").alias("n"))
+        largest = sizes.groupBy("key").agg(F.max_by("class", F.struct("n", "class")).alias("largest"), F.count("*").alias("classes")).where("classes > 1").drop("classes")
+        may = classed.where("not led").join(largest, "key").where("class <> largest").join(sizes, ["key", "class"])
+        order = Window.partitionBy("key").orderBy("n", "node")
+        first = cut(may.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= leaders).select("key", "node", "class"))
+        if first.isEmpty():
+            return raw.select("node", "doc", "th"), labels
+        lead = first.select("key", F.col("node").alias("b"), F.col("class").alias("cb"))
+        met = classed.where("not led").join(lead, "key").where("class <> cb").select(F.greatest("node", "b").alias("a"), F.least("node", "b").alias("b")).distinct()
+        labels = _merged(labels, _verified(met, vectors, sketch, similarity))
+        led = first.select("key", "node", F.lit(True).alias("now"))
+        keys = first.select("key").distinct()
+        open_ = cut(classed.join(keys, "key", "left_semi").join(led, ["key", "node"], "left").select("key", "node", (F.col("led") | F.coalesce("now", F.lit(False))).alias("led")))
+        leaders *= 4
+
+
+def _named(ids: DataFrame, labels: DataFrame | None) -> DataFrame:
+    if labels is None:
+        return ids.withColumn("class", F.col("node"))
+    return ids.join(labels, "node", "left").withColumn("class", F.coalesce("class", "node"))
 
 
 def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """doc_id, class_id (the least id of its class) and class_size, for every document."""
     ids, label = _classes(docs, similarity)
-    named = ids.join(label, "node", "left").withColumn("class", F.coalesce("class", "node"))
+    named = _named(ids, label)
     least = named.groupBy("class").agg(F.min("doc").alias("class_id"), F.count("*").alias("class_size"))
     return named.join(least, "class").select(F.col("doc").alias(DOC), "class_id", "class_size")
 
@@ -372,7 +402,7 @@ def keep_one(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     Of rows that agree in id and text one stays as well.
     """
     ids, label = _classes(docs, similarity)
-    named = ids.join(label, "node", "left").withColumn("class", F.coalesce("class", "node"))
+    named = _named(ids, label)
     kept = named.groupBy("class").agg(F.min(F.struct("doc", "th")).alias("k")).select(F.col("k.doc").alias("__doc"), F.col("k.th").alias("__th"))
     # The least long stands for a null id, so that both steps below use one shuffle.
     null = F.lit(-(1 << 63))
