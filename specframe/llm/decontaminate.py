@@ -23,15 +23,16 @@ empty documents are clean.  Items that repeat an id are all looked for.
 from __future__ import annotations
 
 from collections import Counter, defaultdict
-from collections.abc import Iterator
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark import Broadcast
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import importable
-from .common import DOC, TEXT, map_arrow, mix64, slices, texts_of
+from .common import DOC, TEXT, mix64, slices, texts_of
 
 SHINGLE, SIMILARITY, BITS, BLOCKS, RADIUS, MOST_ITEMS = 5, 0.8, 64, 8, 20, 100_000
 _POWERS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63], dtype=np.uint64)
@@ -222,24 +223,26 @@ def contamination(docs: DataFrame, benchmark: DataFrame, similarity: float = SIM
     )
 
 
-def _search_udf(docs: DataFrame, benchmark: DataFrame, similarity: float, most_items: int):
+def _search_udf(docs: DataFrame, benchmark: DataFrame, similarity: float, most_items: int) -> Column:
+    """(item_id, similarity) of each item found in a text."""
     importable(docs.sparkSession)
-    columns = []
-    for items in _item_blocks(benchmark, most_items):
-        sent = docs.sparkSession.sparkContext.broadcast(items)
-
-        @F.arrow_udf("array<struct<item_id: long, similarity: double>>")
-        def found(text: pa.Array, sent=sent) -> pa.Array:
-            index = _index(sent.value, similarity)
-            out = []
-            for piece in slices(pa.RecordBatch.from_arrays([text], [TEXT])):
-                out += [[{"item_id": index.ids[k], "similarity": v} for k, v in d.items()] for d in index.documents(texts_of(piece.column(TEXT)))]
-            return pa.array(out, pa.list_(pa.struct([("item_id", pa.int64()), ("similarity", pa.float64())])))
-
-        columns.append(found(F.col(TEXT)))
+    send = docs.sparkSession.sparkContext.broadcast
+    columns = [_finder(send(items), similarity)(F.col(TEXT)) for items in _item_blocks(benchmark, most_items)]
     return columns[0] if len(columns) == 1 else F.concat(*columns)
 
 
+def _finder(sent: Broadcast, similarity: float) -> Callable[[Column], Column]:
+    @F.arrow_udf("array<struct<item_id: long, similarity: double>>")
+    def found(text: pa.Array) -> pa.Array:
+        index = _index(sent.value, similarity)
+        out = []
+        for piece in slices(pa.RecordBatch.from_arrays([text], [TEXT])):
+            out += [[{"item_id": index.ids[k], "similarity": v} for k, v in d.items()] for d in index.documents(texts_of(piece.column(TEXT)))]
+        return pa.array(out, pa.list_(pa.struct([("item_id", pa.int64()), ("similarity", pa.float64())])))
+
+    return found
+
+
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY, most_items: int = MOST_ITEMS) -> DataFrame:
     """The documents in which no item is found, with all their columns."""
     return docs.where(F.size(_search_udf(docs, benchmark, similarity, most_items)) == 0)
