@@ -33,7 +33,7 @@ ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x2
 ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
 HEX = re.compile(r"[0-9a-f]{24,}")
 KINDS = ("assign", "access", "hex")
-LEAST, THRESHOLD, ALPHA, FLOOR = 20, 0.4, 0.05, math.log(1e-4)
+LEAST, THRESHOLD, ALPHA, FLOOR = 20, 0.75, 0.05, math.log(1e-4)
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_.=-]{%d,}" % LEAST)
 
 _UPPER, _LOWER, _DIGIT = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz", "0123456789"
@@ -70,9 +70,9 @@ def labelled(each: int = 150, seed: int = 7) -> dict[str, list[str]]:
             return of(_DIGIT, r.randint(20, 30))
         if 0.5 < kind < 0.6:
             text = of(_LOWER, r.randint(20, 36))  # a long word of any language
-        return text.upper() if 0.7 < kind < 0.8 else text.capitalize() if kind < 0.2 else text
+        return text.upper() if 0.6 < kind < 0.8 else text.capitalize() if kind < 0.2 else text
 
-    return {k: [f() for _ in range(each)] for k, f in makers.items()} | {"plain": [plain() for _ in range(4 * each)]}
+    return {k: [f() for _ in range(each)] for k, f in makers.items()} | {"plain": [plain() for _ in range(6 * each)]}
 
 
 class Automaton:
