@@ -159,6 +159,8 @@ def fit(docs: DataFrame, labels: DataFrame, share: int = SHARE) -> tuple[dict[st
     spark = docs.sparkSession
     vocab = vocabulary(docs, share)
     good = labels.groupBy(F.col(DOC).cast("long").alias("l")).agg(F.max(F.col("quality")).alias("q")).where("q = 1 and l is not null").select("l")
+    # Merged at every size: labels grow with the documents, so they are never sent to all tasks.
+    good = good.hint("merge")
     marked = docs.select(F.col(DOC).cast("long").alias("d"), F.col(TEXT)).join(good, F.col("d") == F.col("l"), "left").select(TEXT, F.col("l").isNotNull().alias("target"))
     counted = cut(bigram_counts(marked, vocab))
     folder = shared_folder(spark, "bigrams")
