@@ -50,6 +50,9 @@ def build(keys: DataFrame, key: Column) -> str:
     agg = map_arrow(keys.select(key.alias("key")), words, "word int, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits"))
     # At most 2**LOG2_BITS / 64 rows come together here, whatever the input.
     cut(map_arrow(agg.coalesce(1), store, "n long"))
+    if not os.path.exists(path):  # no keys, so no task stored anything
+        with open(path, "wb") as f:
+            f.truncate((1 << LOG2_BITS) // 8)
     return path
 
 

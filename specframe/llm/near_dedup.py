@@ -226,6 +226,8 @@ def document_frequencies(docs: DataFrame) -> str:
     salted = counted.withColumn("salt", F.pmod(F.spark_partition_id(), F.lit(64))).groupBy("part", "salt").applyInArrow(lambda t: _add_narrow(t), schema)
     added = salted.groupBy("part").applyInArrow(add, schema)
     cut(map_arrow(added.coalesce(1), store, "n long"))
+    if not os.path.exists(path):  # no document has words
+        np.zeros(SKETCH + 1, dtype="<i8").tofile(path)
     return path
 
 
