@@ -19,6 +19,8 @@ import numpy as np
 REMEMBERED = 400_000
 #: Letters that are one pre-token, alone and unchanged by composition.
 LETTERS = re.compile("[A-Za-zÀ-ÖØ-öø-įı-ɏ]+")
+#: Marks that are a pre-token of their own after letters.
+MARKS = frozenset(".,;:!?|")
 _LOADED: dict[tuple, object] = {}
 
 
@@ -85,6 +87,7 @@ class Encoder:
         self.dtype = np.dtype("<u2") if size <= 1 << 16 else np.dtype("<u4")
         self.known: dict[str, bytes] = {}
         self.remembered = remembered
+        self.marks = {"": b""} | {m: np.array(self.library.encode(m, add_special_tokens=False).ids, dtype=self.dtype).tobytes() for m in MARKS}
         if lower_words:
             self.ends = np.zeros(size, dtype=bool)
             for token, i in self.library.get_vocab(with_added_tokens=True).items():
@@ -96,11 +99,26 @@ class Encoder:
                 self.starts[i] = token.startswith("Ġ")
 
     def _encode(self, chunks: list[str], into: dict[str, bytes]) -> None:
-        easy, rest = [], []
+        words: set[str] = set()
+        composed: list[tuple[str, str, str]] = []  # chunk = word (in lower case, where case is dropped) and a mark
+        rest = []
+        known, lower = self.known, self.lower_words
         for chunk in chunks:
-            (easy if LETTERS.fullmatch(chunk if self.lower_words else chunk[1:]) and (self.lower_words or chunk[0] == " ") else rest).append(chunk)
-        if easy:
-            self._encode_words(easy, into)
+            tail = chunk[-1:] if chunk[-1:] in MARKS else ""
+            word = chunk[: len(chunk) - len(tail)]
+            if not LETTERS.fullmatch(word if lower else word[1:]) or not lower and word[0] != " ":
+                rest.append(chunk)
+                continue
+            if lower:
+                word = word.lower()
+            if word not in known:
+                words.add(word)
+            if tail or word != chunk:
+                composed.append((chunk, word, tail))
+        if words:
+            self._encode_words(list(words), into)
+        for chunk, word, tail in composed:
+            into[chunk] = (into[word] if word in words else known[word]) + self.marks[tail]
         if rest:
             for chunk, e in zip(rest, self.library.encode_batch_fast(rest, add_special_tokens=False)):
                 into[chunk] = np.array(e.ids, dtype=self.dtype).tobytes()
