@@ -12,10 +12,7 @@ from pyspark.sql import functions as F
 MS_LEVEL, SCAN_TIME, TIC, PROFILE = "MS:1000511", "MS:1000016", "MS:1000285", "MS:1000128"
 PRECURSOR_MZ, PRECURSOR_I, CHARGE, ISOLATION_TARGET = "MS:1000744", "MS:1000042", "MS:1000041", "MS:1000827"
 NEGATIVE, POSITIVE = "MS:1000129", "MS:1000130"
-CHROMATOGRAM_TYPES = (
-    "MS:1000235", "MS:1000627", "MS:1000628", "MS:1000789", "MS:1000810", "MS:1000811", "MS:1000812", "MS:1000813", "MS:1001472",
-    "MS:1001473", "MS:1001474", "MS:1002715", "MS:1002716", "MS:1003019", "MS:1003020", "MS:1000626", "MS:1000625", "MS:1003301",
-)
+CHROMATOGRAM_TYPES = tuple(f"MS:{n}" for n in (1000235, 1000627, 1000628, *range(1000810, 1000816), *range(1001472, 1001481)))
 
 
 # -- ids and times -----------------------------------------------------------------------------------------------------
