@@ -59,6 +59,10 @@ def build(keys: DataFrame, key: Column) -> str:
 _OPEN: dict[str, np.ndarray] = {}
 
 
+def forget_memory() -> None:
+    _OPEN.clear()
+
+
 def may_contain(path: str, keys: np.ndarray) -> np.ndarray:
     if (bits := _OPEN.get(path)) is None:
         _OPEN.clear()

@@ -33,6 +33,12 @@ _LOW = (1 << 32) - 1
 _LOADED: dict[str, Bpe] = {}
 
 
+def forget_memory() -> None:
+    for model in _LOADED.values():
+        model.chunks.clear()
+        model.words.clear()
+
+
 def byte_letters() -> dict[str, int]:
     """The letter that stands for each byte in the vocabulary file, reversed."""
     plain = [*range(33, 127), *range(161, 173), *range(174, 256)]

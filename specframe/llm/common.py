@@ -12,7 +12,10 @@ Conventions that hold for every operator of the subpackage:
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import os
+import sys
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
@@ -79,8 +82,40 @@ def partitions(spark: SparkSession) -> int:
 
 
 def map_arrow(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterable[pa.RecordBatch]], schema: str) -> DataFrame:
+    """``mapInArrow``; what other operators left in the worker's memory goes first."""
     importable(df.sparkSession)
-    return df.mapInArrow(fn, schema)
+    owner = fn.__module__
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release(owner)
+        yield from fn(batches)
+        trim()
+
+    return df.mapInArrow(run, schema)
+
+
+_OWNER: list[str] = []
+
+
+def release(owner: str) -> None:
+    """Let the worker forget what modules but ``owner`` remember, where another one used it last."""
+    if _OWNER == [owner]:
+        return
+    _OWNER[:] = [owner]
+    for name, module in list(sys.modules.items()):
+        if name.startswith(f"{__package__}.") and name != owner and (forget := getattr(module, "forget_memory", None)):
+            forget()
+    trim()
+
+
+def trim() -> None:
+    """Give free memory back to the machine, as far as the platform can."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):
+        pass
 
 
 def texts_of(column: pa.Array) -> list[str]:

@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import importable
-from .common import DOC, TEXT, mix64, slices, texts_of
+from .common import DOC, TEXT, mix64, release, slices, texts_of
 
 SHINGLE, SIMILARITY, BITS, BLOCKS, RADIUS, MOST_ITEMS = 5, 0.8, 64, 8, 20, 100_000
 _POWERS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63], dtype=np.uint64)
@@ -192,6 +192,10 @@ class Index:
 _INDEX: dict = {}
 
 
+def forget_memory() -> None:
+    _INDEX.clear()
+
+
 def _index(items: list[tuple[int, str]], similarity: float) -> Index:
     key = (len(items), hash(tuple(items)), similarity)
     if key not in _INDEX:
@@ -234,6 +238,7 @@ def _search_udf(docs: DataFrame, benchmark: DataFrame, similarity: float, most_i
 def _finder(sent: Broadcast, similarity: float) -> Callable[[Column], Column]:
     @F.arrow_udf("array<struct<item_id: long, similarity: double>>")
     def found(text: pa.Array) -> pa.Array:
+        release(__name__)
         index = _index(sent.value, similarity)
         out = []
         for piece in slices(pa.RecordBatch.from_arrays([text], [TEXT])):

@@ -49,6 +49,10 @@ _POWERS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9,
 _CACHE: dict = {}
 
 
+def forget_memory() -> None:
+    _CACHE.clear()
+
+
 def words_of(text: str) -> list[str]:
     return text.lower().split()
 

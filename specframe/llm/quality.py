@@ -46,6 +46,10 @@ WORD = re.compile(r"\w+")
 _WORDS: dict[str, int] = {}
 
 
+def forget_memory() -> None:
+    _WORDS.clear()
+
+
 def _number(feature: str) -> int:
     if (n := _WORDS.get(feature)) is None:
         n = xxhash.xxh3_64_intdigest(feature) >> 1

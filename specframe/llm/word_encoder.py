@@ -24,6 +24,12 @@ MARKS = frozenset(".,;:!?|")
 _LOADED: dict[tuple, object] = {}
 
 
+def forget_memory() -> None:
+    for (kind, *_), found in _LOADED.items():
+        if kind == "encoder":
+            found.known.clear()
+
+
 def tokenizer(path: str):
     """The library's tokenizer of a file, without truncation and padding, once per process."""
     if (found := _LOADED.get(("file", path))) is None:
