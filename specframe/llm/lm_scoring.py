@@ -2,17 +2,19 @@
 
 Both models have the same form and share one vocabulary.  The background is
 counted over all documents, the target over those labelled good.  The
-vocabulary holds every word that makes up at least 1 / ``SHARE`` of all words
-of the corpus, so at most ``SHARE`` words; all others are one symbol.  Spark
-counts words, then bigrams for both models.  Bigrams are interpolated with
-unigrams by the diversity of what follows the first word (Witten-Bell), and
-unigrams have one added to their count.
-
-The bigram counts, which grow with the corpus, lie in files sorted by bigram,
-one for each range, that workers map and search; what all workers hold in
-memory is bounded by the vocabulary.  A document's score is its mean loss in
-bits per word under the target less that under the background: the lower, the
-more it is like the target.
+vocabulary holds every word that occurs ``LEAST`` times or more in the corpus,
+so it grows with the corpus; words that occur once are one symbol.  (Callers
+may ask for a smaller one by ``share``.)  Spark counts words, then bigrams for
+both models.  Bigrams are interpolated with unigrams by the diversity of what
+follows the first word (Witten-Bell), and unigrams have one added to their
+count.
+
+Words, by the 64-bit hash that stands for them, bigrams and the figures of
+each word all grow with the corpus.  They lie in sorted files, one for each
+shuffle partition, that workers map and search; nothing of them is broadcast or
+collected.
+A document's score is its mean loss in bits per word under the target less that
+under the background: the lower, the more it is like the target.
 
 Null and empty texts have no words and null losses.  Without labelled
 documents the target has no counts and knows only the vocabulary.  Labels that
@@ -24,26 +26,33 @@ from __future__ import annotations
 
 import os
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import DOC, TEXT, cut, map_arrow, partitions, shared_folder, slices, texts_of
 
-SHARE, OTHER, BEGIN, THRESHOLD = 20_000, 0, 1, 1.0
+LEAST, OTHER, BEGIN, THRESHOLD = 2, 0, 1, 1.0
+#: Words whose number a worker remembers; this changes speed only.
+REMEMBERED = 500_000
 _CACHE: dict = {}
 
 
+def forget_memory() -> None:
+    _CACHE.clear()
+
+
 def words_of(text: str) -> list[str]:
     return text.lower().split()
 
 
 def word_counts(docs: DataFrame) -> DataFrame:
-    """word, n over all documents."""
+    """word (its hash), n over parts of the documents."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: Counter = Counter()
@@ -56,43 +65,152 @@ def word_counts(docs: DataFrame) -> DataFrame:
                     counts.clear()
         yield _counted(counts)
 
-    return map_arrow(docs.select(TEXT), run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    return map_arrow(docs.select(TEXT), run, "word long, n long")
 
 
 def _counted(counts: Counter) -> pa.RecordBatch:
-    return pa.RecordBatch.from_pydict({"word": pa.array(list(counts), pa.string()), "n": pa.array(list(counts.values()), pa.int64())})
+    return pa.RecordBatch.from_pydict({"word": pa.array(hashes(counts)), "n": pa.array(list(counts.values()), pa.int64())})
+
+
+def hashes(words: Iterable[str]) -> np.ndarray:
+    return np.array([xxhash.xxh3_64_intdigest(w.encode("utf-8", "replace")) for w in words], dtype=np.uint64).view(np.int64)
+
+
+def partition_of(keys: np.ndarray, parts: int) -> np.ndarray:
+    """Where Spark's hash partitioning puts a long: Murmur3 of its two halves, seed 42."""
+    h = np.full(len(keys), 42, dtype=np.uint32)
+    both = keys.view(np.uint64)
+    with np.errstate(over="ignore"):
+        for half in (both & np.uint64(0xFFFFFFFF), both >> np.uint64(32)):
+            k = half.astype(np.uint32) * np.uint32(0xCC9E2D51)
+            h ^= (k << np.uint32(15) | k >> np.uint32(17)) * np.uint32(0x1B873593)
+            h = (h << np.uint32(13) | h >> np.uint32(19)) * np.uint32(5) + np.uint32(0xE6546B64)
+        h ^= np.uint32(8)
+        for shift, by in ((16, 0x85EBCA6B), (13, 0xC2B2AE35)):
+            h = (h ^ h >> np.uint32(shift)) * np.uint32(by)
+        h ^= h >> np.uint32(16)
+    return h.view(np.int32).astype(np.int64) % parts
+
+
+class Sorted:
+    """Distinct keys and their values in mapped files, one for each partition, sorted by the key in each."""
+
+    def __init__(self, folder: str, names: tuple[str, ...], parts: int):
+        self.folder, self.names, self.parts = folder, names, parts
+        self.maps: dict[int, list[np.ndarray] | None] = {}
+
+    def find(self, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+        """The part of each of the keys, its row there (-1 where there is none) and its values (0 where there is none)."""
+        part = partition_of(wanted, self.parts)
+        row = np.full(len(wanted), -1, dtype=np.int64)
+        values = [np.zeros(len(wanted), dtype=np.int64) for _ in self.names[1:]]
+        order = np.argsort(part, kind="stable")
+        edges = np.searchsorted(part[order], np.arange(self.parts + 1))
+        for p in np.flatnonzero(np.diff(edges)).tolist():
+            if p not in self.maps:
+                paths = [os.path.join(self.folder, f"{x}-{p}.npy") for x in self.names]
+                self.maps[p] = [np.load(x, mmap_mode="r") for x in paths] if os.path.exists(paths[0]) else None
+            if self.maps[p] is None:
+                continue
+            own = order[edges[p] : edges[p + 1]]
+            keys, *columns = self.maps[p]
+            at = np.minimum(np.searchsorted(keys, wanted[own]), len(keys) - 1)
+            there = keys[at] == wanted[own]
+            row[own] = np.where(there, at, -1)
+            for out, column in zip(values, columns):
+                out[own] = np.where(there, column[at], 0)
+        return part, row, values
+
+
+def store(rows: DataFrame, what: str, told: Callable[[int, list[np.ndarray]], pa.RecordBatch], schema: str, where: str = "true", names: tuple[str, ...] | None = None, add: Callable = F.sum) -> tuple[Sorted, DataFrame]:
+    """Add up rows of longs by the first column and store those that fulfil ``where``; and what each task tells of its rows, once run."""
+    spark = rows.sparkSession
+    key, *values = rows.columns
+    names, parts, folder = names or tuple(rows.columns), partitions(spark), shared_folder(spark, what)
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        task = TaskContext.get()
+        part = task.partitionId()
+        held = [[c.to_numpy() for c in b.columns] for b in batches if b.num_rows]
+        if not held:
+            return
+        arrays = [np.concatenate(x) for x in zip(*held)]
+        held.clear()
+        if (partition_of(arrays[0], parts) != part).any():
+            raise RuntimeError("rows aren't where hash partitioning puts them")
+        for name, x in zip(names, arrays):
+            if name != names[0] and x.max() < 1 << 31:
+                x = x.astype(np.int32)
+            own = os.path.join(folder, f"{name}-{part}.{task.taskAttemptId()}.npy")
+            np.save(own, x)
+            os.replace(own, os.path.join(folder, f"{name}-{part}.npy"))
+        yield told(part, arrays)
+
+    # Workers have added up their own rows, so they are shuffled as they are; the number of partitions is fixed, so none are merged.
+    added = rows.repartition(parts, key).groupBy(key).agg(*(add(x).alias(x) for x in values)).where(where).select(*names).sortWithinPartitions(key)
+    return Sorted(folder, names, parts), map_arrow(added, run, schema)
 
-def vocabulary(docs: DataFrame, share: int = SHARE) -> dict[str, int]:
-    """Word -> number, from 2 on; at most ``share`` words, by their definition."""
-    counts = cut(word_counts(docs))
-    total = counts.agg(F.sum("n")).first()[0] or 0
-    kept = counts.where(F.col("n") * share >= total).select("word").collect() if total else []
-    return {w: k for k, w in enumerate(sorted(r[0] for r in kept), start=2)}
 
+class Vocabulary:
+    """Word -> number, from 2 on, by its hash; OTHER for all that is not in it."""
 
-def grams(lists: list[list[str]], vocab: dict[str, int]) -> tuple[np.ndarray, np.ndarray]:
+    def __init__(self, words: Sorted, sizes: dict[int, int]):
+        self.words = words
+        self.size = sum(sizes.values())
+        n = np.array([sizes.get(p, 0) for p in range(words.parts)], dtype=np.int64)
+        self.first = np.cumsum(n) - n + 2
+
+    def numbers(self, lists: list[list[str]], total: int) -> np.ndarray:
+        if _CACHE.get("folder") != self.words.folder:
+            _CACHE.clear()
+            _CACHE["folder"], _CACHE["known"] = self.words.folder, {}
+        known = _CACHE["known"]
+        new = list({w for x in lists for w in x if w not in known})
+        if new:
+            if len(known) > REMEMBERED:
+                known.clear()
+                new = list({w for x in lists for w in x})
+            h = hashes(new)
+            at = np.argsort(h)
+            part, row, _ = self.words.find(h[at])
+            number = np.empty(len(new), dtype=np.int64)
+            number[at] = np.where(row >= 0, self.first[part] + row, OTHER)
+            known.update(zip(new, number.tolist()))
+        return np.fromiter((known[w] for x in lists for w in x), dtype=np.int64, count=total)
+
+
+def vocabulary(docs: DataFrame, share: int | None = None) -> Vocabulary:
+    """The words that occur LEAST times or more, or with ``share``, that make up 1 / share of all words or more."""
+    counts, least = word_counts(docs), LEAST
+    if share is not None:
+        least = ((counts.agg(F.sum("n")).first()[0] or 0) + share - 1) // share
+    words, told = store(counts, "vocabulary", lambda part, x: pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "n": pa.array([len(x[0])], pa.int64())}), "part int, n long", f"n >= {least}", ("word",))
+    return Vocabulary(words, dict(map(tuple, cut(told).collect())))
+
+
+def grams(lists: list[list[str]], vocab: Vocabulary) -> tuple[np.ndarray, np.ndarray]:
     """(previous << 32 | word) of each word of each text, and how many words each text has."""
     sizes = np.array([len(x) for x in lists], dtype=np.int64)
-    total = int(sizes.sum())
-    get = vocab.get
-    ids = np.fromiter((get(w, OTHER) for x in lists for w in x), dtype=np.int64, count=total)
+    ids = vocab.numbers(lists, int(sizes.sum()))
     before = np.empty_like(ids)
     before[1:] = ids[:-1]
     before[(np.cumsum(sizes) - sizes)[sizes > 0]] = BEGIN
     return before << 32 | ids, sizes
 
 
-def bigram_counts(docs: DataFrame, vocab: dict[str, int]) -> DataFrame:
-    """gram, n and n_target; docs have text and target."""
-    sent = docs.sparkSession.sparkContext.broadcast(vocab)
+def bigram_counts(docs: DataFrame, vocab: Vocabulary, good: Sorted) -> DataFrame:
+    """gram, n and n_target over parts of the documents; targets are those whose id is stored as good."""
+    sent = docs.sparkSession.sparkContext.broadcast((vocab, good))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        vocab, good = sent.value
         for batch in batches:
             for piece in slices(batch):
-                gram, sizes = grams([words_of(t) for t in texts_of(piece.column(TEXT))], sent.value)
-                target = np.repeat(piece.column("target").to_numpy(zero_copy_only=False), sizes)
+                gram, sizes = grams([words_of(t) for t in texts_of(piece.column(TEXT))], vocab)
+                ids = piece.column(DOC)
+                found = (good.find(ids.fill_null(0).to_numpy())[1] >= 0) & ids.is_valid().to_numpy(zero_copy_only=False)
+                target = np.repeat(found, sizes)
                 held.append(_summed(gram, np.ones(len(gram), dtype=np.int64), target.astype(np.int64)))
                 if sum(len(x[0]) for x in held) > 3_000_000:
                     held = [_summed(*map(np.concatenate, zip(*held)))]
@@ -101,7 +219,7 @@ def bigram_counts(docs: DataFrame, vocab: dict[str, int]) -> DataFrame:
         if held:
             yield _batch(_summed(*map(np.concatenate, zip(*held))))
 
-    return map_arrow(docs.select(TEXT, "target"), run, "gram long, n long, n_target long").groupBy("gram").agg(F.sum("n").alias("n"), F.sum("n_target").alias("n_target"))
+    return map_arrow(docs.select(F.col(DOC).cast("long").alias(DOC), F.col(TEXT)), run, "gram long, n long, n_target long")
 
 
 def _summed(gram: np.ndarray, n: np.ndarray, t: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -117,82 +235,55 @@ def _batch(x: tuple[np.ndarray, np.ndarray, np.ndarray]) -> pa.RecordBatch:
     return pa.RecordBatch.from_pydict({"gram": pa.array(x[0]), "n": pa.array(x[1]), "n_target": pa.array(x[2])})
 
 
+FIGURES = ("after", "after_target", "kinds", "kinds_target", "one", "one_target")
+
+
+def _figures(_: int, x: list[np.ndarray]) -> pa.RecordBatch:
+    """What a part's sorted bigrams add to the figures of each word."""
+    gram, n, t = x
+    w, back = np.unique(np.concatenate((gram >> 32, gram & 0xFFFFFFFF)), return_inverse=True)
+    first, second = back[: len(gram)], back[len(gram) :]
+
+    def added(at: np.ndarray, weights: np.ndarray) -> np.ndarray:
+        return np.bincount(at, weights=weights, minlength=len(w)).astype(np.int64)
+
+    figures = (added(first, n), added(first, t), np.bincount(first, minlength=len(w)), added(first, t > 0), added(second, n), added(second, t))
+    return pa.RecordBatch.from_pydict({"w": pa.array(w)} | {k: pa.array(v) for k, v in zip(FIGURES, figures)})
+
+
 class Model:
-    """What workers keep: unigram and context figures by word (bounded), and the mapped bigram files."""
+    """The mapped bigram counts, and the mapped unigram and context figures of each word."""
 
-    def __init__(self, folder: str, files: list[tuple[int, int, int]], words: dict[str, np.ndarray]):
-        self.folder = folder
-        self.files = sorted(files, key=lambda f: f[1])
-        self.words = words
-        self.maps: dict[int, tuple] = {}
-
-    def counts(self, gram: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """n and n_target of ascending bigrams, 0 where unseen."""
-        n, t = np.zeros(len(gram), dtype=np.int64), np.zeros(len(gram), dtype=np.int64)
-        for part, low, high in self.files:
-            a, b = np.searchsorted(gram, low), np.searchsorted(gram, high, side="right")
-            if a == b:
-                continue
-            if part not in self.maps:
-                self.maps[part] = tuple(np.load(os.path.join(self.folder, f"{x}-{part}.npy"), mmap_mode="r") for x in ("gram", "n", "t"))
-            keys, ns, ts = self.maps[part]
-            at = np.minimum(np.searchsorted(keys, gram[a:b]), len(keys) - 1)
-            there = keys[at] == gram[a:b]
-            n[a:b] = np.where(there, ns[at], 0)
-            t[a:b] = np.where(there, ts[at], 0)
-        return n, t
+    def __init__(self, bigrams: Sorted, words: Sorted, totals: tuple[int, int], size: int):
+        self.bigrams, self.words, self.totals, self.size = bigrams, words, totals, size
 
     def losses(self, gram: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Bits of each bigram's second word under target and background."""
         unique, back = np.unique(gram, return_inverse=True)
-        first, second = unique >> 32, unique & 0xFFFFFFFF
+        firsts, first = np.unique(unique >> 32, return_inverse=True)
+        seconds, second = np.unique(unique & 0xFFFFFFFF, return_inverse=True)
+        counts, after, before = self.bigrams.find(unique)[2], self.words.find(firsts)[2], self.words.find(seconds)[2]
         out = []
-        for c, which in zip(self.counts(unique)[::-1], ("target", "background")):
-            w = self.words
-            total, kinds, one = w[f"{which}_after"][first], w[f"{which}_kinds"][first], w[f"{which}_unigram"][second]
-            p = np.where(total > 0, (c + kinds * one) / np.maximum(total + kinds, 1), one)
+        for k in (1, 0):
+            total, kinds, one = after[k][first], after[2 + k][first], ((before[4 + k] + 1) / (self.totals[k] + self.size))[second]
+            p = np.where(total > 0, (counts[k] + kinds * one) / np.maximum(total + kinds, 1), one)
             out.append(-np.log2(p)[back])
         return out[0], out[1]
 
 
-def fit(docs: DataFrame, labels: DataFrame, share: int = SHARE) -> tuple[dict[str, int], Model]:
-    spark = docs.sparkSession
+def fit(docs: DataFrame, labels: DataFrame, share: int | None = None) -> tuple[Vocabulary, Model]:
     vocab = vocabulary(docs, share)
-    good = labels.groupBy(F.col(DOC).cast("long").alias("l")).agg(F.max(F.col("quality")).alias("q")).where("q = 1 and l is not null").select("l")
-    # Merged at every size: labels grow with the documents, so they are never sent to all tasks.
-    good = good.hint("merge")
-    marked = docs.select(F.col(DOC).cast("long").alias("d"), F.col(TEXT)).join(good, F.col("d") == F.col("l"), "left").select(TEXT, F.col("l").isNotNull().alias("target"))
-    counted = cut(bigram_counts(marked, vocab))
-    folder = shared_folder(spark, "bigrams")
-
-    def store(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        task = TaskContext.get()
-        part = task.partitionId()
-        held = [(b.column(0).to_numpy(), b.column(1).to_numpy(), b.column(2).to_numpy()) for b in batches if b.num_rows]
-        if not held:
-            return
-        arrays = [np.concatenate(x) for x in zip(*held)]
-        for name, x in zip(("gram", "n", "t"), arrays):
-            own = os.path.join(folder, f"{name}-{part}.{task.taskAttemptId()}.npy")
-            np.save(own, x)
-            os.replace(own, os.path.join(folder, f"{name}-{part}.npy"))
-        yield pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "low": arrays[0][:1], "high": arrays[0][-1:]})
-
-    files = cut(map_arrow(counted.repartitionByRange(partitions(spark), "gram").sortWithinPartitions("gram"), store, "part int, low long, high long"))
-    size = len(vocab) + 2
-    words = {f"{w}_{k}": np.zeros(size) for w in ("target", "background") for k in ("after", "kinds", "unigram")}
-    after = counted.groupBy(F.shiftright("gram", 32).alias("w")).agg(F.sum("n"), F.count("*"), F.sum("n_target"), F.count_if(F.col("n_target") > 0))
-    for w, n, kinds, t, t_kinds in after.collect():  # at most one row for each word of the vocabulary
-        words["background_after"][w], words["background_kinds"][w], words["target_after"][w], words["target_kinds"][w] = n, kinds, t, t_kinds
-    for w, n, t in counted.groupBy(F.col("gram").bitwiseAND(0xFFFFFFFF).alias("w")).agg(F.sum("n"), F.sum("n_target")).collect():
-        words["background_unigram"][w], words["target_unigram"][w] = n, t
-    for which in ("target", "background"):
-        c = words[f"{which}_unigram"]
-        words[f"{which}_unigram"] = (c + 1) / (c.sum() + size)
-    return vocab, Model(folder, [tuple(r) for r in files.collect()], words)
-
-
-def score(docs: DataFrame, labels: DataFrame, share: int = SHARE, threshold: float = THRESHOLD) -> DataFrame:
+    # Labels grow with the documents: stored and mapped, so that neither they nor the texts are sent to meet.
+    marks = labels.select(F.col(DOC).cast("long").alias("l"), F.col("quality").alias("q")).where("l is not null")
+    good, told = store(marks, "labels", lambda _, x: pa.RecordBatch.from_pydict({"n": pa.array([len(x[0])], pa.int64())}), "n long", "q = 1", ("l",), F.max)
+    cut(told)
+    bigrams, by_word = store(bigram_counts(docs, vocab, good), "bigrams", _figures, f"w long, {', '.join(f'{x} long' for x in FIGURES)}")
+    words, told = store(by_word, "words", lambda _, x: pa.RecordBatch.from_pydict({"n": [int(x[5].sum())], "t": [int(x[6].sum())]}), "n long, t long")
+    n, t = cut(told).agg(F.sum("n"), F.sum("t")).first()
+    return vocab, Model(bigrams, words, (n or 0, t or 0), vocab.size + 2)
+
+
+def score(docs: DataFrame, labels: DataFrame, share: int | None = None, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, n_tokens, target_loss, background_loss, score, selected (score <= threshold; null without words)."""
     vocab, model = fit(docs, labels, share)
     sent = docs.sparkSession.sparkContext.broadcast((vocab, model))

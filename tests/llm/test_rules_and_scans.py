@@ -156,6 +156,35 @@ def test_scores_against_brute_force(spark):
     assert lm_scoring.score(df, lab.limit(0)).count() == len(docs)
 
 
+def test_vocabulary_grows_with_the_corpus(spark):
+    """Every word that occurs twice has bigrams of its own, however small its share; only single words are one symbol."""
+    r = random.Random(12)
+    docs = [(k, prose(r, 120) + f" rare{k // 2} pair{k // 2} single{k} mat") for k in range(450)]
+    labels = [(k, int(k % 4 == 0)) for k in range(450)]
+    df, lab = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, quality int")
+    n = Counter(w for _, t in docs for w in t.lower().split())
+    assert 2 * 20_000 < sum(n.values())
+    lists = {k: [w if n[w] > 1 else "?" for w in t.lower().split()] for k, t in docs}
+    size = len({w for x in lists.values() for w in x} - {"?"}) + 2
+    c = [Counter(p for k in lists if not t or k % 4 == 0 for p in zip(["^", *lists[k]], lists[k])) for t in (0, 1)]
+    after, kinds, one = ([Counter() for _ in c] for _ in range(3))
+    for m in (0, 1):
+        for (a, b), x in c[m].items():
+            after[m][a] += x
+            kinds[m][a] += 1
+            one[m][b] += x
+
+    def loss(m, a, b):
+        u = (one[m][b] + 1) / (sum(one[m].values()) + size)
+        return -math.log2((c[m][a, b] + kinds[m][a] * u) / (after[m][a] + kinds[m][a]) if after[m][a] else u)
+
+    got = {x.doc_id: x for x in lm_scoring.score(df, lab).collect()}
+    for k in range(0, 450, 9):
+        p = list(zip(["^", *lists[k]], lists[k]))
+        assert math.isclose(got[k].target_loss, sum(loss(1, *x) for x in p) / len(p), rel_tol=1e-9)
+        assert math.isclose(got[k].background_loss, sum(loss(0, *x) for x in p) / len(p), rel_tol=1e-9)
+
+
 # -- quality classifier -----------------------------------------------------------------------------------------------------
 
 
