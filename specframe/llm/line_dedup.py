@@ -1,7 +1,7 @@
 """Line dedup: exact, and within one word by a deletion-neighbourhood join.
 
-A line counts by its words (between white space).  Lines of fewer than
-``LEAST`` words are left alone.  Of equal lines the earliest stays, by doc_id,
+A line counts by its words (between white space).  Every line with a word is
+compared exactly; blank lines are left alone.  Of equal lines the earliest stays, by doc_id,
 hash of the text and number of the line.  A line of ``NEAR`` words or more also
 goes if an earlier line of the corpus can be made from it by one insertion,
 deletion or substitution of a word, whether or not that line itself stays.
@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from . import bloom
 from .common import DOC, TEXT, cut, map_arrow, slices, texts_of
 
-LEAST, NEAR = 5, 8
+LEAST, NEAR = 1, 8
 REF = "doc long, th long, line int"
 
 

@@ -189,6 +189,13 @@ def test_lines_against_brute_force(spark):
     assert line_dedup.line_dedup(df.limit(0)).count() == 0
 
 
+def test_short_and_unspaced_lines_are_compared_exactly(spark):
+    line = "\u8fd9\u662f\u4e00\u4e2a\u6bb5\u843d" * 20
+    df = spark.createDataFrame([(1, f"{line}\n\nhome page\nown one"), (2, f"own two\n{line}\n\nhome  page")], "doc_id long, text string")
+    assert {x.doc_id: x.text for x in line_dedup.line_dedup(df).collect()} == {1: f"{line}\n\nhome page\nown one", 2: "own two\n"}
+    assert {x.doc_id: x.n_exact for x in line_dedup.line_report(df).collect()} == {1: 0, 2: 2}
+
+
 # -- decontamination ---------------------------------------------------------------------------------------------------------
 
 
