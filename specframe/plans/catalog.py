@@ -9,6 +9,7 @@ doubles depend on their order.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -477,43 +478,55 @@ def _top(spark, d):
 
 
 @query("stick_trace", SQL_TOP + " SELECT plot, x AS at, p::INT AS pos, CASE WHEN p < 3 THEN x END AS x, CASE p WHEN 0 THEN 0.0 WHEN 1 THEN y WHEN 2 THEN 0.0 END::DOUBLE AS y FROM top, range(4) r(p)")
-def stick_trace(spark, d):
-    return traces.trace(_top(spark, d).withColumn("at", F.col("x")), "sticks", ["plot", "at"]).drop("text")
+def stick_trace(spark, d, points_of=_top):
+    return traces.trace(points_of(spark, d).withColumn("at", F.col("x")), "sticks", ["plot", "at"]).drop("text")
 
 
 @query(
     "triangle_trace",
     SQL_TOP + ", w AS (SELECT *, max(x) OVER (PARTITION BY plot) / 100 AS w FROM top) SELECT plot, x AS at, p::INT AS pos, round(CASE p WHEN 0 THEN x - w WHEN 1 THEN x WHEN 2 THEN x + w END, 6) AS x, CASE p WHEN 0 THEN 0.0 WHEN 1 THEN y WHEN 2 THEN 0.0 END::DOUBLE AS y FROM w, range(4) r(p)",
 )
-def triangle_trace(spark, d):
-    return traces.trace(_top(spark, d).withColumn("at", F.col("x")), "triangle.medium", ["plot", "at"]).withColumn("x", F.round("x", 6)).drop("text")
+def triangle_trace(spark, d, points_of=_top):
+    return traces.trace(points_of(spark, d).withColumn("at", F.col("x")), "triangle.medium", ["plot", "at"]).withColumn("x", F.round("x", 6)).drop("text")
 
 
 @query(
     "label_trace",
     SQL_TOP + ", w AS (SELECT *, x + 1 AS x1, max(y) OVER (PARTITION BY plot) AS h FROM top) SELECT plot, x AS at, p::INT AS pos, round(CASE p WHEN 0 THEN x WHEN 1 THEN (x + x1) / 2 WHEN 2 THEN x1 END, 6) AS x, round(CASE WHEN p < 3 THEN h * -0.05 END, 6) AS y, CASE WHEN p < 3 THEN 'top' END AS text FROM w, range(4) r(p)",
 )
-def label_trace(spark, d):
-    points = _top(spark, d).select("plot", F.col("x").alias("at"), F.col("x").alias("x0"), (F.col("x") + 1).alias("x1"), "y", F.lit("top").alias("text"))
+def label_trace(spark, d, points_of=_top):
+    points = points_of(spark, d).select("plot", F.col("x").alias("at"), F.col("x").alias("x0"), (F.col("x") + 1).alias("x1"), "y", F.lit("top").alias("text"))
     return traces.trace(points, "label.linear.bottom", ["plot", "at"]).withColumns({"x": F.round("x", 6), "y": F.round("y", 6)})
 
 
 @query("point_trace_range", SQL_TOP + " SELECT plot, 0::INT AS pos, x, y FROM top WHERE x BETWEEN 100 AND 800 AND y BETWEEN 10 AND 1000")
-def point_trace_range(spark, d):
-    return traces.trace(traces.in_range(_top(spark, d), (100, 800), (10, 1000)), "points", ["plot"]).drop("text")
+def point_trace_range(spark, d, points_of=_top):
+    return traces.trace(traces.in_range(points_of(spark, d), (100, 800), (10, 1000)), "points", ["plot"]).drop("text")
 
 
 @query("plot_extents", SQL_TOP + " SELECT plot, min(x) AS min_x, max(x) AS max_x, min(y) AS min_y, max(y) AS max_y FROM top GROUP BY 1")
-def plot_extents(spark, d):
-    return traces.extents(_top(spark, d))
+def plot_extents(spark, d, points_of=_top):
+    return traces.extents(points_of(spark, d))
 
 
 @query("trace_json", SQL_TOP + " SELECT plot, json_array_length(to_json(list(x)))::INT AS n FROM top GROUP BY 1")
-def trace_json(spark, d):
-    j = traces.to_json(traces.trace(_top(spark, d), "points", ["plot"]), ["plot"], ["x"])
+def trace_json(spark, d, points_of=_top):
+    j = traces.to_json(traces.trace(points_of(spark, d), "points", ["plot"]), ["plot"], ["x"])
     return j.select("plot", F.json_array_length(F.get_json_object("json", "$.x")).alias("n"))
 
 
+SQL_PLOT = f"WITH {SQL_PEAKS}, top AS (SELECT spec_id AS plot, mz AS x, i AS y FROM peaks)"
+
+
+def _plot(spark, d):
+    return _peaks(spark, d).select(F.col("spec_id").alias("plot"), F.col("mz").alias("x"), F.col("i").alias("y"))
+
+
+# The same over all peaks of each spectrum.
+for _name in ("stick_trace", "triangle_trace", "label_trace", "point_trace_range", "plot_extents", "trace_json"):
+    query(f"{_name}_all", SQL[_name].replace(SQL_TOP, SQL_PLOT))(partial(QUERIES[_name], points_of=_plot))
+
+
 # -- codecs and sources ---------------------------------------------------------------------------------------------------------
 
 

@@ -50,3 +50,9 @@ def test_plans(spark):
     assert "PushedFilters: [IsNotNull(o_orderkey), EqualTo(o_orderkey,6)]" in plan and "o_custkey" not in plan
     plan = catalog.QUERIES["has_peak"](spark, SF)._jdf.queryExecution().toString()
     assert "BroadcastNestedLoopJoin" in plan and "CartesianProduct" not in plan
+
+
+def test_traces_of_all_peaks(spark):
+    """Nothing of a spectrum is left out of its plot."""
+    peaks = catalog._peaks(spark, SF).count()
+    assert catalog.QUERIES["stick_trace_all"](spark, SF).count() == 4 * peaks > 4 * catalog._top(spark, SF).count()
