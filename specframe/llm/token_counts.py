@@ -19,10 +19,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import DOC, TEXT, map_arrow, slices, texts_of
+from .common import DOC, TEXT, map_arrow, slices
 from .vocab_files import vocab_path
 from .word_encoder import encoder, tokenizer
 
@@ -46,7 +47,9 @@ class Chunk:
 
 
 def encode_huge(text: str, library, chunk: int = CHUNK, overlap: int = OVERLAP) -> list[int]:
-    """The ids of the whole text, spliced from overlapping chunks."""
+    """The ids of the whole text, spliced from overlapping chunks, which must overlap by more than ``MARGIN``."""
+    if not chunk > 0 < MARGIN < overlap:
+        raise ValueError(f"chunks must overlap by more than {MARGIN} characters")
     n = len(text)
     out: list[int] = []
     start = taken = 0  # where the left chunk begins; its first token that isn't yet out
@@ -76,19 +79,18 @@ def token_counts(docs: DataFrame, vocab: str | None = None, limit: int = LIMIT,
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, library = encoder(vocab, lower_words=False), tokenizer(vocab)
-        width = enc.dtype.itemsize
         for batch in batches:
             for piece in slices(batch):
-                texts = texts_of(piece.column(TEXT))
-                small = [t if len(t) <= huge else "" for t in texts]
-                counts = np.array([len(x) // width for x in enc.encode(small)], dtype=np.int64)
-                spliced = np.array([len(t) > huge for t in texts], dtype=bool)
+                texts = pc.fill_null(piece.column(TEXT), "")
+                spliced = pc.greater(pc.utf8_length(texts), huge)
+                counts = enc.lengths(pc.if_else(spliced, "", texts))
+                spliced = spliced.to_numpy(zero_copy_only=False)
                 for k in np.flatnonzero(spliced).tolist():
-                    counts[k] = len(encode_huge(texts[k], library, chunk, overlap))
+                    counts[k] = len(encode_huge(texts[k].as_py(), library, chunk, overlap))
                 yield pa.RecordBatch.from_pydict(
                     {
                         DOC: piece.column(DOC),
-                        "n_bytes": pa.array([len(t.encode()) for t in texts], pa.int64()),
+                        "n_bytes": pc.binary_length(texts).cast(pa.int64()),
                         "n_tokens": pa.array(counts),
                         "over_limit": pa.array(counts > limit),
                         "spliced": pa.array(spliced),

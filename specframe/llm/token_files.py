@@ -20,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import DOC, TEXT, cut, map_arrow, partitions, shared_folder, slices, text_hash, texts_of
+from .common import DOC, TEXT, cut, map_arrow, partitions, shared_folder, slices, text_hash
 from .vocab_files import vocab_path
 from .word_encoder import encoder
 
@@ -53,21 +53,22 @@ def write_token_files(docs: DataFrame, folder: str | None = None, vocab: str | N
         names = _names(folder, part)
         own = [f"{x}.{task.taskAttemptId()}" for x in names]
         enc = encoder(vocab, lower_words=True)
-        tail = np.array([end], dtype=enc.dtype).tobytes()
         width, total, count = enc.dtype.itemsize, 0, 0
         with open(own[0], "wb") as tokens, open(own[1], "wb") as offsets:
             for batch in batches:
                 for piece in slices(batch):
-                    ids = [x + tail for x in enc.encode(texts_of(piece.column(TEXT)))]
-                    rec = np.zeros(len(ids), dtype=OFFSETS)
+                    ids, sizes = enc.encode_column(piece.column(TEXT))
+                    out = np.full(len(ids) + len(sizes), end, dtype=enc.dtype)
+                    out[np.arange(len(ids)) + np.repeat(np.arange(len(sizes)), sizes)] = ids
+                    rec = np.zeros(len(sizes), dtype=OFFSETS)
                     docs_ = piece.column(DOC)
                     rec["doc_id"] = pc.fill_null(docs_.cast(pa.int64()), 0).to_numpy(zero_copy_only=False)
                     rec["null"] = docs_.is_null().to_numpy(zero_copy_only=False)
-                    rec["n"] = [len(x) // width for x in ids]
+                    rec["n"] = sizes + 1
                     rec["start"] = total + np.cumsum(rec["n"]) - rec["n"]
-                    total += int(rec["n"].sum())
-                    count += len(ids)
-                    tokens.writelines(ids)
+                    total += len(out)
+                    count += len(sizes)
+                    tokens.write(out.tobytes())
                     offsets.write(rec.tobytes())
         for a, b in zip(own, names):
             os.replace(a, b)

@@ -1,19 +1,22 @@
-"""Whole-text encoding with the ``tokenizers`` library, one call per distinct chunk.
+"""Whole-text encoding with the ``tokenizers`` library, once for each distinct chunk.
 
 A text is cut only where its pre-tokenizer is certain to cut, so the ids of
-the text are the ids of its chunks, one after the other.  Chunks repeat, so
-each worker keeps the ids of those it has met.  The memory has a bound: once
-it is full, new chunks are encoded for their batch only.  Its size changes
-the speed, never the result.
+the text are the ids of its chunks, one after the other.  Arrow cuts a batch
+of texts and numbers the distinct chunks, so Python looks at each of these
+once a batch.  Chunks repeat, so each worker keeps the ids of those it has
+met.  The memory has a bound: once it is full, new chunks are encoded for
+their batch only.  Its size changes the speed, never the result.
 """
 
 from __future__ import annotations
 
 import os
 import re
-from itertools import chain
+from itertools import islice
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 #: Chunks that a worker remembers, at about 250 bytes each.
 REMEMBERED = 400_000
@@ -43,9 +46,49 @@ def tokenizer(path: str):
     return found
 
 
-def lower_word_chunks(text: str) -> list[str]:
-    """For the lower-case word vocabulary: blanks and newlines are dropped there, so cut at them."""
-    return text.replace("\n", " ").split(" ")
+def chunk_codes(column: pa.Array, lower_words: bool) -> tuple[np.ndarray, np.ndarray, list[str]]:
+    """The number of each chunk of all texts, where each text's chunks begin (and all end), and the distinct chunks.
+
+    The lower-case word vocabulary drops blanks and newlines, so texts are cut
+    at them.  For the byte-level one the chunks are those of ``spaced_chunks``:
+    between most words a piece with the blank before it.
+    """
+    column = pc.fill_null(column, "")
+    if lower_words:
+        column = pc.replace_substring(column, "\n", " ")
+    lists = pc.split_pattern(column, " ")
+    pieces = lists.flatten().dictionary_encode()
+    codes, offsets, keys = pieces.indices.to_numpy().astype(np.int64), lists.offsets.to_numpy().astype(np.int64), pieces.dictionary.to_pylist()
+    if lower_words or not len(codes):
+        return codes, offsets, keys
+    beside = np.array([not x or x[0].isspace() or x[-1].isspace() for x in keys])
+    whole = np.diff(offsets)
+    special = np.flatnonzero((np.add.reduceat(beside[codes], offsets[:-1], dtype=np.int64) > 0) & (whole > 1))
+    number: dict[str, int] = {}
+    pieces_, keys = keys, [" " + x for x in keys]
+
+    def of(chunk: str) -> int:
+        if (k := number.get(chunk)) is None:
+            k = number[chunk] = len(keys)
+            keys.append(chunk)
+        return k
+
+    first = codes[offsets[:-1]]
+    codes[offsets[:-1]] = [of(pieces_[k]) for k in first.tolist()]
+    if len(special):
+        parts = np.split(codes, offsets[1:-1])
+        for k in special.tolist():
+            parts[k] = np.array([of(x) for x in spaced_chunks(column[k].as_py())], dtype=np.int64)
+        codes = np.concatenate(parts)
+        offsets = np.concatenate(([0], np.cumsum([len(x) for x in parts])))
+    return codes, offsets, keys
+
+
+def gathered(flat: np.ndarray, lengths: np.ndarray, codes: np.ndarray) -> np.ndarray:
+    """Runs of ``flat`` (one after the other, of these lengths) in the order of their numbers."""
+    starts, n = (np.cumsum(lengths) - lengths)[codes], lengths[codes]
+    ends = np.cumsum(n)
+    return flat[np.arange(ends[-1] if len(ends) else 0) + np.repeat(starts - (ends - n), n)]
 
 
 def spaced_chunks(text: str) -> list[str]:
@@ -87,7 +130,6 @@ class Encoder:
 
     def __init__(self, path: str, lower_words: bool, remembered: int = REMEMBERED):
         self.library = tokenizer(path)
-        self.cut = lower_word_chunks if lower_words else spaced_chunks
         self.lower_words = lower_words
         size = self.library.get_vocab_size(with_added_tokens=True)
         self.dtype = np.dtype("<u2") if size <= 1 << 16 else np.dtype("<u4")
@@ -148,35 +190,41 @@ class Encoder:
             for k, word in enumerate(group):
                 into[word] = raw[at[k] * size : at[k + 1] * size]
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """The ids of each text, as bytes of ``dtype``."""
-        cut = [self.cut(t) for t in texts]
-        missing = set(chain.from_iterable(cut)).difference(self.known)
+    def ids_of(self, chunks: list[str]) -> list[bytes]:
+        """The ids of distinct chunks, as bytes of ``dtype``."""
         known = self.known
+        found = list(map(known.get, chunks))
+        missing = [k for k, ids in enumerate(found) if ids is None]
         if missing:
-            if len(known) + len(missing) <= self.remembered:
-                self._encode(list(missing), known)
-            else:
-                own: dict[str, bytes] = {}
-                self._encode(list(missing), own)
-                room = self.remembered - len(known)
-                if room > 0:
-                    for chunk in list(own)[:room]:
-                        known[chunk] = own[chunk]
-                both = _Both(known, own)
-                return [b"".join([both[c] for c in chunks]) for chunks in cut]
-        return [b"".join([known[c] for c in chunks]) for chunks in cut]
-
-
-class _Both(dict):
-    """Looks in the short-lived chunks, then in the remembered ones."""
-
-    def __init__(self, known: dict, own: dict):
-        super().__init__(own)
-        self.known = known
-
-    def __missing__(self, key: str) -> bytes:
-        return self.known[key]
+            new = [chunks[k] for k in missing]
+            # Words that chunks are put together from may come with them.
+            own = known if len(known) + 2 * len(new) <= self.remembered else {}
+            self._encode(new, own)
+            for k, chunk in zip(missing, new):
+                found[k] = own[chunk]
+            if own is not known and (room := self.remembered - len(known)) > 0:
+                known.update(islice(own.items(), room))
+        return found
+
+    def lengths(self, column: pa.Array) -> np.ndarray:
+        """How many ids each text has."""
+        codes, offsets, keys = chunk_codes(column, self.lower_words)
+        n = np.fromiter(map(len, self.ids_of(keys)), dtype=np.int64, count=len(keys)) // self.dtype.itemsize
+        ends = np.concatenate(([0], np.cumsum(n[codes])))
+        return ends[offsets[1:]] - ends[offsets[:-1]]
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """The ids of each text, as bytes of ``dtype``."""
+        ids, n = self.encode_column(pa.array(texts, pa.string()))
+        return [x.tobytes() for x in np.split(ids, np.cumsum(n)[:-1])] if texts else []
+
+    def encode_column(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts, one after the other, and how many each has."""
+        codes, offsets, keys = chunk_codes(column, self.lower_words)
+        ids = self.ids_of(keys)
+        n = np.fromiter(map(len, ids), dtype=np.int64, count=len(keys)) // self.dtype.itemsize
+        ends = np.concatenate(([0], np.cumsum(n[codes])))
+        return gathered(np.frombuffer(b"".join(ids), dtype=self.dtype), n, codes), ends[offsets[1:]] - ends[offsets[:-1]]
 
 
 def encoder(path: str, lower_words: bool) -> Encoder:
