@@ -16,6 +16,7 @@ from __future__ import annotations
 import hashlib
 import heapq
 import json
+from array import array
 from collections.abc import Iterator
 from itertools import chain
 
@@ -24,12 +25,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import DOC, TEXT, map_arrow, slices, texts_of
+from .common import DOC, TEXT, map_arrow, slices
 from .vocab_files import vocab_path
-from .word_encoder import REMEMBERED, spaced_chunks
+from .word_encoder import MARKS, REMEMBERED, chunk_codes, spaced_chunks
 
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
-_LOW = (1 << 32) - 1
 _LOADED: dict[str, Bpe] = {}
 
 
@@ -58,20 +58,21 @@ class Bpe:
         self.byte_ids = [0] * 256
         for letter, b in of.items():
             self.byte_ids[b] = vocab[letter]
-        #: pair of ids as one integer -> rank; rank -> id of the merged symbol
-        self.ranks: dict[int, int] = {}
+        #: first id -> second id -> rank; rank -> id of the merged symbol
+        self.ranks: list[dict[int, int]] = [{} for _ in range(max(vocab.values()) + 1)]
         self.merged: list[int] = []
         for rank, pair in enumerate(spec["model"]["merges"]):
             a, b = pair if isinstance(pair, list) else pair.split(" ")
-            self.ranks.setdefault(vocab[a] << 32 | vocab[b], rank)
+            self.ranks[vocab[a]].setdefault(vocab[b], rank)
             self.merged.append(vocab[a + b])
         self.special = {t["content"]: t["id"] for t in spec.get("added_tokens", [])}
         self.strings |= {i: t.encode() for t, i in self.special.items()}
         self.dtype = np.dtype("<u2") if max(self.strings) < 1 << 16 else np.dtype("<u4")
         self.pattern = regex.compile(PATTERN)
         self.split = regex.compile("|".join(regex.escape(t) for t in self.special)) if self.special else None
-        self.decimals = {i: str(i) for i in self.strings}
-        self.chunks: dict[str, bytes] = {}
+        self.decimals = {i: b"%d," % i for i in self.strings}
+        #: chunk -> its ids, these as decimals with a comma after each, and the strings they stand for
+        self.chunks: dict[str, tuple[bytes, bytes, bytes]] = {}
         self.words: dict[str, list[int]] = {}
         self.remembered = remembered
 
@@ -83,27 +84,26 @@ class Bpe:
             return symbols
         ranks, merged = self.ranks, self.merged
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        queue = []
-        for k in range(n - 1):
-            if (r := ranks.get(symbols[k] << 32 | symbols[k + 1])) is not None:
-                queue.append(r << 32 | k)
+        shift = n.bit_length()
+        low = (1 << shift) - 1
+        queue = [r << shift | k for k in range(n - 1) if (r := ranks[symbols[k]].get(symbols[k + 1])) is not None]
         heapq.heapify(queue)
         pop, push = heapq.heappop, heapq.heappush
         while queue:
             entry = pop(queue)
-            at, rank = entry & _LOW, entry >> 32
+            at, rank = entry & low, entry >> shift
             right = after[at]
-            if symbols[at] < 0 or right >= n or ranks.get(symbols[at] << 32 | symbols[right]) != rank:
+            if (own := symbols[at]) < 0 or right >= n or ranks[own].get(symbols[right]) != rank:
                 continue  # stale: a neighbour has been merged since
             symbols[at] = new = merged[rank]
             symbols[right] = -1
             after[at] = far = after[right]
             if far < n:
                 before[far] = at
-                if (r := ranks.get(new << 32 | symbols[far])) is not None:
-                    push(queue, r << 32 | at)
-            if (left := before[at]) >= 0 and (r := ranks.get(symbols[left] << 32 | new)) is not None:
-                push(queue, r << 32 | left)
+                if (r := ranks[new].get(symbols[far])) is not None:
+                    push(queue, r << shift | at)
+            if (left := before[at]) >= 0 and (r := ranks[symbols[left]].get(new)) is not None:
+                push(queue, r << shift | left)
         return [s for s in symbols if s >= 0]
 
     def _word(self, word: str) -> list[int]:
@@ -114,30 +114,38 @@ class Bpe:
         return ids
 
     def _plain(self, text: str) -> list[int]:
+        tail = text[-1:] if text[-1:] in MARKS else ""
+        word = text[: len(text) - len(tail)]
+        letters = word[1:] if word[:1] == " " else word
+        if letters.isascii() and letters.isalpha():  # one pre-token, and the mark another
+            return self._word(word) + self._word(tail) if tail else self._word(word)
         return list(chain.from_iterable(map(self._word, self.pattern.findall(text))))
 
-    def _chunk(self, chunk: str) -> bytes:
-        if self.split and any(t in chunk for t in self.special):
-            ids, at = [], 0
-            for m in self.split.finditer(chunk):
-                ids += self._plain(chunk[at : m.start()])
-                ids.append(self.special[m[0]])
-                at = m.end()
-            ids += self._plain(chunk[at:])
-        else:
-            ids = self._plain(chunk)
-        return np.array(ids, dtype=self.dtype).tobytes()
+    def _chunk(self, chunk: str) -> list[int]:
+        if not self.split or not any(t in chunk for t in self.special):
+            return self._plain(chunk)
+        ids, at = [], 0
+        for m in self.split.finditer(chunk):
+            ids += self._plain(chunk[at : m.start()])
+            ids.append(self.special[m[0]])
+            at = m.end()
+        return ids + self._plain(chunk[at:])
+
+    def pieces(self, chunks: list[str]) -> list[tuple[bytes, bytes, bytes]]:
+        """For distinct chunks what ``self.chunks`` holds."""
+        known = self.chunks
+        found = list(map(known.get, chunks))
+        strings, decimals = self.strings.__getitem__, self.decimals.__getitem__
+        for k, own in enumerate(found):
+            if own is None:
+                ids = self._chunk(chunks[k])
+                own = found[k] = array(self.dtype.char, ids).tobytes(), b"".join(map(decimals, ids)), b"".join(map(strings, ids))
+                if len(known) < self.remembered and len(ids) < 32:
+                    known[chunks[k]] = own
+        return found
 
     def encode(self, text: str) -> np.ndarray:
-        known = self.chunks
-        out = []
-        for chunk in spaced_chunks(text):
-            if (ids := known.get(chunk)) is None:
-                ids = self._chunk(chunk)
-                if len(known) < self.remembered and len(chunk) < 64:
-                    known[chunk] = ids
-            out.append(ids)
-        return np.frombuffer(b"".join(out), dtype=self.dtype)
+        return np.frombuffer(b"".join(x[0] for x in self.pieces(spaced_chunks(text))), dtype=self.dtype)
 
     def decode(self, ids: list[int]) -> str:
         return b"".join(map(self.strings.__getitem__, ids)).decode("utf-8", "replace")
@@ -165,18 +173,22 @@ def digests(docs: DataFrame, vocab: str | None = None) -> DataFrame:
 def _run(docs: DataFrame, vocab: str, schema: str, whole: bool) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = bpe(vocab)
-        decimals = model.decimals.__getitem__
+        size = model.dtype.itemsize
         for batch in batches:
             for piece in slices(batch):
                 out: dict = {k: [] for k in ("n_tokens", "ids", "decoded", "ids_sha256", "decoded_sha256")}
-                for text in texts_of(piece.column(TEXT)):
-                    ids = model.encode(text).tolist()
-                    decoded = model.decode(ids)
-                    out["n_tokens"].append(len(ids))
-                    out["ids_sha256"].append(hashlib.sha256(",".join(map(decimals, ids)).encode()).hexdigest())
+                codes, offsets, keys = chunk_codes(piece.column(TEXT), lower_words=False)
+                raw, decimals, strings = zip(*model.pieces(keys)) if keys else ((), (), ())
+                n = np.fromiter(map(len, raw), dtype=np.int64, count=len(keys)) // size
+                numbers, at = codes.tolist(), offsets.tolist()
+                for a, b in zip(at, at[1:]):
+                    own = numbers[a:b]
+                    decoded = b"".join(map(strings.__getitem__, own)).decode("utf-8", "replace")
+                    out["n_tokens"].append(int(n[codes[a:b]].sum()))
+                    out["ids_sha256"].append(hashlib.sha256(b"".join(map(decimals.__getitem__, own))[:-1]).hexdigest())
                     out["decoded_sha256"].append(hashlib.sha256(decoded.encode()).hexdigest())
                     if whole:
-                        out["ids"].append(ids)
+                        out["ids"].append(np.frombuffer(b"".join(map(raw.__getitem__, own)), dtype=model.dtype).tolist())
                         out["decoded"].append(decoded)
                 cols = {DOC: piece.column(DOC), "n_tokens": pa.array(out["n_tokens"], pa.int64())}
                 if whole:
