@@ -123,6 +123,29 @@ def texts_of(column: pa.Array) -> list[str]:
     return [x or "" for x in column.to_pylist()]
 
 
+def word_codes(column: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """Distinct words, the number of each word of all texts, and how many words each text has; cut as ``str.split`` does."""
+    lists = pc.utf8_split_whitespace(pc.fill_null(column, ""))
+    flat = lists.flatten().dictionary_encode()
+    codes, ends = flat.indices.to_numpy().astype(np.int64), lists.offsets.to_numpy().astype(np.int64)
+    words = flat.dictionary.to_pylist()
+    keep = np.array([bool(w) for w in words], dtype=bool)[codes] if words else np.zeros(0, dtype=bool)
+    before = np.concatenate(([0], np.cumsum(keep)))
+    return words, codes[keep], np.diff(before[ends])
+
+
+def fresh(df: DataFrame, *wanted: str) -> list[str]:
+    """Names like these that are no columns of the table."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in wanted:
+        while name.lower() in taken:
+            name = f"_{name}"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def slices(batch: pa.RecordBatch, text: str = TEXT, most: int = 8_000_000) -> Iterator[pa.RecordBatch]:
     """Cut a batch into runs of rows of about ``most`` bytes of text, to bound memory."""
     column = batch.column(text)

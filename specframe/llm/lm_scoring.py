@@ -3,302 +3,233 @@
 Both models have the same form and share one vocabulary.  The background is
 counted over all documents, the target over those labelled good.  The
 vocabulary holds every word that occurs ``LEAST`` times or more in the corpus,
-so it grows with the corpus; words that occur once are one symbol.  (Callers
-may ask for a smaller one by ``share``.)  Spark counts words, then bigrams for
-both models.  Bigrams are interpolated with unigrams by the diversity of what
-follows the first word (Witten-Bell), and unigrams have one added to their
-count.
-
-Words, by the 64-bit hash that stands for them, bigrams and the figures of
-each word all grow with the corpus.  They lie in sorted files, one for each
-shuffle partition, that workers map and search; nothing of them is broadcast or
-collected.
-A document's score is its mean loss in bits per word under the target less that
-under the background: the lower, the more it is like the target.
-
-Null and empty texts have no words and null losses.  Without labelled
-documents the target has no counts and knows only the vocabulary.  Labels that
-repeat an id count as the best of them; a document without an id is never a
-target.  Rows that repeat count as often as they occur.
+so it grows with the corpus; words that occur once are one symbol, and one
+more stands before and after each text.  A bigram's probability is
+(count + m * unigram) / (count of its first word + m), where m is that last
+count to the power ``HEAPS``, about as many different words as follow a word;
+unigrams have one added to their count.
+
+A document's score is its mean loss in bits per word (and end) under the target
+less that under the background: the lower, the more it is like the target.  A
+target document is scored without its own counts in the target (they are
+subtracted), so it has no advantage over equally good ones without a label.
+``selected`` are those that score no more than a share ``SHARE`` of the target
+documents does.
+
+Words and bigrams both go by 63-bit hashes.  Workers add up what they count,
+cut it by ranges of the hash and send one packed row for each range; what comes
+together is added up and stored in sorted files, one for each range, that
+workers map and search.  Nothing of it is broadcast or collected.
+
+Null and empty texts have no words and null losses.  Without target documents
+the target has no counts and nothing is selected.  Labels that repeat an id
+count as the best of them; a document without an id is never a target.  Rows
+that repeat count as often as they occur.  Two bigrams in some 10**18 pairs
+share a hash.
 """
 
 from __future__ import annotations
 
-import os
-from collections import Counter
-from collections.abc import Callable, Iterable, Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import DOC, TEXT, cut, map_arrow, partitions, shared_folder, slices, texts_of
+from .common import DOC, TEXT, cut, map_arrow, mix64, partitions, slices, word_codes
+from .ranges import PACKED, Adder, Sorted, store
 
-LEAST, OTHER, BEGIN, THRESHOLD = 2, 0, 1, 1.0
-#: Words whose number a worker remembers; this changes speed only.
-REMEMBERED = 500_000
-_CACHE: dict = {}
-
-
-def forget_memory() -> None:
-    _CACHE.clear()
+LEAST, HEAPS, SHARE = 2, 0.7, 0.9
+#: What stands for words that occur once, and for the place before and after a text.
+OTHER, BOUNDARY = 0, 1
+_ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
 def words_of(text: str) -> list[str]:
     return text.lower().split()
 
 
-def word_counts(docs: DataFrame) -> DataFrame:
-    """word (its hash), n over parts of the documents."""
+def coded(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The hash of each word of all texts, the number of the word among the distinct ones, and how many words each text has.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts: Counter = Counter()
-        for batch in batches:
-            for piece in slices(batch):
-                for text in texts_of(piece.column(TEXT)):
-                    counts.update(words_of(text))
-                if len(counts) > 1_000_000:
-                    yield _counted(counts)
-                    counts.clear()
-        yield _counted(counts)
+    The words are those of ``words_of``; each distinct one is hashed once.
+    """
+    words, codes, sizes = word_codes(column)
+    return hashes(w.lower() for w in words), codes, sizes
 
-    return map_arrow(docs.select(TEXT), run, "word long, n long")
 
+def hashes(words: Iterable[str]) -> np.ndarray:
+    h = np.array([xxhash.xxh3_64_intdigest(w.encode("utf-8", "replace")) for w in words], dtype=np.uint64) >> np.uint64(1)
+    return np.maximum(h, np.uint64(BOUNDARY + 1))
 
-def _counted(counts: Counter) -> pa.RecordBatch:
-    return pa.RecordBatch.from_pydict({"word": pa.array(hashes(counts)), "n": pa.array(list(counts.values()), pa.int64())})
 
+def _documents(docs: DataFrame) -> DataFrame:
+    return docs.select(F.col(DOC).cast("long").alias(DOC), F.col(TEXT))
 
-def hashes(words: Iterable[str]) -> np.ndarray:
-    return np.array([xxhash.xxh3_64_intdigest(w.encode("utf-8", "replace")) for w in words], dtype=np.uint64).view(np.int64)
-
-
-def partition_of(keys: np.ndarray, parts: int) -> np.ndarray:
-    """Where Spark's hash partitioning puts a long: Murmur3 of its two halves, seed 42."""
-    h = np.full(len(keys), 42, dtype=np.uint32)
-    both = keys.view(np.uint64)
-    with np.errstate(over="ignore"):
-        for half in (both & np.uint64(0xFFFFFFFF), both >> np.uint64(32)):
-            k = half.astype(np.uint32) * np.uint32(0xCC9E2D51)
-            h ^= (k << np.uint32(15) | k >> np.uint32(17)) * np.uint32(0x1B873593)
-            h = (h << np.uint32(13) | h >> np.uint32(19)) * np.uint32(5) + np.uint32(0xE6546B64)
-        h ^= np.uint32(8)
-        for shift, by in ((16, 0x85EBCA6B), (13, 0xC2B2AE35)):
-            h = (h ^ h >> np.uint32(shift)) * np.uint32(by)
-        h ^= h >> np.uint32(16)
-    return h.view(np.int32).astype(np.int64) % parts
-
-
-class Sorted:
-    """Distinct keys and their values in mapped files, one for each partition, sorted by the key in each."""
-
-    def __init__(self, folder: str, names: tuple[str, ...], parts: int):
-        self.folder, self.names, self.parts = folder, names, parts
-        self.maps: dict[int, list[np.ndarray] | None] = {}
-
-    def find(self, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
-        """The part of each of the keys, its row there (-1 where there is none) and its values (0 where there is none)."""
-        part = partition_of(wanted, self.parts)
-        row = np.full(len(wanted), -1, dtype=np.int64)
-        values = [np.zeros(len(wanted), dtype=np.int64) for _ in self.names[1:]]
-        order = np.argsort(part, kind="stable")
-        edges = np.searchsorted(part[order], np.arange(self.parts + 1))
-        for p in np.flatnonzero(np.diff(edges)).tolist():
-            if p not in self.maps:
-                paths = [os.path.join(self.folder, f"{x}-{p}.npy") for x in self.names]
-                self.maps[p] = [np.load(x, mmap_mode="r") for x in paths] if os.path.exists(paths[0]) else None
-            if self.maps[p] is None:
-                continue
-            own = order[edges[p] : edges[p + 1]]
-            keys, *columns = self.maps[p]
-            at = np.minimum(np.searchsorted(keys, wanted[own]), len(keys) - 1)
-            there = keys[at] == wanted[own]
-            row[own] = np.where(there, at, -1)
-            for out, column in zip(values, columns):
-                out[own] = np.where(there, column[at], 0)
-        return part, row, values
-
-
-def store(rows: DataFrame, what: str, told: Callable[[int, list[np.ndarray]], pa.RecordBatch], schema: str, where: str = "true", names: tuple[str, ...] | None = None, add: Callable = F.sum) -> tuple[Sorted, DataFrame]:
-    """Add up rows of longs by the first column and store those that fulfil ``where``; and what each task tells of its rows, once run."""
-    spark = rows.sparkSession
-    key, *values = rows.columns
-    names, parts, folder = names or tuple(rows.columns), partitions(spark), shared_folder(spark, what)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        task = TaskContext.get()
-        part = task.partitionId()
-        held = [[c.to_numpy() for c in b.columns] for b in batches if b.num_rows]
-        if not held:
-            return
-        arrays = [np.concatenate(x) for x in zip(*held)]
-        held.clear()
-        if (partition_of(arrays[0], parts) != part).any():
-            raise RuntimeError("rows aren't where hash partitioning puts them")
-        for name, x in zip(names, arrays):
-            if name != names[0] and x.max() < 1 << 31:
-                x = x.astype(np.int32)
-            own = os.path.join(folder, f"{name}-{part}.{task.taskAttemptId()}.npy")
-            np.save(own, x)
-            os.replace(own, os.path.join(folder, f"{name}-{part}.npy"))
-        yield told(part, arrays)
-
-    # Workers have added up their own rows, so they are shuffled as they are; the number of partitions is fixed, so none are merged.
-    added = rows.repartition(parts, key).groupBy(key).agg(*(add(x).alias(x) for x in values)).where(where).select(*names).sortWithinPartitions(key)
-    return Sorted(folder, names, parts), map_arrow(added, run, schema)
-
-
-class Vocabulary:
-    """Word -> number, from 2 on, by its hash; OTHER for all that is not in it."""
-
-    def __init__(self, words: Sorted, sizes: dict[int, int]):
-        self.words = words
-        self.size = sum(sizes.values())
-        n = np.array([sizes.get(p, 0) for p in range(words.parts)], dtype=np.int64)
-        self.first = np.cumsum(n) - n + 2
-
-    def numbers(self, lists: list[list[str]], total: int) -> np.ndarray:
-        if _CACHE.get("folder") != self.words.folder:
-            _CACHE.clear()
-            _CACHE["folder"], _CACHE["known"] = self.words.folder, {}
-        known = _CACHE["known"]
-        new = list({w for x in lists for w in x if w not in known})
-        if new:
-            if len(known) > REMEMBERED:
-                known.clear()
-                new = list({w for x in lists for w in x})
-            h = hashes(new)
-            at = np.argsort(h)
-            part, row, _ = self.words.find(h[at])
-            number = np.empty(len(new), dtype=np.int64)
-            number[at] = np.where(row >= 0, self.first[part] + row, OTHER)
-            known.update(zip(new, number.tolist()))
-        return np.fromiter((known[w] for x in lists for w in x), dtype=np.int64, count=total)
-
-
-def vocabulary(docs: DataFrame, share: int | None = None) -> Vocabulary:
-    """The words that occur LEAST times or more, or with ``share``, that make up 1 / share of all words or more."""
-    counts, least = word_counts(docs), LEAST
-    if share is not None:
-        least = ((counts.agg(F.sum("n")).first()[0] or 0) + share - 1) // share
-    words, told = store(counts, "vocabulary", lambda part, x: pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "n": pa.array([len(x[0])], pa.int64())}), "part int, n long", f"n >= {least}", ("word",))
-    return Vocabulary(words, dict(map(tuple, cut(told).collect())))
-
-
-def grams(lists: list[list[str]], vocab: Vocabulary) -> tuple[np.ndarray, np.ndarray]:
-    """(previous << 32 | word) of each word of each text, and how many words each text has."""
-    sizes = np.array([len(x) for x in lists], dtype=np.int64)
-    ids = vocab.numbers(lists, int(sizes.sum()))
-    before = np.empty_like(ids)
-    before[1:] = ids[:-1]
-    before[(np.cumsum(sizes) - sizes)[sizes > 0]] = BEGIN
-    return before << 32 | ids, sizes
-
-
-def bigram_counts(docs: DataFrame, vocab: Vocabulary, good: Sorted) -> DataFrame:
-    """gram, n and n_target over parts of the documents; targets are those whose id is stored as good."""
-    sent = docs.sparkSession.sparkContext.broadcast((vocab, good))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-        vocab, good = sent.value
-        for batch in batches:
-            for piece in slices(batch):
-                gram, sizes = grams([words_of(t) for t in texts_of(piece.column(TEXT))], vocab)
-                ids = piece.column(DOC)
-                found = (good.find(ids.fill_null(0).to_numpy())[1] >= 0) & ids.is_valid().to_numpy(zero_copy_only=False)
-                target = np.repeat(found, sizes)
-                held.append(_summed(gram, np.ones(len(gram), dtype=np.int64), target.astype(np.int64)))
-                if sum(len(x[0]) for x in held) > 3_000_000:
-                    held = [_summed(*map(np.concatenate, zip(*held)))]
-                    if len(held[0][0]) > 2_000_000:
-                        yield _batch(held.pop())
-        if held:
-            yield _batch(_summed(*map(np.concatenate, zip(*held))))
+def _signed(keys: np.ndarray) -> np.ndarray:
+    """Hash of an id, as a key."""
+    return mix64(keys.astype(np.int64).view(np.uint64)) >> np.uint64(1)
 
-    return map_arrow(docs.select(F.col(DOC).cast("long").alias(DOC), F.col(TEXT)), run, "gram long, n long, n_target long")
 
+def target_ids(labels: DataFrame, parts: int) -> Sorted:
+    """The ids labelled good, stored by hash; labels grow with the documents, so they aren't sent to meet the texts."""
 
-def _summed(gram: np.ndarray, n: np.ndarray, t: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    at = np.argsort(gram, kind="stable")
-    gram = gram[at]
-    first = np.flatnonzero(np.concatenate(([True], gram[1:] != gram[:-1]))) if len(gram) else np.zeros(0, dtype=np.int64)
-    if not len(first):
-        return gram, n, t
-    return gram[first], np.add.reduceat(n[at], first), np.add.reduceat(t[at], first)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        adder = Adder(parts)
+        for batch in batches:
+            keys = _signed(batch.column(0).to_numpy())
+            yield from adder.add(keys, np.ones(len(keys), dtype=np.int64), np.zeros(len(keys), dtype=np.int64))
+        yield from adder.flush()
 
+    good = labels.select(F.col(DOC).cast("long").alias("l"), "quality").where("l is not null and quality = 1").select("l")
+    return store(map_arrow(good, run, PACKED), "labels", parts, lambda k, n, t: n > 0)[0]
 
-def _batch(x: tuple[np.ndarray, np.ndarray, np.ndarray]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_pydict({"gram": pa.array(x[0]), "n": pa.array(x[1]), "n_target": pa.array(x[2])})
 
+def is_target(ids: pa.Array, good: Sorted) -> np.ndarray:
+    h = _signed(ids.fill_null(0).to_numpy(zero_copy_only=False))
+    at = np.argsort(h)
+    out = np.zeros(len(h), dtype=bool)
+    out[at] = good.find(h[at])[0]
+    return out & ids.is_valid().to_numpy(zero_copy_only=False)
 
-FIGURES = ("after", "after_target", "kinds", "kinds_target", "one", "one_target")
 
+def word_counts(docs: DataFrame, good: Sorted) -> DataFrame:
+    """Packed counts of each word, in all and in target documents; of texts as the boundary."""
+    sent, parts = docs.sparkSession.sparkContext.broadcast(good), good.parts
 
-def _figures(_: int, x: list[np.ndarray]) -> pa.RecordBatch:
-    """What a part's sorted bigrams add to the figures of each word."""
-    gram, n, t = x
-    w, back = np.unique(np.concatenate((gram >> 32, gram & 0xFFFFFFFF)), return_inverse=True)
-    first, second = back[: len(gram)], back[len(gram) :]
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        adder = Adder(parts)
+        for batch in batches:
+            for piece in slices(batch):
+                h, codes, sizes = coded(piece.column(TEXT))
+                target = is_target(piece.column(DOC), sent.value)
+                n = np.bincount(codes, minlength=len(h))
+                t = np.bincount(codes[np.repeat(target, sizes)], minlength=len(h))
+                own = n > 0
+                texts = np.array([(sizes > 0).sum()]), np.array([(target & (sizes > 0)).sum()])
+                yield from adder.add(np.append(h[own], np.uint64(BOUNDARY)), np.append(n[own], texts[0]), np.append(t[own], texts[1]))
+        yield from adder.flush()
+
+    return map_arrow(_documents(docs), run, PACKED)
+
+
+class Text:
+    """A batch of texts as symbols: the word's hash, or OTHER, between boundaries."""
+
+    def __init__(self, column: pa.Array, words: Sorted):
+        h, codes, self.sizes = coded(column)
+        at = np.argsort(h)
+        there, n, t = words.find(h[at])
+        of = np.empty((3, len(h)), dtype=np.int64)
+        of[:, at] = np.where(there, h[at], OTHER).view(np.int64), np.where(there, n, -1), np.where(there, t, -1)
+        some = self.sizes > 0
+        # One boundary ends a text and begins the next.
+        ends = np.cumsum(self.sizes[some] + 1)
+        total = int(ends[-1]) if len(ends) else 0
+        word = np.ones(total + 1, dtype=bool)
+        word[0] = False
+        word[ends] = False
+        self.symbols = np.full(total + 1, BOUNDARY, dtype=np.int64)
+        self.counts = np.full((2, total + 1), -2, dtype=np.int64)
+        self.symbols[word] = of[0][codes]
+        self.counts[:, word] = of[1:, codes]
+        self.doc = np.repeat(np.arange(len(self.sizes)), np.where(some, self.sizes + 1, 0))
+        with np.errstate(over="ignore"):
+            s = self.symbols.view(np.uint64)
+            self.grams = mix64(mix64(s[:-1] + _ODD) * _ODD + s[1:]) >> np.uint64(1)
+
+
+def bigram_counts(docs: DataFrame, words: Sorted, good: Sorted) -> DataFrame:
+    sent, parts = docs.sparkSession.sparkContext.broadcast((words, good)), words.parts
 
-    def added(at: np.ndarray, weights: np.ndarray) -> np.ndarray:
-        return np.bincount(at, weights=weights, minlength=len(w)).astype(np.int64)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        adder = Adder(parts)
+        words, good = sent.value
+        for batch in batches:
+            for piece in slices(batch):
+                text = Text(piece.column(TEXT), words)
+                target = is_target(piece.column(DOC), good)[text.doc].astype(np.int64)
+                yield from adder.add(text.grams, np.ones(len(target), dtype=np.int64), target)
+        yield from adder.flush()
 
-    figures = (added(first, n), added(first, t), np.bincount(first, minlength=len(w)), added(first, t > 0), added(second, n), added(second, t))
-    return pa.RecordBatch.from_pydict({"w": pa.array(w)} | {k: pa.array(v) for k, v in zip(FIGURES, figures)})
+    return map_arrow(_documents(docs), run, PACKED)
 
 
 class Model:
-    """The mapped bigram counts, and the mapped unigram and context figures of each word."""
+    """The mapped counts and what they add up to."""
 
-    def __init__(self, bigrams: Sorted, words: Sorted, totals: tuple[int, int], size: int):
-        self.bigrams, self.words, self.totals, self.size = bigrams, words, totals, size
+    def __init__(self, words: Sorted, bigrams: Sorted, size: int, totals: tuple[int, int], others: tuple[int, int], texts: tuple[int, int]):
+        self.words, self.bigrams, self.size, self.totals, self.others, self.texts = words, bigrams, size, totals, others, texts
 
-    def losses(self, gram: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Bits of each bigram's second word under target and background."""
-        unique, back = np.unique(gram, return_inverse=True)
-        firsts, first = np.unique(unique >> 32, return_inverse=True)
-        seconds, second = np.unique(unique & 0xFFFFFFFF, return_inverse=True)
-        counts, after, before = self.bigrams.find(unique)[2], self.words.find(firsts)[2], self.words.find(seconds)[2]
+    def losses(self, column: pa.Array, target: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Words of each text, and the mean bits under target and background."""
+        text = Text(column, self.words)
+        distinct, back = np.unique(text.grams, return_inverse=True)
+        found = self.bigrams.find(distinct)[1:]
         out = []
+        docs = np.maximum(np.bincount(text.doc, minlength=len(text.sizes)), 1)
         for k in (1, 0):
-            total, kinds, one = after[k][first], after[2 + k][first], ((before[4 + k] + 1) / (self.totals[k] + self.size))[second]
-            p = np.where(total > 0, (counts[k] + kinds * one) / np.maximum(total + kinds, 1), one)
-            out.append(-np.log2(p)[back])
-        return out[0], out[1]
-
-
-def fit(docs: DataFrame, labels: DataFrame, share: int | None = None) -> tuple[Vocabulary, Model]:
-    vocab = vocabulary(docs, share)
-    # Labels grow with the documents: stored and mapped, so that neither they nor the texts are sent to meet.
-    marks = labels.select(F.col(DOC).cast("long").alias("l"), F.col("quality").alias("q")).where("l is not null")
-    good, told = store(marks, "labels", lambda _, x: pa.RecordBatch.from_pydict({"n": pa.array([len(x[0])], pa.int64())}), "n long", "q = 1", ("l",), F.max)
-    cut(told)
-    bigrams, by_word = store(bigram_counts(docs, vocab, good), "bigrams", _figures, f"w long, {', '.join(f'{x} long' for x in FIGURES)}")
-    words, told = store(by_word, "words", lambda _, x: pa.RecordBatch.from_pydict({"n": [int(x[5].sum())], "t": [int(x[6].sum())]}), "n long, t long")
-    n, t = cut(told).agg(F.sum("n"), F.sum("t")).first()
-    return vocab, Model(bigrams, words, (n or 0, t or 0), vocab.size + 2)
-
-
-def score(docs: DataFrame, labels: DataFrame, share: int | None = None, threshold: float = THRESHOLD) -> DataFrame:
-    """doc_id, n_tokens, target_loss, background_loss, score, selected (score <= threshold; null without words)."""
-    vocab, model = fit(docs, labels, share)
-    sent = docs.sparkSession.sparkContext.broadcast((vocab, model))
+            whole = text.counts[k].copy()
+            whole[whole == -1] = self.others[k]
+            whole[whole == -2] = self.texts[k]
+            gram, first, second, total = found[k][back], whole[:-1], whole[1:], np.full(len(back), self.totals[k])
+            if k and target.any():
+                own = target[text.doc]
+                gram, first, second = gram.copy(), first.copy(), second.copy()
+                doc = text.doc[own]
+                for values, of in ((gram, text.grams.view(np.int64)), (first, text.symbols[:-1]), (second, text.symbols[1:])):
+                    values[own] -= _within(doc, of[own])
+                total[own] -= docs[doc]
+            m = np.maximum(first, 1) ** HEAPS
+            p = (gram + m * (second + 1) / (total + self.size)) / (first + m)
+            out.append(np.bincount(text.doc, weights=-np.log2(p), minlength=len(text.sizes)) / docs)
+        return text.sizes, *out
+
+
+def _within(doc: np.ndarray, values: np.ndarray) -> np.ndarray:
+    """How often each value occurs in its document."""
+    at = np.lexsort((values, doc))
+    d, v = doc[at], values[at]
+    first = np.flatnonzero(np.concatenate(([True], (d[1:] != d[:-1]) | (v[1:] != v[:-1]))))
+    n = np.diff(np.append(first, len(at)))
+    out = np.empty(len(at), dtype=np.int64)
+    out[at] = np.repeat(n, n)
+    return out
+
+
+def fit(docs: DataFrame, labels: DataFrame, least: int = LEAST) -> tuple[Model, Sorted]:
+    parts = partitions(docs.sparkSession)
+    good = target_ids(labels, parts)
+    words, (size, n, t, all_n, all_t) = store(word_counts(docs, good), "words", parts, lambda k, n, t: (n >= least) | (k == np.uint64(BOUNDARY)))
+    bigrams, _ = store(bigram_counts(docs, words, good), "bigrams", parts, lambda k, n, t: n > 0)
+    texts = [int(x[0]) for x in words.find(np.array([BOUNDARY], dtype=np.uint64))[1:]]
+    return Model(words, bigrams, size + 1, (all_n, all_t), (all_n - n, all_t - t), tuple(texts)), good
+
+
+def score(docs: DataFrame, labels: DataFrame, least: int = LEAST, share: float = SHARE, threshold: float | None = None) -> DataFrame:
+    """doc_id, n_tokens, target_loss, background_loss, score, selected (null without words).
+
+    Selected is what scores at most ``threshold``; without one, at most what a
+    share of the target documents does.
+    """
+    model, good = fit(docs, labels, least)
+    sent = docs.sparkSession.sparkContext.broadcast((model, good))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocab, model = sent.value
+        model, good = sent.value
         for batch in batches:
             for piece in slices(batch):
-                gram, sizes = grams([words_of(t) for t in texts_of(piece.column(TEXT))], vocab)
-                row = np.repeat(np.arange(len(sizes)), sizes)
+                target = is_target(piece.column(DOC), good)
+                sizes, a, b = model.losses(piece.column(TEXT), target)
                 none = sizes == 0
-                target, background = (np.bincount(row, weights=x, minlength=len(sizes)) / np.maximum(sizes, 1) for x in model.losses(gram))
-                diff = target - background
-                yield pa.RecordBatch.from_pydict(
-                    {DOC: piece.column(DOC), "n_tokens": pa.array(sizes)} | {k: pa.array(x, mask=none) for k, x in (("target_loss", target), ("background_loss", background), ("score", diff), ("selected", diff <= threshold))}
-                )
-
-    return map_arrow(docs.select(F.col(DOC).cast("long").alias(DOC), F.col(TEXT)), run, f"{DOC} long, n_tokens long, target_loss double, background_loss double, score double, selected boolean")
+                yield pa.RecordBatch.from_pydict({DOC: piece.column(DOC), "n_tokens": pa.array(sizes)} | {k: pa.array(x, mask=none) for k, x in (("target_loss", a), ("background_loss", b), ("score", a - b))} | {"is_target": pa.array(target)})
+
+    scored = map_arrow(_documents(docs), run, f"{DOC} long, n_tokens long, target_loss double, background_loss double, score double, is_target boolean")
+    if threshold is None:
+        scored = cut(scored)
+        threshold = scored.where("is_target").agg(F.percentile_approx("score", share, 10_000)).first()[0]
+    chosen = F.lit(False) if threshold is None else F.col("score") <= threshold
+    return scored.withColumn("selected", F.when(F.col("score").isNotNull(), chosen)).drop("is_target")

@@ -5,6 +5,7 @@ import re
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -111,78 +112,94 @@ def test_find_secrets(spark):
 # -- language-model scores ------------------------------------------------------------------------------------------------
 
 
-def test_scores_against_brute_force(spark):
-    r = random.Random(2)
-    docs = [(k, prose(r, 30 + k)) for k in range(20)] + [(50, "zz qq " * 20), (51, None), (52, ""), (None, "the cat")]
-    labels = [(k, int(k % 2 == 0)) for k in range(12)] + [(2, 0), (50, 0), (None, 1)]
-    df = spark.createDataFrame(docs, "doc_id long, text string").selectExpr("*", "1 AS score")
-    lab = spark.createDataFrame(labels, "doc_id long, quality int")
-    got = {x.doc_id: x for x in lm_scoring.score(df, lab, share=40).collect()}
-    assert len(got) == len(docs)
+def brute_scores(docs, labels):
+    """Losses of each document, a target document's without its own counts in the target."""
     good = {k for k, q in labels if q and k is not None}
-    counts = Counter(w for _, t in docs for w in (t or "").lower().split())
-    total = sum(counts.values())
-    vocab = {w for w, n in counts.items() if n * 40 >= total}
+    n = Counter(w for _, t in docs for w in (t or "").lower().split())
 
     def pairs(t):
-        w = [x if x in vocab else "?" for x in (t or "").lower().split()]
-        return list(zip(["^", *w], w))
-
-    def model(which):
-        c = Counter(p for k, t in docs if which(k) for p in pairs(t))
-        after, kinds, one = Counter(), Counter(), Counter()
-        for (a, b), n in c.items():
-            after[a] += n
-            kinds[a] += 1
-            one[b] += n
-        size, n = len(vocab) + 2, sum(one.values())
-
-        def loss(a, b):
-            u = (one[b] + 1) / (n + size)
-            return -math.log2((c[a, b] + kinds[a] * u) / (after[a] + kinds[a]) if after[a] else u)
-
-        return loss
+        w = [x if n[x] > 1 else "?" for x in (t or "").lower().split()]
+        return list(zip(["^", *w], [*w, "^"])) if w else []
 
-    target, background = model(lambda k: k in good), model(lambda k: True)
+    size = sum(x > 1 for x in n.values()) + 2
+    counts = [Counter(), Counter()]
     for k, t in docs:
-        p = pairs(t)
-        assert got[k].n_tokens == len(p)
-        if p:
-            a, b = (sum(f(*x) for x in p) / len(p) for f in (target, background))
+        for which in (0, 1) if k in good else (0,):
+            counts[which].update(pairs(t))
+    out = {}
+    for k, t in docs:
+        own = pairs(t)
+        losses = []
+        for which in (1, 0):
+            c = counts[which] - Counter(own) if which and k in good else counts[which]
+            first, second = Counter(), Counter()
+            for (a, b), x in c.items():
+                first[a] += x
+                second[b] += x
+            loss = 0.0
+            for a, b in own:
+                m = max(first[a], 1) ** 0.7
+                loss -= math.log2((c[a, b] + m * (second[b] + 1) / (sum(second.values()) + size)) / (first[a] + m))
+            losses.append(loss / len(own) if own else None)
+        out[k] = len(own) - bool(own), *losses
+    return out
+
+
+def test_scores(spark):
+    r = random.Random(5)
+    docs = [(k, prose(r, 40) + (f" Rare{k // 2} only{k}" if k % 3 else "")) for k in range(60)]
+    docs += [(100, None), (101, ""), (102, "solitary"), (103, "\u3000THE\xa0cat\x1csat  ΑΣ ας ΑΣ "), (None, "the cat sat"), (104, docs[0][1]), (105, " ".join(docs[k % 60][1] for k in range(300)))]
+    labels = [(k, int(k % 3 > 0)) for k in range(50)] + [(1, 0), (2, 1), (105, 1), (None, 1), (999, 1)]
+    df = spark.createDataFrame(docs, "doc_id long, text string").selectExpr("*", "1 AS score", "2 AS part")
+    lab = spark.createDataFrame(labels, "doc_id long, quality int").selectExpr("*", "3 AS text")
+    got = {x.doc_id: x for x in lm_scoring.score(df, lab).collect()}
+    assert len(got) == len(docs)
+    for k, (n, a, b) in brute_scores(docs, labels).items():
+        assert got[k].n_tokens == n
+        if n:
             assert math.isclose(got[k].target_loss, a, rel_tol=1e-9) and math.isclose(got[k].background_loss, b, rel_tol=1e-9) and math.isclose(got[k].score, a - b, abs_tol=1e-9)
         else:
             assert got[k].score is None and got[k].selected is None
+    good = {k for k, q in labels if q and k in got}
+    assert abs(sum(got[k].selected for k in good) - 0.9 * len(good)) <= 1
     assert lm_scoring.score(df.limit(0), lab).count() == 0
-    assert lm_scoring.score(df, lab.limit(0)).count() == len(docs)
+    none = lm_scoring.score(df, lab.limit(0)).collect()
+    assert len(none) == len(docs) and not any(x.selected for x in none)
+
+
+def test_labels_are_no_advantage(spark):
+    """Of equally good documents those with a label score like those without."""
+    r = random.Random(8)
+    vocab = ["".join(r.choice("abcdefgh") for _ in range(4)) for _ in range(400)]
+    docs = [(k, " ".join(r.choice(vocab) for _ in range(80))) for k in range(400)]
+    df, lab = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([(k, 1) for k in range(0, 400, 2)], "doc_id long, quality int")
+    scores = [[], []]
+    for x in lm_scoring.score(df, lab).collect():
+        scores[x.doc_id % 2].append(x.score)
+    assert abs(np.median(scores[0]) - np.median(scores[1])) < 0.1
 
 
 def test_vocabulary_grows_with_the_corpus(spark):
     """Every word that occurs twice has bigrams of its own, however small its share; only single words are one symbol."""
     r = random.Random(12)
-    docs = [(k, prose(r, 120) + f" rare{k // 2} pair{k // 2} single{k} mat") for k in range(450)]
-    labels = [(k, int(k % 4 == 0)) for k in range(450)]
+    docs = [(k, prose(r, 30) + f" rare{k // 2} pair{k // 2} single{k} mat") for k in range(90)]
+    labels = [(k, int(k % 4 == 0)) for k in range(90)]
     df, lab = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, quality int")
+    model, _ = lm_scoring.fit(df, lab)
     n = Counter(w for _, t in docs for w in t.lower().split())
-    assert 2 * 20_000 < sum(n.values())
-    lists = {k: [w if n[w] > 1 else "?" for w in t.lower().split()] for k, t in docs}
-    size = len({w for x in lists.values() for w in x} - {"?"}) + 2
-    c = [Counter(p for k in lists if not t or k % 4 == 0 for p in zip(["^", *lists[k]], lists[k])) for t in (0, 1)]
-    after, kinds, one = ([Counter() for _ in c] for _ in range(3))
-    for m in (0, 1):
-        for (a, b), x in c[m].items():
-            after[m][a] += x
-            kinds[m][a] += 1
-            one[m][b] += x
-
-    def loss(m, a, b):
-        u = (one[m][b] + 1) / (sum(one[m].values()) + size)
-        return -math.log2((c[m][a, b] + kinds[m][a] * u) / (after[m][a] + kinds[m][a]) if after[m][a] else u)
-
+    assert model.size == sum(x > 1 for x in n.values()) + 2 and model.totals[0] == sum(n.values()) + len(docs)
     got = {x.doc_id: x for x in lm_scoring.score(df, lab).collect()}
-    for k in range(0, 450, 9):
-        p = list(zip(["^", *lists[k]], lists[k]))
-        assert math.isclose(got[k].target_loss, sum(loss(1, *x) for x in p) / len(p), rel_tol=1e-9)
-        assert math.isclose(got[k].background_loss, sum(loss(0, *x) for x in p) / len(p), rel_tol=1e-9)
+    for k, (_, a, b) in brute_scores(docs, labels).items():
+        assert math.isclose(got[k].target_loss, a, rel_tol=1e-9) and math.isclose(got[k].background_loss, b, rel_tol=1e-9)
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.one_of(st.none(), st.text(max_size=30), st.text(alphabet="aΣ \x1c\x85\u3000\n\tİß", max_size=30)), max_size=4))
+def test_arrow_cuts_words_as_python_does(texts):
+    h, codes, sizes = lm_scoring.coded(pa.array(texts, pa.string()))
+    lists = [lm_scoring.words_of(t or "") for t in texts]
+    assert sizes.tolist() == [len(x) for x in lists]
+    assert h[codes].tolist() == lm_scoring.hashes(w for x in lists for w in x).tolist()
 
 
 # -- quality classifier -----------------------------------------------------------------------------------------------------
