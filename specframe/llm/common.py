@@ -15,6 +15,7 @@ from __future__ import annotations
 import ctypes
 import gc
 import os
+import re
 import sys
 import tempfile
 import uuid
@@ -40,14 +41,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def checkpoint_root(spark: SparkSession) -> str:
     """The shared folder for checkpoints, as the cluster names it.
 
-    Only where the setting is absent (tests, a laptop) a temporary folder is
-    made and set.
+    Only where the setting is absent on a single machine (tests, a laptop) a
+    temporary folder is made and set; on a cluster it would be another one on
+    each machine, so there the setting is needed.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         found = spark.sparkContext._jsc.sc().getCheckpointDir()
         root = found.get() if found.isDefined() else None
     if not root:
+        if not re.fullmatch(r"local(\[[^]]*\])?", spark.sparkContext.master):
+            raise ValueError("a cluster needs spark.checkpoint.dir, a folder that all its machines share")
         root = "file://" + tempfile.mkdtemp(prefix="specframe-checkpoint-")
     if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
         spark.sparkContext.setCheckpointDir(root)
@@ -77,6 +81,14 @@ def cut(df: DataFrame) -> DataFrame:
     return DataFrame(spark._jsparkSession.createDataFrame(done._jdf.javaRDD(), done._jdf.schema()), spark)
 
 
+def written(df: DataFrame, what: str) -> DataFrame:
+    """Materialise as Parquet in the shared folder, so that later steps read only the columns they need."""
+    spark = df.sparkSession
+    path = f"file://{shared_folder(spark, what)}/table"
+    df.write.parquet(path)
+    return spark.read.parquet(path)
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
@@ -123,12 +135,17 @@ def texts_of(column: pa.Array) -> list[str]:
     return [x or "" for x in column.to_pylist()]
 
 
+def strings_of(column: pa.Array) -> list[str]:
+    """As ``to_pylist``, some times as fast."""
+    return column.to_numpy(zero_copy_only=False).tolist()
+
+
 def word_codes(column: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
     """Distinct words, the number of each word of all texts, and how many words each text has; cut as ``str.split`` does."""
     lists = pc.utf8_split_whitespace(pc.fill_null(column, ""))
     flat = lists.flatten().dictionary_encode()
     codes, ends = flat.indices.to_numpy().astype(np.int64), lists.offsets.to_numpy().astype(np.int64)
-    words = flat.dictionary.to_pylist()
+    words = strings_of(flat.dictionary)
     keep = np.array([bool(w) for w in words], dtype=bool)[codes] if words else np.zeros(0, dtype=bool)
     before = np.concatenate(([0], np.cumsum(keep)))
     return words, codes[keep], np.diff(before[ends])

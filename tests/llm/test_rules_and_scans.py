@@ -35,18 +35,93 @@ def test_features(texts):
     assert [tuple(int(f[k][i]) for k in perplexity_rules.FEATURES) for i in range(len(texts))] == [brute(t) for t in texts]
 
 
+def symbols_of(texts):
+    n = Counter(ord(c) for t in texts for c in t)
+    return perplexity_rules.alphabet(np.array(list(n)), np.array(list(n.values())))
+
+
 def test_model_is_a_distribution():
     r = random.Random(3)
-    code, _ = perplexity_rules.grams([prose(r, 500) for _ in range(5)])
+    texts = [prose(r, 500) for _ in range(5)]
+    code, _ = perplexity_rules.grams(texts, symbols_of(texts))
     gram, n = np.unique(code, return_counts=True)
     model = perplexity_rules.kneser_ney(gram, n)
     assert (np.diff(model["keys"].astype(object)) > 0).all()
-    contexts = [*(gram >> 5)[::37].tolist(), 0x7FFF, 12345]
-    for context in contexts:
-        p = 2.0 ** perplexity_rules.log_probabilities(model, (context << 5 | np.arange(32)).astype(np.uint32)).astype(float)
+    size = perplexity_rules.SYMBOLS
+    for context in [*(gram // size)[::37].tolist(), size**3 - 1, 12345]:
+        p = 2.0 ** perplexity_rules.log_probabilities(model, (context * size + np.arange(size)).astype(np.uint32)).astype(float)
         assert math.isclose(p.sum(), 1, abs_tol=1e-3) and (p > 0).all()
 
 
+def kneser_ney(counts, order, size):
+    """Probability of the last of a tuple of symbols after the others; plain dictionaries and recursion."""
+    levels = {order: counts}
+    for k in range(order - 1, 0, -1):
+        levels[k] = Counter(g[1:] for g in levels[k + 1])
+    discounts = {}
+    for k, c in levels.items():
+        t = [max(1, sum(n == x for n in c.values())) for x in (1, 2, 3, 4)]
+        y = t[0] / (t[0] + 2 * t[1])
+        raw = [1 - 2 * y * t[1] / t[0], 2 - 3 * y * t[2] / t[1], 3 - 4 * y * t[3] / t[2]]
+        discounts[k] = [0, *(min(max(x, 0.1), high) for x, high in zip(raw, (0.9, 1.9, 2.9)))]
+
+    def p(gram):
+        k = len(gram)
+        if not k:
+            return 1 / size
+        after = {g: n for g, n in levels[k].items() if g[:-1] == gram[:-1]}
+        if not after:
+            return p(gram[1:])
+        d = discounts[k]
+        own = after.get(gram, 0)
+        return (own - d[min(own, 3)] + sum(d[min(n, 3)] for n in after.values()) * p(gram[1:])) / sum(after.values())
+
+    return p
+
+
+def test_model_against_dictionaries():
+    r = random.Random(13)
+    texts = [prose(r, 60), "Ёлка и ёж, 12 # яблок!", "日本語"]
+    symbols = symbols_of(texts)
+    code, sizes = perplexity_rules.grams(texts, symbols)
+    padded = ["   " + t for t in texts]
+    plain = [tuple(int(symbols[ord(c)]) for c in t[k : k + 4]) for t in padded for k in range(len(t) - 3)]
+    size = perplexity_rules.SYMBOLS
+    assert code.tolist() == [((a * size + b) * size + c) * size + d for a, b, c, d in plain] and sizes.tolist() == [len(t) for t in texts]
+    gram, n = np.unique(code, return_counts=True)
+    model, p = perplexity_rules.kneser_ney(gram, n), kneser_ney(Counter(plain), 4, size)
+    tried = plain[::7] + [tuple(r.randrange(size) for _ in range(4)) for _ in range(60)] + [(*x[:3], r.randrange(size)) for x in plain[::9]]
+    got = perplexity_rules.log_probabilities(model, np.array([((a * size + b) * size + c) * size + d for a, b, c, d in tried], dtype=np.uint32))
+    assert np.allclose(got, [math.log2(p(x)) for x in tried], atol=1e-4)
+
+
+def test_letters_of_all_scripts_are_told_apart():
+    greek = "αβγδεζηθικλμνξοπρστυφχψω"
+    symbols = symbols_of([greek * 3, "Ω 1 , # \U0001f642", greek.upper()])
+    assert len({int(symbols[ord(c)]) for c in greek}) == 24 and all(symbols[ord(c)] == symbols[ord(c.upper())] for c in greek)
+    assert [int(symbols[ord(c)]) for c in " 1,#\U0001f642"] == [0, 1, 2, 6, 5]
+
+
+@pytest.mark.parametrize(("lang", "letters"), [("ru", "абвгдежзийклмнопрстуфхцчшщыьэюя"), ("el", "αβγδεζηθικλμνξοπρστυφχψω"), ("en", "abcdefghijklmnopqrstuvwxyz")])
+def test_bands_reject_what_is_unlike_the_language(spark, lang, letters):
+    r = random.Random(21)
+    syllables = ["".join(r.choice(letters) for _ in range(2)) for _ in range(25)]
+    vocab = ["".join(r.choice(syllables) for _ in range(r.randint(1, 4))) for _ in range(400)]
+    clean = [(k, " ".join(r.choice(vocab) for _ in range(150))) for k in range(120)]
+    junk = [(200 + k, " ".join("".join(r.choice(letters) for _ in range(r.randint(2, 8))) for _ in range(150))) for k in range(3)]
+    junk += [(300 + k, " ".join("".join(r.choice("#*$%&|<>") for _ in range(4)) + w for w in r.choices(vocab, k=120))) for k in range(3)]
+    df = spark.createDataFrame([(k, t, lang) for k, t in clean + junk], "doc_id long, text string, lang string")
+    kept = {x.doc_id for x in perplexity_rules.keep_good(df).collect()}
+    assert len(kept & set(range(120))) >= 118 and not kept - set(range(120))
+
+
+def test_tables_without_languages(spark):
+    r = random.Random(2)
+    df = spark.createDataFrame([(k, prose(r, 100)) for k in range(30)], "doc_id long, text string")
+    assert perplexity_rules.quality_rules(df).where("perplexity > 1").count() == 30
+    assert perplexity_rules.keep_good(df).columns == df.columns
+
+
 def test_quality_rules(spark):
     r = random.Random(1)
     clean = [(k, prose(r, 120), "en") for k in range(60)]
