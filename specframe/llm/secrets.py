@@ -3,15 +3,20 @@
 Labelled credentials of each format make a prefix tree.  Its states are
 merged where their outgoing frequencies are statistically compatible (a
 Hoeffding bound on every symbol and on ending, checked down the tree), which
-leaves a probabilistic automaton.  Another is inferred from labelled ordinary
-strings.  A candidate, any run of credential characters of ``LEAST`` or more,
-is scored by its log-likelihood under each format less that under the
-ordinary automaton, per character; from ``THRESHOLD`` on it is a span of the
-kind of its best format, unless it overlaps a base span.
-
-The credentials are made up by ``labelled``, with a fixed seed, from publicly
-known formats; any other labelled strings can be passed.  Null and empty texts
-have no spans.  Rows are independent.
+leaves a probabilistic automaton.  Others are inferred in the same way from
+labelled ordinary strings (identifiers, paths, class names, numbers, UUIDs,
+encoded data) and from at most ``WORDS`` long words of the corpus, those of the
+least hash; these are smoothed by how often each symbol occurs.  Every
+candidate, any run of credential characters of ``LEAST`` or more, is scored by
+its greatest log-likelihood under a format less the greatest under an ordinary
+automaton, per character; an automaton reads strings of about its examples'
+lengths that have the symbols which all of these have.  From ``THRESHOLD`` on a candidate is a span of the kind of
+its best format, beside the base spans that it may overlap.
+
+The labelled strings are made up by ``labelled``, with a fixed seed, from
+publicly known formats; any others can be passed.  A long word is a run of
+letters all in lower case, or all but the first, or all in upper case.  Null and
+empty texts have no spans.  Rows are independent but for these words.
 """
 
 from __future__ import annotations
@@ -20,8 +25,8 @@ import hashlib
 import math
 import random
 import re
-from collections import defaultdict
-from collections.abc import Iterator
+from collections import Counter, defaultdict
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -33,20 +38,45 @@ ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x2
 ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
 HEX = re.compile(r"[0-9a-f]{24,}")
 KINDS = ("assign", "access", "hex")
-LEAST, THRESHOLD, ALPHA, FLOOR = 20, 0.75, 0.05, math.log(1e-4)
+LEAST, THRESHOLD, ALPHA, FLOOR, SMOOTH, WORDS = 16, 0.75, 0.05, math.log(1e-4), 0.1, 3_000
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_.=-]{%d,}" % LEAST)
+LONG_WORD = re.compile(r"[A-Za-z][a-z]+|[A-Z]+")
+#: Candidates whose score a worker remembers; this changes speed only.
+REMEMBERED = 200_000
 
 _UPPER, _LOWER, _DIGIT = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz", "0123456789"
 
 
 def labelled(each: int = 150, seed: int = 7) -> dict[str, list[str]]:
-    """Made-up credentials by format, and ordinary strings under ``plain``."""
+    """Made-up credentials by format, and ordinary strings, whose kinds begin with ``plain``."""
     r = random.Random(seed)
 
     def of(alphabet: str, n: int) -> str:
         return "".join(r.choice(alphabet) for _ in range(n))
 
     word = _UPPER + _LOWER + _DIGIT
+    parts = "the and tion er in th ou re st on an at en ing ed or ea ti es ar le ha wh ly sh ble for co de ma pro con ter ver ent al is to be un heit keit ung lich sch ein ge zu aux eau eux ment elle cion ado mente que ez os".split()
+    terms = "user account manager factory service request response data source file path config build test main index page image view list item node key value token type name list load save read write parse core util common internal client server http json model table row column abstract default base simple handler provider builder adapter exception error".split()
+
+    def name(low: int, high: int) -> str:
+        return "".join(r.choice(parts) for _ in range(r.randint(low, high)))
+
+    def joined(separators: str, low: int, high: int, some: list[str] = terms) -> str:
+        s = r.choice(separators)
+        return s.join(r.choice(some) if r.random() < 0.8 else name(1, 4) for _ in range(r.randint(low, high)))
+
+    def long(make: Callable[[], str]) -> str:
+        text = make()
+        while len(text) < LEAST:
+            text += make()
+        return text
+
+    def camel() -> str:
+        return "".join(x.capitalize() for x in r.choices(terms, k=r.randint(2, 6)))
+
+    def hexes(*sizes: int) -> str:
+        return "-".join(of(_DIGIT + "abcdef", n) for n in sizes)
+
     makers = {
         "cloud_key": lambda: "AKIA" + of(_UPPER + _DIGIT, 16),
         "hex_key": lambda: of(_DIGIT + "abcdef", r.choice((32, 40, 64))),
@@ -57,29 +87,41 @@ def labelled(each: int = 150, seed: int = 7) -> dict[str, list[str]]:
         "map_key": lambda: "AIza" + of(word + "_-", 35),
         "web_token": lambda: "eyJ" + of(word, 30) + "." + of(word + "_-", 60) + "." + of(word + "_-", 43),
         "base64_key": lambda: of(word + "+/", 43) + "=",
+        "plain_word": lambda: (lambda x: x.capitalize() if r.random() < 0.3 else x.upper() if r.random() < 0.1 else x)(long(lambda: name(2, 5))),
+        "plain_joined": lambda: long(lambda: joined("_-.", 2, 6) + (r.choice("_-.") + of(_DIGIT, r.randint(1, 4)) if r.random() < 0.3 else "")),
+        "plain_upper": lambda: long(lambda: joined("_-", 2, 6)).upper(),
+        "plain_path": lambda: long(lambda: r.choice(("/", "", "../", "www.")) + joined("/", 2, 6) + r.choice(("", ".html", ".py", ".jpg", "/", f"-{r.randint(1, 99)}"))),
+        "plain_class": lambda: long(lambda: joined(".", 1, 4) + "." + camel()) if r.random() < 0.7 else long(camel),
+        "plain_number": lambda: long(lambda: r.choice((of(_DIGIT, r.randint(1, 20)), "2024-01-02", "1.", "10.0.0.1", "-"))),
+        "plain_line": lambda: r.choice("=-_.+/") * r.randint(LEAST, 80),
+        "plain_uuid": lambda: hexes(8, 4, 4, 4, 12) if r.random() < 0.8 else hexes(8, 4, 4, 4, 12).upper(),
+        "plain_data": lambda: of(word + "+/", r.randint(200, 900)) + r.choice(("", "=", "==")),
     }
-    parts = "the and tion er in th ou re st on an at en ing ed or ea ti es ar le ha wh ly sh ble for co de ma pro con ter ver ent al is to be un heit keit ung lich sch ein ge zu aux eau eux ment elle cion ado mente que ez os".split()
-
-    def plain() -> str:
-        text, kind = "", r.random()
-        while len(text) < r.randint(20, 36):
-            text += r.choice(parts) + (r.choice(("_", "-", ".", "/", "")) if kind < 0.5 else "") + (of(_DIGIT, r.randint(1, 4)) if kind < 0.15 else "")
-        if kind > 0.9:
-            return r.choice("=-_.") * r.randint(20, 60)
-        if 0.8 < kind < 0.9:
-            return of(_DIGIT, r.randint(20, 30))
-        if 0.5 < kind < 0.6:
-            text = of(_LOWER, r.randint(20, 36))  # a long word of any language
-        return text.upper() if 0.6 < kind < 0.8 else text.capitalize() if kind < 0.2 else text
-
-    return {k: [f() for _ in range(each)] for k, f in makers.items()} | {"plain": [plain() for _ in range(6 * each)]}
+    return {k: [f() for _ in range(each if k != "plain_data" else each // 5)] for k, f in makers.items()}
 
 
 class Automaton:
     """A probabilistic automaton: for each state, symbol -> (log-probability, next state)."""
 
-    def __init__(self, steps: list[dict[str, tuple[float, int]]], ends: list[float]):
+    def __init__(self, steps: list[dict[str, tuple[float, int]]], ends: list[float], strings: list[str] = ()):
         self.steps, self.ends = steps, ends
+        sizes = [len(s) for s in strings] or [0]
+        #: It reads strings of about the lengths of its examples that have the symbols which all of these have.
+        self.least, self.most = 0.75 * min(sizes), 1.5 * max(sizes) if strings else math.inf
+        self.needed = frozenset.intersection(*map(frozenset, strings)) if strings else frozenset()
+
+    def reads(self, text: str) -> bool:
+        return self.least <= len(text) <= self.most and self.needed <= frozenset(text)
+
+    def smoothed(self, strings: list[str]) -> Automaton:
+        """With a share ``SMOOTH`` of every step left to the symbols as often as the strings have them; an unseen one stays."""
+        counts = Counter(c for s in strings for c in s)
+        total = sum(counts.values())
+        steps = []
+        for k, own in enumerate(self.steps):
+            known = {c: (math.log((1 - SMOOTH) * math.exp(p) + SMOOTH * counts[c] / total), to) for c, (p, to) in own.items()}
+            steps.append({c: (math.log(SMOOTH * n / total), k) for c, n in counts.items()} | known)
+        return Automaton(steps, self.ends, strings)
 
     def log_likelihood(self, text: str, floor: float = FLOOR) -> float:
         state, total = 0, 0.0
@@ -171,21 +213,28 @@ def infer(strings: list[str], alpha: float = ALPHA) -> Automaton:
         total = through[s] + 0.01
         steps.append({c: (math.log(passed[s][c] / total), number[to]) for c, to in children[s].items() if passed[s][c]})
         ends.append(math.log(max(ending[s], 1e-3) / total))
-    return Automaton(steps, ends)
+    return Automaton(steps, ends, strings)
 
 
 class Scorer:
-    def __init__(self, examples: dict[str, list[str]] | None = None, threshold: float = THRESHOLD):
-        examples = examples or labelled()
-        self.plain = infer(examples["plain"])
-        self.formats = {k: infer(v) for k, v in examples.items() if k != "plain"}
+    def __init__(self, examples: dict[str, list[str]] | None = None, words: list[str] = (), threshold: float = THRESHOLD):
+        examples = dict(examples or labelled())
+        if words:
+            examples["plain_corpus"] = list(words)
+        self.plain = [infer(v).smoothed(v) for k, v in examples.items() if k.startswith("plain")]
+        self.formats = {k: infer(v) for k, v in examples.items() if not k.startswith("plain")}
         self.threshold = threshold
+        self.known: dict[str, tuple[float, str]] = {}
 
     def best(self, text: str) -> tuple[float, str]:
         """Log-likelihood ratio per character, and the format that has it."""
-        plain = self.plain.log_likelihood(text)
-        score, kind = max((a.log_likelihood(text), k) for k, a in self.formats.items())
-        return (score - plain) / len(text), kind
+        if (found := self.known.get(text)) is None:
+            plain = max((a.log_likelihood(text) for a in self.plain if a.reads(text)), default=FLOOR * len(text))
+            score, kind = max(((a.log_likelihood(text), k) for k, a in self.formats.items() if a.reads(text)), default=(-math.inf, ""))
+            found = (score - plain) / len(text), kind
+            if len(self.known) < REMEMBERED and len(text) < 100:
+                self.known[text] = found
+        return found
 
 
 def base_spans(text: str) -> list[tuple[int, int, str]]:
@@ -200,11 +249,9 @@ def spans(text: str, scorer: Scorer) -> tuple[list, list]:
     base = base_spans(text)
     added = []
     for m in CANDIDATE.finditer(text):
-        a, b = m.span()
-        if not any(s < b and a < e for s, _, e, _ in base):
-            score, kind = scorer.best(m[0])
-            if score >= scorer.threshold:
-                added.append((a, 3, b, kind))
+        score, kind = scorer.best(m[0])
+        if score >= scorer.threshold:
+            added.append((m.start(), 3, m.end(), kind))
     return base, sorted(base + added)
 
 
@@ -212,16 +259,26 @@ def joined(found: list) -> str:
     return ",".join(f"{kind}:{a}:{b}" for a, _, b, kind in found)
 
 
-_SCORERS: dict[float, Scorer] = {}
+def long_words(docs: DataFrame, most: int = WORDS) -> list[str]:
+    """At most so many of the corpus's distinct long words, those of the least hash."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for piece in slices(batch):
+                own = {w for t in texts_of(piece.column(TEXT)) for w in CANDIDATE.findall(t) if len(w) < 100 and LONG_WORD.fullmatch(w)}
+                yield pa.RecordBatch.from_pydict({"word": pa.array(list(own), pa.string())})
+
+    words = map_arrow(docs.select(F.col(TEXT)), run, "word string").distinct()
+    return [x["word"] for x in words.orderBy(F.xxhash64("word"), "word").limit(most).collect()]
 
 
-def find_secrets(docs: DataFrame, examples: dict[str, list[str]] | None = None, threshold: float = THRESHOLD) -> DataFrame:
+def find_secrets(docs: DataFrame, examples: dict[str, list[str]] | None = None, threshold: float = THRESHOLD, words: int = WORDS) -> DataFrame:
     """doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_added.
 
-    The automata are inferred on the driver from the labelled strings (at most
-    some thousands) and sent with the task.
+    The automata are inferred on the driver from the labelled strings and words
+    (at most some thousands) and sent with the task.
     """
-    scorer = Scorer(examples, threshold)
+    scorer = Scorer(examples, long_words(docs, words) if words else (), threshold)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
