@@ -15,9 +15,9 @@ its host and the first segment of its path, else the columns ``source`` and
 shrunk towards the global mean by as many pseudo-documents as the spread among
 hosts says (method of moments); a path's is shrunk towards its host's in the
 same way.  So sparse sites fall back on what is above them.  A document's
-posterior log-odds are its own plus its path's less the global ones, the site's
-part kept within ``SITE``.  Sums are grouped; a hot site is split by salt when
-its figures go back to its documents.
+posterior log-odds are its own plus its path's less the global ones; nothing but
+the shrinkage bounds the site's part.  Sums are grouped; a hot site is split by
+salt when its figures go back to its documents.
 
 Null texts count as empty: they have the prior and the site's evidence only.
 Null hosts and paths are sites of their own.  Labels that repeat an id count by
@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 
 from .common import DOC, TEXT, cut, map_arrow, mix64, slices, texts_of
 
-SAMPLE, SIGNIFICANT, KEYS, SITE, SALT, MOST = 20_000, 5.0, 4, 1.0, 32, 1e4
+SAMPLE, SIGNIFICANT, KEYS, SALT, MOST = 20_000, 5.0, 4, 32, 1e4
 #: Stands for every document among the features.
 EVERY = -1
 HEADS = ("quality", "toxic")
@@ -228,6 +228,6 @@ def classify(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFr
     for h in HEADS:
         p = F.least(F.greatest(F.col(f"{h}_site"), F.lit(1e-4)), F.lit(1 - 1e-4))
         shift = F.ln(p / (1 - p)) - float(np.log(means[h] / (1 - means[h])))
-        odds = F.col(f"{h}_odds") + F.least(F.greatest(shift, F.lit(-SITE)), F.lit(SITE))
+        odds = F.col(f"{h}_odds") + shift
         cols += [F.col(f"{h}_p").alias(f"{h}_document"), F.col(f"{h}_site"), (1 / (1 + F.exp(-odds))).alias(f"{h}_posterior")]
     return joined.select(*cols).withColumn("kept", (F.col("quality_posterior") >= 0.5) & (F.col("toxic_posterior") < 0.5))

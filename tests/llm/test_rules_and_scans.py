@@ -2,6 +2,7 @@ import hashlib
 import math
 import random
 import re
+import sys
 from collections import Counter
 
 import numpy as np
@@ -164,10 +165,9 @@ def test_base_spans(text):
 def test_inferred_formats():
     scorer = secrets.Scorer()
     held_out = secrets.labelled(60, seed=99)
-    plain = [scorer.best(x)[0] >= scorer.threshold for x in held_out.pop("plain")]
-    assert sum(plain) < 0.08 * len(plain)
     for kind, xs in held_out.items():
-        assert sum(scorer.best(x)[0] >= scorer.threshold for x in xs) >= 0.9 * len(xs), kind
+        found = sum(scorer.best(x)[0] >= scorer.threshold for x in xs)
+        assert found < 0.05 * len(xs) if kind.startswith("plain") else found >= 0.9 * len(xs), kind
 
 
 def test_find_secrets(spark):
@@ -180,7 +180,8 @@ def test_find_secrets(spark):
         assert [rows[k].n_assign, rows[k].n_access, rows[k].n_hex] == [sum(b[3] == x for b in base) for x in secrets.KINDS]
         assert rows[k].base_sha256 == hashlib.sha256(secrets.joined(base).encode()).hexdigest()
     assert rows[1].spans == f"forge_token:4:{4 + len(forge)}" and rows[1].n_added == 1
-    assert rows[5].n_added == 0 and rows[5].n_access == 1
+    # Every candidate is scored, also one that is a base span.
+    assert rows[5].n_added == 1 and rows[5].n_access == 1 and rows[5].spans == "access:7200:7220,cloud_key:7200:7220"
     assert secrets.find_secrets(df.limit(0)).count() == 0
 
 
@@ -312,3 +313,108 @@ def test_sites_from_urls(spark, url):
     df = spark.createDataFrame([(1, "t", url)], "doc_id long, text string, url string")
     row = quality._sited(df).first()
     assert (row.host, row.path) == (("=a.example", "=x") if url else ("", ""))
+
+
+def brute_posteriors(rows):
+    """Host and path posteriors of (host, path, p) rows: each group's sum shrunk towards what is above it, by moments."""
+    def strength(groups):
+        n = sum(g[0] for g in groups)
+        spread = sum(g[0] * (g[1] / g[0] - g[2]) ** 2 for g in groups)
+        between = max(0, spread - sum(g[2] * (1 - g[2]) for g in groups)) / n
+        whole = sum(g[0] * g[2] * (1 - g[2]) for g in groups) / n
+        return min(max(whole / between - 1, 1), quality.MOST) if between > 0 and whole > 0 else quality.MOST
+
+    mean = min(max(sum(p for *_, p in rows) / len(rows), 1e-4), 1 - 1e-4)
+    hosts, paths = {}, {}
+    for host, path, p in rows:
+        hosts.setdefault(host, []).append(p)
+        paths.setdefault((host, path), []).append(p)
+    m = strength([(len(x), sum(x), mean) for x in hosts.values()])
+    host_mean = {k: (sum(x) + m * mean) / (len(x) + m) for k, x in hosts.items()}
+    m = strength([(len(x), sum(x), host_mean[k[0]]) for k, x in paths.items()])
+    return mean, {k: (sum(x) + m * host_mean[k[0]]) / (len(x) + m) for k, x in paths.items()}
+
+
+def test_posteriors_against_brute_force(spark):
+    r = random.Random(15)
+    docs, labels = [], []
+    for k in range(300):
+        host = f"h{min(int(r.expovariate(0.7)), 5)}"
+        bad = r.random() < (0.7 if host == "h1" else 0.1)
+        docs.append((k, prose(r, 40) + (" ### spam offer" * 5 if bad else " and so on"), host, r.choice(("en", "de", None))))
+        labels.append((k, int(not bad), int(k % 9 == 0)))
+    docs += [(400, None, "alone", None), (401, "", None, "zz"), (402, prose(r, 20_000), "h0", "en"), (None, prose(r, 20), "h0", "en")]
+    df = spark.createDataFrame(docs, "doc_id long, text string, source string, lang string").selectExpr("*", "1 AS salt", "2 AS path")
+    lab = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    got = quality.classify(df, lab).collect()
+    assert len(got) == len(docs)
+    own = {x.doc_id: x for x in got}
+    for head in quality.HEADS:
+        mean, sites = brute_posteriors([(d[2], d[3], own[d[0]][f"{head}_document"]) for d in docs])
+        for d in docs:
+            x, site = own[d[0]], sites[d[2], d[3]]
+            assert math.isclose(x[f"{head}_site"], site, rel_tol=1e-9)
+            logit = lambda p: math.log(p / (1 - p))
+            odds = logit(x[f"{head}_document"]) + logit(min(max(site, 1e-4), 1 - 1e-4)) - logit(mean)
+            assert math.isclose(x[f"{head}_posterior"], 1 / (1 + math.exp(-odds)), rel_tol=1e-6, abs_tol=1e-9)
+    assert all(x.kept == (x.quality_posterior >= 0.5 and x.toxic_posterior < 0.5) for x in got)
+
+
+# -- grammar inference ------------------------------------------------------------------------------------------------------
+
+
+def automaton_probability(a, text):
+    state, p = 0, 1.0
+    for c in text:
+        if c not in a.steps[state]:
+            return 0.0
+        step, state = a.steps[state][c]
+        p *= math.exp(step)
+    return p * math.exp(a.ends[state])
+
+
+def test_unmerged_and_wholly_merged_automata_are_the_frequencies():
+    """Where nothing merges, a string's likelihood is its share of the examples; where all does, symbols are drawn alone."""
+    r = random.Random(16)
+    strings = ["".join(r.choice("ab" if r.random() < 0.8 else "c") for _ in range(r.randint(1, 4))) for _ in range(300)]
+    tree = secrets.infer(strings, alpha=1.9999)
+    counts = Counter(strings)
+    for s, n in counts.items():
+        assert math.isclose(automaton_probability(tree, s), n / len(strings), rel_tol=0.02)
+        assert math.isclose(math.exp(tree.log_likelihood(s)), n / len(strings), rel_tol=0.02)
+    one = secrets.infer(strings, alpha=1e-300)
+    symbols, total = Counter("".join(strings)), sum(map(len, strings)) + len(strings)
+    assert len(one.steps) == 1
+    for s in counts:
+        expected = math.prod(symbols[c] / total for c in s) * len(strings) / total
+        assert math.isclose(automaton_probability(one, s), expected, rel_tol=0.01)
+
+
+def test_merging_finds_the_automaton():
+    """Strings of a known two-state automaton: a state that goes on or ends, and one that must go on."""
+    r = random.Random(17)
+
+    def draw():
+        out = ""
+        while r.random() < 0.6:
+            out += "ab"
+        return out + "c"
+
+    a = secrets.infer([draw() for _ in range(2000)])
+    assert len(a.steps) == 3
+    for n in range(5):
+        assert math.isclose(automaton_probability(a, "ab" * n + "c"), 0.6**n * 0.4, rel_tol=0.15)
+    assert automaton_probability(a, "aabc") == 0 and automaton_probability(a, "ab") < 0.01
+
+
+def test_ordinary_strings_are_left_alone():
+    """UUIDs, qualified names and paths that really occur."""
+    import os
+    import uuid
+
+    scorer, r = secrets.Scorer(), random.Random(18)
+    names = sorted({f"{m}.{n}" for m, x in list(sys.modules.items()) if x for n in dir(x) if len(m + n) > 18 and secrets.CANDIDATE.fullmatch(f"{m}.{n}")})
+    where = os.path.dirname(np.__file__)
+    paths = [os.path.join(d, f) for d, _, files in os.walk(where) for f in files if secrets.CANDIDATE.fullmatch(os.path.join(d, f))]
+    for strings in ([str(uuid.UUID(int=r.getrandbits(128))) for _ in range(300)], r.sample(names, 500), r.sample(paths, 300), ["com.example.service.UserAccountManagerFactory"]):
+        assert sum(scorer.best(x)[0] >= scorer.threshold for x in strings) < 0.05 * len(strings)
