@@ -1,13 +1,11 @@
 """Matching of peaks with target m/z values by integer bins.
 
 A peak occupies the bins within the precision of its m/z; a target matches if
-its own bin is one of them.  Two plans give the same rows:
-
-* a target list of at most ``BROADCAST_TARGETS`` rows, counted first, goes to
-  every task, which tests ``bin between low and high``;
-* a longer list is joined by coarse buckets: each peak lies in the one to three
-  buckets that its window touches, so the join is an equality and the interval
-  is tested within a bucket.
+its own bin is one of them.  Peaks lie in coarse buckets of m/z, a target is
+listed in the one to three buckets where a peak may match it, so the join is an
+equality on the bucket (and on further columns), with the interval tested within
+it.  Peaks stay as they are; only targets, the short side, are listed more than
+once.  Where the targets are known to be few, Spark broadcasts them.
 """
 
 from __future__ import annotations
@@ -20,7 +18,8 @@ from pyspark.sql import functions as F
 from specframe.functions.numeric import bin_window, internal_precision, mz_bin, ppm_shift
 from specframe.operators.peaks import KEYS
 
-BROADCAST_TARGETS = 1_000
+#: Buckets are as wide as the window of a peak at this m/z.
+WIDEST = 1000.0
 
 
 def with_window(peaks: DataFrame, precision: float) -> DataFrame:
@@ -28,29 +27,23 @@ def with_window(peaks: DataFrame, precision: float) -> DataFrame:
     return peaks.withColumn("low", low).withColumn("high", high)
 
 
-def match(peaks: DataFrame, targets: DataFrame, precision: float, target: str = "target", small: bool | None = None, on: Sequence[str] = ()) -> DataFrame:
-    """Each peak beside each target that it matches; ``on`` names columns that must agree as well."""
+def _bucketed(peaks: DataFrame, targets: DataFrame, precision: float, target: str) -> tuple[DataFrame, DataFrame]:
+    """Peaks with their window and bucket, and targets with their bin in every bucket whose peaks may match."""
+    bins = internal_precision(precision)
+    width = 2 * WIDEST * precision * bins + 1
     low, high = bin_window("mz", precision)
-    own = peaks.withColumn("__low", low).withColumn("__high", high)
-    probe = targets.withColumn("__bin", mz_bin(target, precision))
+    own = peaks.withColumns({"__low": low, "__high": high, "__bucket": F.floor(F.col("mz") * bins / width)})
+    # A bin is at most one from the target, and the window's ends are rounded as well.
+    first, last = ((F.col("__bin") - 1) / (1 + precision), (F.col("__bin") + 1) / (1 - precision))
+    listed = F.explode(F.sequence(F.floor(first / width), F.floor(last / width)))
+    return own, targets.withColumn("__bin", mz_bin(target, precision)).withColumn("__bucket", listed)
+
+
+def match(peaks: DataFrame, targets: DataFrame, precision: float, target: str = "target", on: Sequence[str] = ()) -> DataFrame:
+    """Each peak beside each target that it matches; ``on`` names columns that must agree as well."""
+    own, probe = _bucketed(peaks, targets, precision, target)
     inside = F.col("__bin").between(F.col("__low"), F.col("__high"))
-    renamed = probe
-    for c in on:
-        renamed = renamed.withColumnRenamed(c, f"__on_{c}")
-        inside = inside & (F.col(c) == F.col(f"__on_{c}"))
-    if small is None:
-        small = not on and targets.limit(BROADCAST_TARGETS + 1).count() <= BROADCAST_TARGETS
-    if small:
-        out = own.join(F.broadcast(renamed), inside)
-    elif on:
-        out = own.join(renamed, inside)
-    else:
-        # A bucket is as wide as the widest window at m/z 1000; wider windows touch some more.
-        width = max(1, round(2 * 1000 * precision * internal_precision(precision)) + 1)
-        bucketed = own.withColumn("__bucket", F.explode(F.sequence(F.floor(F.col("__low") / width), F.floor(F.col("__high") / width))))
-        probe = renamed.withColumn("__bucket", F.floor(F.col("__bin") / width))
-        out = bucketed.join(probe, "__bucket").where(inside).drop("__bucket")
-    return out.drop("__low", "__high", "__bin", *[f"__on_{c}" for c in on])
+    return own.join(probe, ["__bucket", *on]).where(inside).drop("__low", "__high", "__bin", "__bucket")
 
 
 def has_peak(peaks: DataFrame, targets: DataFrame, precision: float, keys: Sequence[str] = KEYS) -> DataFrame:
@@ -81,10 +74,9 @@ def bin_set_size(peaks: DataFrame, precision: float, keys: Sequence[str] = KEYS)
 
 def spectra_with(peaks: DataFrame, targets: DataFrame, precision: float, keys: Sequence[str] = KEYS) -> DataFrame:
     """Peaks that match any target, each once (a semi join)."""
-    low, high = bin_window("mz", precision)
-    own = peaks.withColumn("__low", low).withColumn("__high", high)
-    probe = targets.select(mz_bin("target", precision).alias("__bin"))
-    return own.join(probe, F.col("__bin").between(F.col("__low"), F.col("__high")), "left_semi").drop("__low", "__high")
+    own, probe = _bucketed(peaks, targets.select("target"), precision, "target")
+    both = (F.col("p.__bucket") == F.col("t.__bucket")) & F.col("t.__bin").between(F.col("p.__low"), F.col("p.__high"))
+    return own.alias("p").join(probe.alias("t"), both, "left_semi").drop("__low", "__high", "__bucket")
 
 
 def extracted_ion_chromatogram(scans: DataFrame, peaks: DataFrame, targets: DataFrame, precision: float, ms_level: int = 1, key: str = "spec_id") -> DataFrame:
@@ -94,9 +86,14 @@ def extracted_ion_chromatogram(scans: DataFrame, peaks: DataFrame, targets: Data
 
 
 def remove_precursor_peaks(peaks: DataFrame, precursors: DataFrame, precision: float, keys: Sequence[str] = KEYS) -> DataFrame:
-    """Peaks without those that match a precursor of their own spectrum; precursors have keys… and target."""
-    hit = match(peaks.select(*keys, "mz"), precursors, precision, on=list(keys)).select(*keys, "mz").distinct()
-    return peaks.join(hit, [*keys, "mz"], "left_anti").select(peaks.columns)
+    """Peaks without those that match a precursor of their own spectrum; precursors have keys… and target.
+
+    A spectrum's few precursors come to its peaks as one array, so peaks meet them once.
+    """
+    bins = precursors.groupBy(*keys).agg(F.collect_set(mz_bin("target", precision)).alias("__bins"))
+    low, high = bin_window("mz", precision)
+    hit = F.coalesce(F.exists("__bins", lambda b: b.between(low, high)), F.lit(False))
+    return peaks.join(bins, list(keys), "left").where(~hit).select(peaks.columns)
 
 
 def annotate(peaks: DataFrame, ions: DataFrame, precision: float, keys: Sequence[str] = KEYS) -> DataFrame:

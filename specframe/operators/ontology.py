@@ -68,6 +68,11 @@ def name_of(terms: DataFrame, accession: str) -> DataFrame:
     return terms.where(F.col("id") == accession).select("name")
 
 
+def with_names(rows: DataFrame, terms: DataFrame, accession: str = "accession", name: str = "name") -> DataFrame:
+    """Rows with the name of the term that a column refers to; those of unknown terms are left out."""
+    return rows.join(terms.select(F.col("id").alias(accession), F.col("name").alias(name)), accession)
+
+
 def is_a(terms: DataFrame, child: str, parent: str) -> DataFrame:
     """One row: whether the child names the parent directly; an unknown child doesn't."""
     hit = terms.where(F.col("id") == child).where(F.exists("is_a", lambda x: x.startswith(parent)))

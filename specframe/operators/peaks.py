@@ -80,10 +80,11 @@ def noise_level_of(peaks: DataFrame, mode: str = "median", keys: Sequence[str] =
     return away.groupBy(*keys).agg(F.median("away").alias("noise"))
 
 
-def extreme_values(peaks: DataFrame, column: str, keys: Sequence[str] = KEYS) -> DataFrame:
-    if column not in ("mz", "i"):
+def extreme_values(peaks: DataFrame, *columns: str, keys: Sequence[str] = KEYS) -> DataFrame:
+    """Least and greatest m/z, intensity, or both in one pass."""
+    if not columns or not {*columns} <= {"mz", "i"}:
         raise ValueError("extreme values are of mz or i")
-    return peaks.groupBy(*keys).agg(F.min(column).alias(f"min_{column}"), F.max(column).alias(f"max_{column}"))
+    return peaks.groupBy(*keys).agg(*[f(c).alias(f"{n}_{c}") for c in columns for n, f in (("min", F.min), ("max", F.max))])
 
 
 def highest_peaks(peaks: DataFrame, n: int, keys: Sequence[str] = KEYS) -> DataFrame:
@@ -166,10 +167,12 @@ def normalise(peaks: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
 
 
 def combine(left: DataFrame, right: DataFrame, precision: float, sign: int = 1, keys: Sequence[str] = ()) -> DataFrame:
-    """Sum (or, by a sign of -1, difference) of two sets of spectra on their common grid: keys…, k, mz, i."""
-    a = reprofile(left, precision, keys)
-    b = reprofile(right, precision, keys).withColumn("i", F.col("i") * sign)
-    return a.unionByName(b).groupBy(*keys, "k", "mz").agg(F.sum("i").alias("i"))
+    """Sum (or, by a sign of -1, difference) of two sets of spectra on their common grid: keys…, k, mz, i.
+
+    Spreading peaks over the grid is linear, so both sets are spread and added up at once.
+    """
+    columns = [*keys, "mz", "i"]
+    return reprofile(left.select(columns).unionByName(right.withColumn("i", F.col("i") * sign).select(columns)), precision, keys)
 
 
 def average(peaks: DataFrame, precision: float, keys: Sequence[str] = KEYS) -> DataFrame:

@@ -96,6 +96,22 @@ def with_param_groups(spectra: DataFrame, groups: DataFrame) -> DataFrame:
     return joined.withColumn("cv", F.concat("cv", F.coalesce("__cv", F.array().cast(groups.schema["cv"].dataType)))).drop("__id", "__cv")
 
 
+# -- elements as text ---------------------------------------------------------------------------------------------------
+
+
+def elements_by_path(xml: Column | str, path: str) -> Column:
+    """Texts (or attributes) of all elements that an XPath names, from a column of whole elements."""
+    return F.xpath(xml, F.lit(path))
+
+
+def element_by_name(xml: Column | str, name: str) -> Column:
+    """The value of the first parameter of a name or accession in an element; null if there is none."""
+    if "'" in name:
+        raise ValueError("a parameter's name has no quotes")
+    xml = F.col(xml) if isinstance(xml, str) else xml
+    return F.get(F.xpath(xml, F.lit(f"//cvParam[@name='{name}' or @accession='{name}']/@value")), F.lit(0))
+
+
 # -- precursors --------------------------------------------------------------------------------------------------------
 
 
@@ -146,6 +162,18 @@ def search_id(table: DataFrame, text: str, raw: str = "id_raw", order: str = "id
     return table.where(F.col(raw).contains(text)).orderBy(order).limit(1)
 
 
+def by_name(table: DataFrame, name: str, key: str = "id") -> DataFrame:
+    """Rows of a name, whatever its case, such as a chromatogram's."""
+    return table.where(F.upper(key) == name.upper())
+
+
+def search_any(spectra: DataFrame, chromatograms: DataFrame, text: str) -> DataFrame:
+    """kind, id of the first spectrum whose raw id holds the text; if there is none, of the first such chromatogram."""
+    found = search_id(spectra, text).select(F.lit("spectrum").alias("kind"), F.col("id_raw").alias("id"))
+    other = search_id(chromatograms, text, "id").select(F.lit("chromatogram").alias("kind"), "id")
+    return found.unionByName(other).orderBy(F.desc("kind")).limit(1)
+
+
 def first_scans(table: DataFrame, k: int, order: str = "idx") -> DataFrame:
     return table.orderBy(order).limit(k)
 

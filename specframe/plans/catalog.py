@@ -14,16 +14,16 @@ from functools import partial
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from specframe.functions import numeric
+from specframe.functions import numeric, series
 from specframe.operators import deconvolute, match, ontology, similarity, spectra, traces
 from specframe.operators import peaks as pk
-from specframe.session import importable
-from specframe.sources import codec, mzml
+from specframe.session import importable, work_folder
+from specframe.sources import codec, igzip, mzml
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 P = 20e-6
-TARGETS = (100.5, 250.25, 333.33, 499.99, 750.0)
+TARGETS = tuple(round(52.5 + 4.73 * k, 2) for k in range(200))
 
 SQL_PEAKS = "peaks AS (SELECT l_suppkey AS spec_id, l_extendedprice / 100.0::DOUBLE AS mz, round(sum(l_quantity * (1 - l_discount) * (1 + l_tax)), 6) AS i FROM lineitem GROUP BY 1, 2)"
 SQL_TARGETS = "targets AS (SELECT * FROM (VALUES " + ", ".join(f"({t}::DOUBLE)" for t in TARGETS) + ") AS t(target))"
@@ -103,9 +103,9 @@ def has_peak(spark, d):
     f"WITH {SQL_PEAKS}, {SQL_BINS}, t AS (SELECT DISTINCT p_retailprice / 2 AS target FROM part) SELECT spec_id, count(*) AS n_matches FROM binned JOIN t ON round_even(target * 2500, 0)::BIGINT BETWEEN low AND high GROUP BY 1",
 )
 def has_peak_many(spark, d):
-    """The same join by buckets, as for long target lists."""
+    """As many targets as there are parts."""
     t = _t(spark, d, "part").select((F.col("p_retailprice") / 2).alias("target")).distinct()
-    return match.match(_peaks(spark, d), t, P, small=False).groupBy("spec_id").agg(F.count("*").alias("n_matches"))
+    return match.match(_peaks(spark, d), t, P).groupBy("spec_id").agg(F.count("*").alias("n_matches"))
 
 
 @query(
@@ -194,8 +194,7 @@ def highest_peaks(spark, d):
 
 @query("extreme_values", f"WITH {SQL_PEAKS} SELECT spec_id, min(mz) AS min_mz, max(mz) AS max_mz, min(i) AS min_i, max(i) AS max_i FROM peaks GROUP BY 1")
 def extreme_values(spark, d):
-    p = _peaks(spark, d)
-    return pk.extreme_values(p, "mz").join(pk.extreme_values(p, "i"), "spec_id")
+    return pk.extreme_values(_peaks(spark, d), "mz", "i")
 
 
 @query("transformed_peaks", f"WITH {SQL_PEAKS} SELECT spec_id, round_even(mz * 2500, 0)::BIGINT AS bin, i FROM peaks")
@@ -217,8 +216,18 @@ def ppm_and_mass(spark, d):
     SELECT x.spec_id AS left_id, y.spec_id AS right_id, round(sum(x.i * y.i) / any_value(nx.norm * ny.norm), 6) AS cosine FROM b x JOIN b y USING (bin) JOIN n nx ON nx.spec_id = x.spec_id JOIN n ny ON ny.spec_id = y.spec_id GROUP BY 1, 2""",
 )
 def cosine_similarity(spark, d):
+    return similarity.pairwise_cosine(_peaks(spark, d)).withColumn("cosine", F.round("cosine", 6))
+
+
+@query(
+    "cosine_between",
+    f"""WITH {SQL_PEAKS}, b AS (SELECT spec_id, round_even(mz, 1) AS bin, sum(i) AS i FROM peaks GROUP BY 1, 2), n AS (SELECT spec_id, sqrt(sum(i * i)) AS norm FROM b GROUP BY 1)
+    SELECT x.spec_id AS left_id, y.spec_id AS right_id, round(sum(x.i * y.i) / any_value(nx.norm * ny.norm), 6) AS cosine FROM b x JOIN b y USING (bin) JOIN n nx ON nx.spec_id = x.spec_id JOIN n ny ON ny.spec_id = y.spec_id WHERE x.spec_id % 2 = 1 AND y.spec_id % 2 = 0 GROUP BY 1, 2""",
+)
+def cosine_between(spark, d):
+    """Two sets of spectra, by tenths of m/z."""
     p = _peaks(spark, d)
-    return similarity.cosine(p, p).withColumn("cosine", F.round("cosine", 6))
+    return similarity.cosine(p.where("spec_id % 2 = 1"), p.where("spec_id % 2 = 0"), 1).withColumn("cosine", F.round("cosine", 6))
 
 
 @query(
@@ -248,12 +257,6 @@ def scale_div(spark, d):
     return pk.divide(_peaks(spark, d), 4.0)
 
 
-@query("average_spectra", f"WITH {SQL_PEAKS}, n AS (SELECT mz, i / sum(i) OVER (PARTITION BY spec_id) AS i FROM peaks) SELECT round_even(mz, 0)::BIGINT AS bin, round(sum(i), 6) AS i FROM n GROUP BY 1")
-def average_spectra(spark, d):
-    n = pk.normalise(_peaks(spark, d))
-    return n.groupBy(F.bround("mz", 0).cast("long").alias("bin")).agg(F.round(F.sum("i"), 6).alias("i"))
-
-
 SQL_GRID = """{name} AS (SELECT {key} AS key, k, k / 625.0::DOUBLE AS mz, sum(i * exp(-((mz - k / 625.0::DOUBLE) * (mz - k / 625.0::DOUBLE)) / (2 * s * s))) AS i FROM
     (SELECT spec_id, mz, i, s, unnest(range(low, high + 1)) AS k FROM (SELECT spec_id, mz, i, mz * 4e-5::DOUBLE AS s, round_even((mz - 5 * (mz * 4e-5::DOUBLE)) * 625, 0)::BIGINT AS low, round_even((mz + 5 * (mz * 4e-5::DOUBLE)) * 625, 0)::BIGINT AS high FROM peaks WHERE {which})) WHERE k % 5 = 0 GROUP BY 1, 2, 3)"""
 SQL_ODD, SQL_EVEN = (SQL_GRID.format(name=n, key="(spec_id + 1) // 2", which=f"spec_id % 2 = {r}") for n, r in (("g", 1), ("h", 0)))
@@ -264,6 +267,14 @@ def reprofile_grid(spark, d):
     return pk.reprofile(_peaks(spark, d), P).select("spec_id", "k", F.round("mz", 6).alias("mz"), F.round("i", 6).alias("i"))
 
 
+@query(
+    "average_spectra",
+    f"WITH {SQL_PEAKS.replace('peaks AS', 'raw AS')}, peaks AS (SELECT spec_id, mz, i / sum(i) OVER (PARTITION BY spec_id) AS i FROM raw), {SQL_GRID.format(name='g', key='0', which='true')} SELECT k, round(mz, 6) AS mz, round(i, 8) AS i FROM g",
+)
+def average_spectra(spark, d):
+    return pk.average(_peaks(spark, d), P).select("k", F.round("mz", 6).alias("mz"), F.round("i", 8).alias("i"))
+
+
 for _name, _sign in (("spectrum_add", 1), ("spectrum_sub", -1)):
 
     @query(
@@ -348,9 +359,9 @@ def lookup_bounds(spark, d):
     return spectra.bounds(_scans(spark, d))
 
 
-@query("string_id_search", "SELECT p_partkey AS idx, p_name AS id_raw FROM part WHERE contains(p_name, '7') ORDER BY p_partkey LIMIT 1")
+@query("string_id_search", "SELECT p_partkey AS idx, p_name AS id_raw FROM part WHERE contains(p_name, 'cold') ORDER BY p_partkey LIMIT 1")
 def string_id_search(spark, d):
-    return spectra.search_id(_t(spark, d, "part").select(F.col("p_partkey").alias("idx"), F.col("p_name").alias("id_raw")), "7")
+    return spectra.search_id(_t(spark, d, "part").select(F.col("p_partkey").alias("idx"), F.col("p_name").alias("id_raw")), "cold")
 
 
 @query("first_scans", "SELECT o_orderkey AS native_id, o_totalprice AS tic FROM orders ORDER BY o_orderkey LIMIT 5")
@@ -423,7 +434,7 @@ def chrom_tic(spark, d):
 
 @query("chrom_by_name", "SELECT event_id, value AS i FROM events WHERE event_type = 'click'")
 def chrom_by_name(spark, d):
-    return _t(spark, d, "events").where(F.col("event_type") == "click").select("event_id", F.col("value").alias("i"))
+    return spectra.by_name(_t(spark, d, "events"), "CLICK", "event_type").select("event_id", F.col("value").alias("i"))
 
 
 @query("chrom_windows", "SELECT event_type AS id, strftime(date_trunc('hour', ts), '%Y-%m-%d %H') AS hour, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2")
@@ -464,8 +475,8 @@ def ontology_ancestors(spark, d):
 
 @query("accession_join", f"WITH {SQL_TERMS} SELECT c_custkey, name FROM customer JOIN terms ON id = 'NA:' || c_nationkey")
 def accession_join(spark, d):
-    terms = _terms(spark, d).select("id", "name")
-    return _t(spark, d, "customer").select("c_custkey", F.concat(F.lit("NA:"), "c_nationkey").alias("id")).join(terms, "id").select("c_custkey", "name")
+    rows = _t(spark, d, "customer").select("c_custkey", F.concat(F.lit("NA:"), "c_nationkey").alias("accession"))
+    return ontology.with_names(rows, _terms(spark, d)).select("c_custkey", "name")
 
 
 # -- traces -------------------------------------------------------------------------------------------------------------------
@@ -509,10 +520,12 @@ def plot_extents(spark, d, points_of=_top):
     return traces.extents(points_of(spark, d))
 
 
-@query("trace_json", SQL_TOP + " SELECT plot, json_array_length(to_json(list(x)))::INT AS n FROM top GROUP BY 1")
+@query("trace_json", SQL_TOP + " SELECT plot, json_array_length(to_json(list(x)))::INT AS n, round(sum(x), 4) AS sum_x, round(sum(y), 4) AS sum_y FROM top GROUP BY 1")
 def trace_json(spark, d, points_of=_top):
     j = traces.to_json(traces.trace(points_of(spark, d), "points", ["plot"]), ["plot"], ["x"])
-    return j.select("plot", F.json_array_length(F.get_json_object("json", "$.x")).alias("n"))
+    read = j.select("plot", F.from_json("json", "x array<double>, y array<double>").alias("p"))
+    total = lambda c: F.round(F.aggregate(F.col(c), F.lit(0.0), lambda s, x: s + x), 4)
+    return read.select("plot", F.size("p.x").alias("n"), total("p.x").alias("sum_x"), total("p.y").alias("sum_y"))
 
 
 SQL_PLOT = f"WITH {SQL_PEAKS}, top AS (SELECT spec_id AS plot, mz AS x, i AS y FROM peaks)"
@@ -574,13 +587,8 @@ def slof_roundtrip(spark, d):
 @query("numpress_linear_delta", f"WITH {SQL_PEAKS} SELECT spec_id, round_even(mz * 100, 0)::BIGINT AS x FROM peaks")
 def numpress_linear_delta(spark, d):
     """Second differences and back by two running sums, in windows."""
-    from pyspark.sql import Window
-
-    w = Window.partitionBy("spec_id").orderBy("mz")
     x = _peaks(spark, d).select("spec_id", "mz", F.bround(F.col("mz") * 100).cast("long").alias("x"))
-    first = x.withColumn("d1", F.col("x") - F.coalesce(F.lag("x").over(w), F.lit(0)))
-    second = first.withColumn("d2", F.col("d1") - F.coalesce(F.lag("d1").over(w), F.lit(0)))
-    return second.withColumn("s1", F.sum("d2").over(w)).withColumn("x", F.sum("s1").over(w)).select("spec_id", "x")
+    return series.running_sums(series.second_differences(x, "x", "mz"), "x", "mz").select("spec_id", "x")
 
 
 @query(
@@ -589,18 +597,48 @@ def numpress_linear_delta(spark, d):
 )
 def mzml_scan(spark, d):
     """Spectra written as XML elements, then parsed and decoded."""
+    return _scanned(mzml.spectra_from_xml(_elements(spark, d)))
+
+
+def _elements(spark, d):
     importable(spark)
-    both = ["MS:1000523", codec.ZLIB]
-    a = _arrays(spark, d).select("spec_id", codec.encoded("mz", both).alias("a"), codec.encoded("i", both).alias("b"))
-    array = '<binaryDataArray encodedLength="0"><cvParam cvRef="MS" accession="MS:1000523" name="64-bit float" value=""/><cvParam cvRef="MS" accession="MS:1000574" name="zlib compression" value=""/><cvParam cvRef="MS" accession="MS:%s" name="%s" value="" unitCvRef="MS"/><binary>'
-    xml = F.concat(
-        F.lit('<spectrum index="0" defaultArrayLength="1" id="controllerType=0 controllerNumber=1 scan='), F.col("spec_id"), F.lit('"><cvParam cvRef="MS" accession="MS:1000511" name="ms level" value="1"/><binaryDataArrayList count="2">' + array % ("1000514", mzml.MZ)),
-        F.col("a"), F.lit("</binary></binaryDataArray>" + array % ("1000515", mzml.INTENSITY)), F.col("b"), F.lit("</binary></binaryDataArray></binaryDataArrayList></spectrum>"),
-    )
-    s = mzml.spectra_from_xml(a.select(xml.alias("element")))
+    return mzml.spectrum_elements(_arrays(spark, d), "spec_id", ["MS:1000523", codec.ZLIB])
+
+
+def _scanned(s):
     return mzml.peaks(s, ("native_id", "ms_level")).groupBy("native_id", "ms_level").agg(F.count("*").alias("n_peaks"), F.round(F.sum("i"), 7).alias("tic"))
 
 
+for _name, _suffix in (("mzml_file_scan", "mzML"), ("mzml_gzip_scan", "mzML.gz")):
+
+    @query(_name, SQL["mzml_scan"])
+    def mzml_file_scan(spark, d, suffix=_suffix):
+        """The same through files of many spectra each, plain or gzip."""
+        return _scanned(mzml.spectra(spark, mzml.write(_elements(spark, d), work_folder(spark, "mzml"), suffix)))
+
+
+@query("igzip_scan", SQL["mzml_scan"])
+def igzip_scan(spark, d):
+    """The same through indexed gzip, block by block."""
+    path = f"{work_folder(spark, 'igzip')}/run.mzML.gz"
+    n = igzip.write(_elements(spark, d).select(F.col("spec_id").alias("id"), F.col("element").alias("block")), path)
+    assert n == len(igzip.read_index(path))
+    return _scanned(mzml.spectra_from_xml(igzip.read_igzip(spark, path).select(F.col("text").alias("element"))))
+
+
+@query("mzml_runs", "SELECT 'made' AS run_id, (SELECT count(DISTINCT l_suppkey) FROM lineitem)::INT AS spectrum_count, 'some instrument' AS instrument, 1::INT AS n_software")
+def mzml_runs(spark, d):
+    """Header of a written file; only its head is read."""
+    path = mzml.write(_elements(spark, d), work_folder(spark, "mzml"), "mzML", files=1, run="made", instrument="some instrument")
+    return mzml.headers(spark, path).select("run_id", "spectrum_count", "instrument", F.size("software").alias("n_software"))
+
+
+@query("element_by_path", f"WITH {SQL_PEAKS} SELECT DISTINCT spec_id AS native_id, '1' AS ms_level, '64-bit float' AS kind FROM peaks")
+def element_by_path(spark, d):
+    e = _elements(spark, d)
+    return e.select(F.col("spec_id").alias("native_id"), spectra.element_by_name("element", "ms level").alias("ms_level"), F.get(spectra.elements_by_path("element", "spectrum/binaryDataArrayList/binaryDataArray/cvParam[1]/@name"), F.lit(0)).alias("kind"))
+
+
 @query("html_tag_extract", "SELECT page_id, regexp_extract(html, '(?is)<title[^>]*>([^<]*)</title>', 1) AS title, regexp_extract(url, '^\\w+://([^/?#]+)', 1) AS host FROM pages")
 def html_tag_extract(spark, d):
     return _t(spark, d, "pages").select("page_id", F.regexp_extract("html", "(?is)<title[^>]*>([^<]*)</title>", 1).alias("title"), F.regexp_extract("url", r"^\w+://([^/?#]+)", 1).alias("host"))

@@ -101,7 +101,7 @@ class Spectrum:
         return self.table.sparkSession.createDataFrame([(float(mz),)], "target double")
 
     def has_peak(self, mz: float) -> list[tuple[float, float]]:
-        rows = match.match(self.of_kind("centroided").table if self.kind == "raw" else self.table, self._targets(mz), self.precision, small=True).orderBy("mz").collect()
+        rows = match.match(self.of_kind("centroided").table if self.kind == "raw" else self.table, self._targets(mz), self.precision).orderBy("mz").collect()
         return [(r.mz, r.i) for r in rows]
 
     def has_overlapping_peak(self, mz: float) -> bool:
@@ -190,14 +190,22 @@ class Run:
 
     @property
     def info(self) -> dict:
-        return mzml.runs(self.spark, self.path).first().asDict(recursive=True)
+        """The header and its lists, from the head of the file."""
+        return mzml.headers(self.spark, self.path).first().asDict(recursive=True)
 
     def get_spectrum_count(self) -> int | None:
         """As the header declares it; ``spectra.count()`` is what is there."""
         return self.info["spectrum_count"]
 
     def get_chromatogram_count(self) -> int | None:
-        return self.info["chromatogram_count"]
+        return mzml.runs(self.spark, self.path).first()["chromatogram_count"]
+
+    def element(self, key: int) -> str:
+        """The XML of a spectrum, as the file has it."""
+        found = mzml.raw_elements(self.spark, self.path).where(sp.native_id(F.regexp_extract("element", r'\bid="([^"]*)"', 1)) == key).first()
+        if found is None:
+            raise KeyError(f"no spectrum {key}")
+        return found["element"]
 
     def _spectrum(self, rows: DataFrame) -> Spectrum:
         row = rows.first()
@@ -215,16 +223,20 @@ class Run:
         """(time, i) of a chromatogram by name or by ordinal."""
         if isinstance(key, bool) or not isinstance(key, (int, str)):
             raise ValueError("a chromatogram has a name or an ordinal")
-        rows = self.chromatograms.where(F.upper("id") == key.upper()) if isinstance(key, str) else sp.by_ordinal(self.chromatograms, key)
+        rows = sp.by_name(self.chromatograms, key) if isinstance(key, str) else sp.by_ordinal(self.chromatograms, key)
         points = mzml.chromatogram_points(rows).orderBy("pos").collect()
         if not points:
             raise KeyError(f"no chromatogram {key}")
         return [(p.time, p.i) for p in points]
 
     def __getitem__(self, key: int | str) -> Spectrum | list[tuple[float, float]]:
-        if isinstance(key, str) and not self.chromatograms.where(F.upper("id") == key.upper()).isEmpty():
+        """A spectrum by id or by text in its raw id; a chromatogram by name, or by text in it where no spectrum has that."""
+        if isinstance(key, int):
+            return self.get_spectrum(key)
+        if not sp.by_name(self.chromatograms, key).isEmpty():
             return self.get_chromatogram(key)
-        return self.get_spectrum(key)
+        found = sp.search_any(self.spectra, self.chromatograms, key).first()
+        return self.get_chromatogram(found["id"]) if found and found["kind"] == "chromatogram" else self.get_spectrum(key)
 
     def __iter__(self) -> Iterator[Spectrum]:
         """Spectra in file order, one look-up each; for many spectra use the tables."""

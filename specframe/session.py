@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 import os
+import re
+import tempfile
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -33,3 +36,15 @@ def local_session(cores: int | str = 8, shuffle_partitions: int = 8, memory: str
     spark.sparkContext.setLogLevel("ERROR")
     importable(spark)
     return spark
+
+
+def work_folder(spark: SparkSession, what: str) -> str:
+    """A new folder for files: in the folder of spark.checkpoint.dir, which machines share; a temporary one on a single machine without it."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not re.fullmatch(r"local(\[[^]]*\])?", spark.sparkContext.master):
+            raise ValueError("a cluster needs spark.checkpoint.dir, a folder that all its machines share")
+        root = tempfile.gettempdir()
+    path = os.path.join(re.sub(r"^file:/*", "/", root), f"specframe-{what}-{uuid.uuid4().hex}")
+    os.makedirs(path)
+    return path

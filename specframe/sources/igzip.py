@@ -150,6 +150,16 @@ def index_mzml(source: str, target: str, encoding: str = "latin-1") -> int:
     return len(blocks)
 
 
+def write(blocks: DataFrame, path: str, most: int | None = None) -> int:
+    """Write (id, block) to one file, row after row on the driver, since a file has one index; how many there are."""
+    n = blocks.count() if most is None else most
+    with IgzipWriter(path, n) as out:
+        for row in blocks.select("id", "block").toLocalIterator():
+            if not out.add(row["block"], row["id"]):
+                raise ValueError(f"more than {n} blocks")
+    return n
+
+
 def convert_folder(spark: SparkSession, sources: list[str], target_folder: str) -> DataFrame:
     """One task for each file; files that are there already are left alone."""
     pairs = [(s, os.path.join(target_folder, os.path.basename(s) + ".gz")) for s in sources]

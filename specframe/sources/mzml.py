@@ -11,10 +11,12 @@ from __future__ import annotations
 import os
 import re
 from collections.abc import Iterator
+from urllib.parse import unquote
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from specframe.functions.numeric import PRECISIONS
 from specframe.operators import spectra as sp
@@ -189,6 +191,79 @@ def spectra_from_bytes(spark: SparkSession, data: bytes, encoding: str | None =
     return spectra_from_xml(elements(spark.createDataFrame([(data.decode(encoding),)], "xml string")))
 
 
+def raw_elements(spark: SparkSession, path: str, tag: str = "spectrum", encoding: str | None = None) -> DataFrame:
+    """path, element: the text of each element of a tag, from files split at their end tags."""
+    t = spark.read.option("encoding", encoding or encoding_of(spark, path)).text(path, lineSep=f"</{tag}>").select(F.col("_metadata.file_path").alias("path"), "value")
+    found = F.regexp_extract("value", rf"(?s)(<{tag}\s.*)$", 1)
+    return t.select("path", F.concat(found, F.lit(f"</{tag}>")).alias("element")).where(F.col("element") != f"</{tag}>")
+
+
+# -- writing --------------------------------------------------------------------------------------------------------------
+
+_COMPRESSIONS = {codec.ZLIB: "zlib compression"}
+_TYPES = {"MS:1000523": "64-bit float", "MS:1000521": "32-bit float"}
+
+
+def spectrum_elements(arrays: DataFrame, key: str, accessions: list[str], ms_level: Column | int = 1) -> DataFrame:
+    """key, element: spectra of (key, mz, i), arrays, as XML."""
+    importable(arrays.sparkSession)
+    kinds = "".join(f'<cvParam cvRef="MS" accession="{a}" name="{(_TYPES | _COMPRESSIONS).get(a, "numpress")}" value=""/>' for a in accessions)
+
+    def array(name: str, accession: str, values: str) -> Column:
+        head = f'<binaryDataArray encodedLength="0">{kinds}<cvParam cvRef="MS" accession="{accession}" name="{name}" value="" unitCvRef="MS"/><binary>'
+        return F.concat(F.lit(head), F.coalesce(codec.encoded(values, accessions), F.lit("")), F.lit("</binary></binaryDataArray>"))
+
+    level = F.lit(ms_level) if isinstance(ms_level, int) else ms_level
+    xml = F.concat(
+        F.lit('<spectrum index="0" defaultArrayLength="'), F.coalesce(F.size("mz"), F.lit(0)), F.lit('" id="controllerType=0 controllerNumber=1 scan='), F.col(key), F.lit('"><cvParam cvRef="MS" accession="MS:1000511" name="ms level" value="'),
+        level, F.lit('"/><binaryDataArrayList count="2">'), array(MZ, "MS:1000514", "mz"), array(INTENSITY, "MS:1000515", "i"), F.lit("</binaryDataArrayList></spectrum>"),
+    )
+    return arrays.select(key, xml.alias("element"))
+
+
+def write(elements_: DataFrame, folder: str, suffix: str = "mzML", files: int | None = None, run: str = "run", instrument: str = "instrument") -> str:
+    """Write a column ``element`` to files of a shared folder, one a partition, and return the folder.
+
+    A file's head says how many spectra it has, so the body is written first and
+    joined to it; the file gets its name when it is whole.
+    """
+    import gzip
+    import shutil
+
+    from pyspark import TaskContext
+
+    def store(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        task = TaskContext.get()
+        name = os.path.join(folder, f"part-{task.partitionId():05d}.{suffix}")
+        own, body = (os.path.join(folder, f".{x}-{task.partitionId()}-{task.taskAttemptId()}") for x in ("whole", "body"))
+        open_ = gzip.open if suffix.endswith("gz") else open
+        n = 0
+        with open_(body, "wt", encoding="utf-8") as f:
+            for batch in batches:
+                for element in batch.column(0).to_pylist():
+                    f.write(element + "\n")
+                    n += 1
+            f.write("</spectrumList></run></mzML>\n")
+        head = f"""<?xml version="1.0" encoding="utf-8"?>
+<mzML version="1.1.0"><cvList count="1"><cv id="MS" version="4.1.79" URI=""/></cvList>
+<softwareList count="1"><software id="specframe" version="1"/></softwareList>
+<instrumentConfigurationList count="1"><instrumentConfiguration id="IC1"><cvParam cvRef="MS" accession="MS:1000031" name="{instrument}" value=""/></instrumentConfiguration></instrumentConfigurationList>
+<run id="{run}"><spectrumList count="{n}">
+"""
+        with open_(own, "wt", encoding="utf-8") as f:
+            f.write(head)
+        with open(own, "ab") as f, open(body, "rb") as b:
+            shutil.copyfileobj(b, f)
+        os.remove(body)
+        os.replace(own, name)
+        yield pa.RecordBatch.from_pydict({"n": pa.array([n], pa.int64())})
+
+    rows = elements_.select("element")
+    importable(rows.sparkSession)
+    (rows if files is None else rows.repartition(files)).mapInArrow(store, "n long").count()
+    return folder
+
+
 # -- headers and indexes -------------------------------------------------------------------------------------------------
 
 
@@ -201,8 +276,79 @@ def _attribute(name: str) -> Column:
     return F.nullif(F.regexp_extract("value", rf'\b{name}="([^"]*)"', 1), F.lit(""))
 
 
+_NAMED = "array<struct<accession: string, name: string, value: string>>"
+_HEADER = (
+    "path string, encoding string, mzml_version string, obo_version string, run_id string, start_time string, spectrum_count int, instrument string, "
+    f"cv_list array<struct<id: string, version: string, uri: string>>, software array<struct<id: string, version: string>>, file_content {_NAMED}, source_files array<struct<id: string, name: string, location: string>>, "
+    f"samples array<struct<id: string, name: string>>, param_groups array<struct<id: string, cv: {_NAMED}>>, instruments array<struct<id: string, groups: array<string>, cv: {_NAMED}>>, data_processing array<struct<id: string, steps: array<string>>>"
+)
+
+
+def header_of(path: str) -> dict:
+    """What the head of one file says; reading stops at the first list of spectra or chromatograms."""
+    import gzip
+    import xml.etree.ElementTree as ET
+
+    with open(path, "rb") as raw:
+        packed = raw.read(2) == b"\x1f\x8b"
+    out: dict = {"path": path} | {k: None for k in ("encoding", "mzml_version", "obo_version", "run_id", "start_time", "spectrum_count", "instrument")}
+    out |= {k: [] for k in ("cv_list", "software", "file_content", "source_files", "samples", "param_groups", "instruments", "data_processing")}
+
+    def named(e) -> list[dict]:
+        return [{k: x.get(k) for k in ("accession", "name", "value")} for x in e if x.tag.endswith("cvParam")]
+
+    with (gzip.open if packed else open)(path, "rb") as f:
+        if m := re.search(rb'encoding="([^"]+)"', f.peek(200)[:200] if hasattr(f, "peek") else b""):
+            out["encoding"] = m[1].decode()
+        for event, e in ET.iterparse(f, events=("start", "end")):
+            tag = e.tag.rpartition("}")[2]
+            if event == "start":
+                if tag == "mzML":
+                    out["mzml_version"] = e.get("version")
+                elif tag == "run":
+                    out |= {"run_id": e.get("id"), "start_time": e.get("startTimeStamp")}
+                elif tag in ("spectrumList", "chromatogramList"):
+                    if tag == "spectrumList" and e.get("count"):
+                        out["spectrum_count"] = int(e.get("count"))
+                    break
+            elif tag == "cv":
+                out["cv_list"].append({"id": e.get("id"), "version": e.get("version"), "uri": e.get("URI")})
+            elif tag == "software":
+                out["software"].append({"id": e.get("id"), "version": e.get("version")})
+            elif tag == "fileContent":
+                out["file_content"] = named(e)
+            elif tag == "sourceFile":
+                out["source_files"].append({"id": e.get("id"), "name": e.get("name"), "location": e.get("location")})
+            elif tag == "sample":
+                out["samples"].append({"id": e.get("id"), "name": e.get("name")})
+            elif tag == "referenceableParamGroup":
+                out["param_groups"].append({"id": e.get("id"), "cv": named(e)})
+            elif tag == "instrumentConfiguration":
+                out["instruments"].append({"id": e.get("id"), "groups": [x.get("ref") for x in e if x.tag.endswith("referenceableParamGroupRef")], "cv": named(e)})
+            elif tag == "dataProcessing":
+                out["data_processing"].append({"id": e.get("id"), "steps": [p["name"] for m in e for p in named(m)]})
+    out["obo_version"] = next((x["version"] for x in out["cv_list"] if x["id"] == "MS"), None)
+    groups = {x["id"]: x["cv"] for x in out["param_groups"]}
+    out["instrument"] = next((p["name"] for x in out["instruments"] for p in [*x["cv"], *(p for g in x["groups"] for p in groups.get(g, []))]), None)
+    return out
+
+
+def headers(spark: SparkSession, path: str) -> DataFrame:
+    """One row a file, from the file's head alone: versions, run, declared spectra, the instrument's name, and the header's lists."""
+    files = spark.read.format("binaryFile").load(path).select("path").distinct()
+
+    schema = to_arrow_schema(spark.createDataFrame([], _HEADER).schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_pylist([header_of(re.sub(r"^file:/*", "/", unquote(p))) | {"path": p} for p in batch.column(0).to_pylist()], schema=schema)
+
+    importable(spark)
+    return files.mapInArrow(run, _HEADER)
+
+
 def runs(spark: SparkSession, path: str) -> DataFrame:
-    """One row a file: versions, run id and start, declared counts, software and vocabularies."""
+    """One row a file, from all of it: what ``headers`` has of versions, run and counts, and the count of chromatograms, whose list comes last."""
     tag = F.regexp_extract("value", r"^([?\w]+)", 1)
     t = _tags(spark, path).withColumn("tag", tag).where(F.col("tag").isin("?xml", "mzML", "cv", "software", "run", "spectrumList", "chromatogramList"))
     pick = lambda tag, name: F.max(F.when(F.col("tag") == tag, _attribute(name)))

@@ -100,8 +100,9 @@ def test_matching_plans_agree(spark):
     targets = [100.0, 100.0042, 100.07, 100.1391, 500.0]
     expected = sorted((s, t) for s, m, _ in peaks for t in targets if round(t * 10_000) in bins(m))
     t, probe = table(spark, peaks), spark.createDataFrame([(x,) for x in targets], "target double")
-    for small in (True, False, None):
-        assert rows(match.match(t, probe, P, small=small), "spec_id", "target") == expected
+    assert rows(match.match(t, probe, P), "spec_id", "target") == expected
+    own = probe.crossJoin(spark.createDataFrame([(0,), (2,)], "spec_id long"))
+    assert rows(match.match(t, own, P, on=["spec_id"]), "spec_id", "target") == [x for x in expected if x[0] != 1]
     counts = {(s, x): sum(e == (s, x) for e in expected) for s, x in expected}
     assert rows(match.has_peak(t, probe, P), "spec_id", "target", "n_peaks") == sorted((*k, n) for k, n in counts.items())
     sizes = {s: len({b for q, m, _ in peaks if q == s for b in bins(m)}) for s in range(3)}
@@ -110,6 +111,19 @@ def test_matching_plans_agree(spark):
     assert {r.mz for r in match.spectra_with(t, probe, P).collect()} == {m for _, m, _ in peaks if any(round(x * 10_000) in bins(m) for x in targets)}
 
 
+def test_matching_at_all_scales(spark):
+    """Buckets lose nothing, from small to large m/z and from fine to coarse precision."""
+    import random
+
+    r = random.Random(4)
+    for p in (5e-6, 20e-6, 1e-3):
+        ip = round(50_000 / (p * 1e6))
+        targets = [round(10 ** r.uniform(-0.5, 4.5), 4) for _ in range(150)]
+        peaks = [(1, t * (1 + r.uniform(-2, 2) * p) + r.uniform(-2, 2) / ip, k + 1) for k, t in enumerate(targets) for _ in range(3)]
+        found = rows(match.match(table(spark, peaks), spark.createDataFrame([(x,) for x in targets], "target double"), p), "mz", "target")
+        assert found == sorted((m, t) for _, m, _ in peaks for t in targets if round(t * ip) in bins(m, p, ip))
+
+
 def test_precursor_removal_and_annotation(spark):
     t = table(spark, [(1, 443.71124268, 9), (1, 500, 1), (2, 443.71124268, 9), (2, 443.711243, 5)])
     pre = spark.createDataFrame([(1, 443.711242675781)], "spec_id long, target double")
@@ -126,6 +140,18 @@ def test_cosine(spark):
     assert math.isclose(got[1, 2], 1) and math.isclose(got[1, 3], 0.6) and got[4, 4] == 0
 
 
+def test_pairwise_cosine_is_the_general_one(spark):
+    t = table(spark, [(1, 10.2, 3), (1, 20, 4), (2, 10.4, 3), (2, 20.1, 4), (3, 10, 1), (4, 99, 0)])
+    got, expected = ({(a, b): round(c, 9) for a, b, c in rows(x, "left_id", "right_id", "cosine")} for x in (similarity.pairwise_cosine(t), similarity.cosine(t, t)))
+    assert got == expected
+
+
+def test_vectors_in_blocks(spark):
+    v = spark.createDataFrame([(k, [float(k % 3), 1.0, float(k)]) for k in range(30)] + [(99, [0.0, 0.0, 0.0])], "vec_id long, embedding array<double>")
+    one, many = (sorted((a, b, round(c, 9)) for a, b, c in rows(similarity.array_cosine(v, v.where("vec_id % 3 = 0"), most=n), "vec_id", "query", "cosine")) for n in (100, 3))
+    assert one == many and len(one) == 31 * 11
+
+
 def test_deconvolution(spark):
     t = table(spark, [(1, 430.313, 100), (1, 430.313 + numeric.PROTON / 3, 49), (2, 500, 1)])
     got = deconvolute.deconvolute(t, P).collect()

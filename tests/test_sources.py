@@ -1,6 +1,7 @@
 import gzip
 
 import pytest
+from pyspark.sql import functions as F
 
 from specframe.operators import ontology, spectra, traces
 from specframe.sources import codec, igzip, mzml
@@ -30,7 +31,10 @@ CHROMATOGRAM = f"""<chromatogram index="0" id="TIC" defaultArrayLength="2"><cvPa
 """
 DOCUMENT = f"""<?xml version="1.0" encoding="ISO-8859-1"?>
 <indexedmzML><mzML version="1.1.0"><cvList count="1"><cv id="MS" fullName="vocabulary" version="3.65.0" URI="x"/></cvList>
-<softwareList count="1"><software id="made" version="2"/></softwareList><run id="made-run" startTimeStamp="2013-09-10T10:31:08Z">
+<fileDescription><fileContent><cvParam cvRef="MS" accession="MS:1000579" name="MS1 spectrum" value=""/></fileContent><sourceFileList count="1"><sourceFile id="f" name="n" location="here"/></sourceFileList></fileDescription>
+<referenceableParamGroupList count="1"><referenceableParamGroup id="common"><cvParam cvRef="MS" accession="MS:1" name="a fine instrument" value=""/></referenceableParamGroup></referenceableParamGroupList><sampleList count="1"><sample id="s" name="yeast"/></sampleList>
+<softwareList count="1"><software id="made" version="2"/></softwareList><instrumentConfigurationList count="1"><instrumentConfiguration id="IC1"><referenceableParamGroupRef ref="common"/></instrumentConfiguration></instrumentConfigurationList>
+<dataProcessingList count="1"><dataProcessing id="dp"><processingMethod order="1" softwareRef="made"><cvParam cvRef="MS" accession="MS:2" name="peak picking" value=""/></processingMethod></dataProcessing></dataProcessingList><run id="made-run" startTimeStamp="2013-09-10T10:31:08Z">
 <spectrumList count="5">
 {spectrum(1, 1)}{spectrum(2, 2, PRECURSOR)}{spectrum(3, 1)}</spectrumList><chromatogramList count="1">{CHROMATOGRAM}</chromatogramList></run></mzML>
 <indexList count="1"><index name="spectrum"><offset idRef="controllerType=0 controllerNumber=1 scan=1">42</offset><offset idRef="controllerType=0 controllerNumber=1 scan=2">99</offset></index></indexList></indexedmzML>
@@ -67,6 +71,34 @@ def test_chromatograms(spark, files):
     assert [(r.time, r.i) for r in mzml.chromatogram_points(c).orderBy("pos").collect()] == [(0.5, 3), (1.5, 4)]
 
 
+@pytest.mark.parametrize("name", ["a.mzML", "b.mzML.gz", "c.mzML.gz"])
+def test_heads(spark, files, name):
+    r = mzml.headers(spark, str(files / name)).first()
+    assert (r.encoding, r.mzml_version, r.obo_version, r.run_id, r.start_time, r.spectrum_count, r.instrument) == ("ISO-8859-1", "1.1.0", "3.65.0", "made-run", "2013-09-10T10:31:08Z", 5, "a fine instrument")
+    assert r.software[0].id == "made" and [x.id for x in r.instruments] == ["IC1"] and r.param_groups[0].cv[0].accession == "MS:1" and r.file_content[0].name == "MS1 spectrum"
+    assert [(x.id, list(x.steps)) for x in r.data_processing] == [("dp", ["peak picking"])] and r.samples[0].name == "yeast" and r.source_files[0].location == "here"
+
+
+def test_elements_as_text(spark, files):
+    e = mzml.raw_elements(spark, str(files / "a.mzML"))
+    assert e.count() == 3 and e.first().element.startswith("<spectrum ") and e.first().element.endswith("</spectrum>")
+    assert mzml.spectra_from_xml(e).select("native_id").orderBy("native_id").collect() == [(1,), (2,), (3,)]
+    got = e.select(spectra.element_by_name("element", "ms level").alias("a"), spectra.element_by_name("element", "MS:1000285").alias("b"), spectra.element_by_name("element", "no such").alias("c"), F.size(spectra.elements_by_path("element", "spectrum/binaryDataArrayList/binaryDataArray")).alias("n")).collect()
+    assert sorted(tuple(x) for x in got) == [("1", "9.5e07", None, 2), ("1", "9.5e07", None, 2), ("2", "9.5e07", None, 2)]
+    assert mzml.raw_elements(spark, str(files / "a.mzML"), "chromatogram").count() == 1
+
+
+@pytest.mark.parametrize("suffix", ["mzML", "mzML.gz"])
+def test_writing(spark, tmp_path, suffix):
+    rows = [(k, [100.0 + k, 200.0], [1.0, float(k)]) for k in range(7)] + [(7, [], [])]
+    df = spark.createDataFrame(rows, "n long, mz array<double>, i array<double>").repartition(3)
+    folder = mzml.write(mzml.spectrum_elements(df, "n", ["MS:1000523", codec.ZLIB], 2), str(tmp_path), suffix, run="r<1>".strip("<>1"))
+    assert mzml.headers(spark, folder).agg(F.sum("spectrum_count")).first()[0] == 8
+    s = mzml.spectra(spark, folder)
+    assert s.where("ms_level = 2").count() == 8
+    assert sorted((x.native_id, x.mz, x.i) for x in mzml.peaks(s).collect()) == sorted((n, m, i) for n, a, b in rows for m, i in zip(a, b))
+
+
 def test_headers_and_indexes(spark, files):
     r = mzml.runs(spark, str(files / "a.mzML")).first()
     assert (r.encoding, r.mzml_version, r.obo_version, r.run_id, r.start_time, r.spectrum_count, r.chromatogram_count) == ("ISO-8859-1", "1.1.0", "3.65.0", "made-run", "2013-09-10T10:31:08Z", 5, 1)
