@@ -105,5 +105,19 @@ def to_json(traces: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     return traces.groupBy(*keys).agg(points.alias("p")).select(*keys, drawn.alias("json"))
 
 
+def to_html(drawn: DataFrame, keys: list[str], order: list[str], width: int = 900, height: int = 400) -> DataFrame:
+    """keys…, html: one page for each trace with its strokes as a drawing; texts are its tool tips' lines."""
+    points = F.array_sort(F.collect_list(F.struct(*dict.fromkeys([*order, "x", "y", "text"]))))
+    grouped = drawn.groupBy(*keys).agg(points.alias("p"), *[f(c).alias(f"{n}_{c}") for c in ("x", "y") for n, f in (("min", F.min), ("max", F.max))])
+    at = lambda c, low, high, size: F.format_string("%.2f", F.coalesce(F.try_divide((c - F.col(low)) * size, F.col(high) - F.col(low)), F.lit(size / 2)))
+    # A null point ends a stroke: the next one moves instead of drawing on.
+    begins = lambda i: (i == 0) | F.get(F.col("p"), i - 1)["x"].isNull()
+    step = lambda q, i: F.when(q["x"].isNotNull(), F.concat(F.when(begins(i), "M").otherwise("L"), at(q["x"], "min_x", "max_x", width), F.lit(" "), at(F.lit(0) - q["y"] + F.col("max_y") + F.col("min_y"), "min_y", "max_y", height))).otherwise("")
+    path = F.array_join(F.transform("p", step), "")
+    escaped = F.replace(F.replace(F.replace(F.array_join(F.array_distinct(F.transform(F.filter("p", lambda q: q["text"].isNotNull()), lambda q: q["text"])), "\n"), F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
+    html = F.concat(F.lit(f'<!DOCTYPE html><html><body><svg width="{width}" height="{height}" viewBox="0 0 {width} {height}"><title>'), escaped, F.lit('</title><path fill="none" stroke="black" d="'), path, F.lit('"/></svg></body></html>'))
+    return grouped.select(*keys, html.alias("html"))
+
+
 def numbered(points: DataFrame, plot: str = "plot") -> DataFrame:
     return points.withColumn("point", F.row_number().over(Window.partitionBy(plot).orderBy("x", "y")))

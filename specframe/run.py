@@ -17,6 +17,7 @@ from specframe.functions.numeric import PROTON, internal_precision, precision_of
 from specframe.operators import deconvolute, match, similarity
 from specframe.operators import peaks as pk
 from specframe.operators import spectra as sp
+from specframe.session import importable
 from specframe.sources import mzml
 
 KINDS = ("raw", "centroided", "reprofiled", "deconvoluted")
@@ -179,6 +180,38 @@ for _old, _new in (("similarityTo", "similarity_to"), ("hasPeak", "has_peak"), (
     _alias(_old, _new)
 
 
+class Chromatogram(list):
+    """Points (time, intensity) by time, as a list of pairs."""
+
+    kind = "raw"
+
+    @property
+    def time(self) -> list[float]:
+        return [t for t, _ in self]
+
+    @property
+    def mz(self) -> list[float]:
+        """The times, under the name that spectra have for their first axis."""
+        return self.time
+
+    @property
+    def i(self) -> list[float]:
+        return [i for _, i in self]
+
+    @property
+    def profile(self) -> list[tuple[float, float]]:
+        return list(self)
+
+    def peaks(self) -> list[tuple[float, float]]:
+        return list(self)
+
+    def with_times(self, time: list[float]) -> Chromatogram:
+        return Chromatogram(zip(map(float, time), self.i, strict=True))
+
+    def with_intensities(self, i: list[float]) -> Chromatogram:
+        return Chromatogram(zip(self.time, map(float, i), strict=True))
+
+
 class Run:
     """A file: its header, tables of spectra and chromatograms, and look-ups."""
 
@@ -219,7 +252,7 @@ class Run:
         """By native id, or by text in the raw id."""
         return self._spectrum(sp.by_id(self.spectra, key) if isinstance(key, int) else sp.search_id(self.spectra, key))
 
-    def get_chromatogram(self, key: int | str) -> list[tuple[float, float]]:
+    def get_chromatogram(self, key: int | str) -> Chromatogram:
         """(time, i) of a chromatogram by name or by ordinal."""
         if isinstance(key, bool) or not isinstance(key, (int, str)):
             raise ValueError("a chromatogram has a name or an ordinal")
@@ -227,9 +260,9 @@ class Run:
         points = mzml.chromatogram_points(rows).orderBy("pos").collect()
         if not points:
             raise KeyError(f"no chromatogram {key}")
-        return [(p.time, p.i) for p in points]
+        return Chromatogram((p.time, p.i) for p in points)
 
-    def __getitem__(self, key: int | str) -> Spectrum | list[tuple[float, float]]:
+    def __getitem__(self, key: int | str) -> Spectrum | Chromatogram:
         """A spectrum by id or by text in its raw id; a chromatogram by name, or by text in it where no spectrum has that."""
         if isinstance(key, int):
             return self.get_spectrum(key)
@@ -239,6 +272,11 @@ class Run:
         return self.get_chromatogram(found["id"]) if found and found["kind"] == "chromatogram" else self.get_spectrum(key)
 
     def __iter__(self) -> Iterator[Spectrum]:
-        """Spectra in file order, one look-up each; for many spectra use the tables."""
-        for row in self.spectra.select("idx").orderBy("idx").toLocalIterator():
-            yield self._spectrum(self.spectra.where(F.col("idx") == row["idx"]))
+        """Spectra in file order, all from one pass over the file."""
+        importable(self.spark)
+        whole = self.spectra.withColumns({"mz": mzml.array_of(mzml.MZ), "i": mzml.array_of(mzml.INTENSITY)}).drop("arrays")
+        for row in whole.orderBy("idx").toLocalIterator():
+            own = row.asDict(recursive=True)
+            peaks = list(zip(own.pop("mz") or [], own.pop("i") or []))
+            table = self.spark.createDataFrame(peaks, "mz double, i double")
+            yield Spectrum(table, precision_of(row["ms_level"], self.precisions), is_profile=bool(row["is_profile"]), row=own)

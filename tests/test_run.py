@@ -24,7 +24,15 @@ def test_lookups(run):
         run[99]
     with pytest.raises(ValueError):
         run.get_chromatogram(1.5)
-    assert len(list(run)) == 3
+    assert [(s.mz[0], s["MS:1000511"]) for s in run] == [(101, 1), (102, 2), (103, 1)]
+    c = run["TI"]  # no spectrum's id holds this text
+    assert c.mz == c.time == [0.5, 1.5] and c.i == [3, 4] and c.profile == c.peaks() == [(0.5, 3), (1.5, 4)]
+    assert c.with_times([1, 2]) == [(1, 3), (2, 4)] and c.with_intensities([7, 8]).i == [7, 8]
+    with pytest.raises(ValueError):
+        c.with_times([1])
+    assert run.info["instrument"] == "a fine instrument" and run.element(2).startswith("<spectrum index=") and "443.71" in run.element(2)
+    with pytest.raises(KeyError):
+        run.element(99)
 
 
 def test_spectrum(spark):

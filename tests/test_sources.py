@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from specframe.operators import ontology, spectra, traces
-from specframe.sources import codec, igzip, mzml
+from specframe.sources import codec, igzip, mzml, sqlite
 
 ARRAY = '<binaryDataArray encodedLength="1"><cvParam cvRef="MS" accession="MS:1000523" name="64-bit float" value=""/><cvParam cvRef="MS" accession="{}" name="compression" value=""/><cvParam cvRef="MS" accession="MS:{}" name="{}" value="" unitCvRef="MS"/><binary>{}</binary></binaryDataArray>'
 
@@ -88,6 +88,25 @@ def test_elements_as_text(spark, files):
     assert mzml.raw_elements(spark, str(files / "a.mzML"), "chromatogram").count() == 1
 
 
+def test_sqlite_store(spark, files, tmp_path):
+    e = mzml.raw_elements(spark, str(files / "a.mzML")).select(spectra.native_id(F.regexp_extract("element", r'\bid="([^"]*)"', 1)).alias("id"), "element")
+    path = str(tmp_path / "store.db")
+    assert sqlite.write(e, path) == 3
+    back = sqlite.read(spark, path)
+    assert back.rdd.getNumPartitions() == 1 and [x.id for x in back.orderBy("id").collect()] == [1, 2, 3]
+    assert sorted(mzml.peaks(mzml.spectra_from_xml(back)).collect()) == sorted(mzml.peaks(mzml.spectra(spark, str(files / "a.mzML"))).collect())
+    empty = str(tmp_path / "none.db")
+    assert sqlite.write(e.limit(0), empty) == 0 and sqlite.read(spark, empty).count() == 0
+
+
+def test_pages(spark):
+    points = spark.createDataFrame([(1, 100.0, 5.0, "a<b"), (1, 200.0, 10.0, "c"), (2, 7.0, 1.0, None)], "plot long, x double, y double, text string")
+    drawn = traces.trace(points.withColumn("at", F.col("x")), "sticks", ["plot", "at"])
+    html = {r.plot: r.html for r in traces.to_html(drawn, ["plot"], ["at", "pos"]).collect()}
+    assert 'd="M0.00 400.00L0.00 200.00L0.00 400.00M900.00 400.00L900.00 0.00L900.00 400.00"' in html[1] and "a&lt;b\nc" in html[1]
+    assert 'd="M450.00 400.00L450.00 0.00L450.00 400.00"' in html[2]
+
+
 @pytest.mark.parametrize("suffix", ["mzML", "mzML.gz"])
 def test_writing(spark, tmp_path, suffix):
     rows = [(k, [100.0 + k, 200.0], [1.0, float(k)]) for k in range(7)] + [(7, [], [])]
