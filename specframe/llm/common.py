@@ -120,9 +120,15 @@ def release(owner: str) -> None:
     trim()
 
 
+_FROZEN: list[bool] = []
+
+
 def trim() -> None:
     """Give free memory back to the machine, as far as the platform can."""
     gc.collect()
+    if not _FROZEN:  # modules and the like stay; later collections needn't look at them
+        gc.freeze()
+        _FROZEN.append(True)
     pa.default_memory_pool().release_unused()
     try:
         ctypes.CDLL(None).malloc_trim(0)
