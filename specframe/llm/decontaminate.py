@@ -9,7 +9,7 @@ look-up a block finds every item of the window's size within the radius.  The
 items found are verified by the weighted Jaccard similarity of the shingles
 (five words, ``SIMILARITY`` or more).  Weights rise with a shingle's rarity in
 the benchmark, from 1 to 2.  Of pairs with a similarity of just 0.8 about one in
-300 lies outside the radius, of 0.85 and more hardly any.
+3,000 lies outside the radius, of greater ones fewer.
 
 A window that shares no shingle with any item of its length has similarity 0,
 so only windows around a shared shingle are fingerprinted: the others couldn't
@@ -33,16 +33,17 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import importable
-from .common import DOC, TEXT, cut, map_arrow, mix64, release, shared_folder, slices, texts_of
+from .common import DOC, TEXT, cut, map_arrow, mix64, release, shared_folder, slices, texts_of, word_codes
 from .ranges import PACKED, Adder, Sorted, store
 
-SHINGLE, SIMILARITY, RADIUS, MOST_ITEMS = 5, 0.8, 17, 20_000
-WIDTHS = (11, 11, 11, 11, 10, 10)
+SHINGLE, SIMILARITY, RADIUS, MOST_ITEMS = 5, 0.8, 19, 20_000
+WIDTHS = (13, 13, 13, 13, 12)
 BITS = sum(WIDTHS)
 #: Pairs of a window and an item that are held at once.
 PAIRS = 1 << 20
@@ -50,8 +51,7 @@ _POWERS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9,
 
 
 def word_hashes(words: list[str]) -> np.ndarray:
-    """Equal within a process, which is all that is asked for here."""
-    return np.fromiter(map(hash, words), dtype=np.int64, count=len(words)).view(np.uint64)
+    return np.fromiter(map(xxhash.xxh3_64_intdigest, words), dtype=np.uint64, count=len(words))
 
 
 def runs(h: np.ndarray, width: int) -> np.ndarray:
@@ -110,7 +110,7 @@ def _first_bit(block: int) -> int:
 
 def _listing(sizes: np.ndarray, block: int, values: np.ndarray) -> np.ndarray:
     """What an item is listed under: its words, the block, and the block's value."""
-    return sizes.astype(np.uint64) << np.uint64(16) | np.uint64(block << 12) | values
+    return sizes.astype(np.uint64) << np.uint64(16) | np.uint64(block << 13) | values
 
 
 class Index:
@@ -228,28 +228,21 @@ class Index:
         return out
 
 
-def search_texts(indexes: list[Index], texts: list[str]) -> list[list[tuple[int, float]]]:
+def search_texts(indexes: list[Index], texts: pa.Array) -> list[list[tuple[int, float]]]:
     """(item id, similarity) of the items found in each text.
 
     An item that repeats its id is found as often.
     """
-
-    def found(h: np.ndarray, s: np.ndarray) -> list[tuple[int, float]]:
-        return [(int(x.ids[k]), v) for x in indexes for k, v in x.search(h, s).items()]
-
-    lists = [t.lower().split() for t in texts]
-    sizes = np.array([len(x) for x in lists])
-    h = word_hashes([w for x in lists for w in x])
+    words, codes, sizes = word_codes(texts)
+    h = word_hashes([w.lower() for w in words])[codes]
     ends = np.cumsum(sizes)
-    out = []
-    if not len(h):
-        return [[] for _ in texts]
     # Shingles of all texts at once; those that run over the end of a text are cut off below.
     long = shingles(h) if len(h) >= SHINGLE else None
+    out = []
     for n, end in zip(sizes.tolist(), ends.tolist()):
         own = h[end - n : end]
         s = long[end - n : end - SHINGLE + 1] if n >= SHINGLE else shingles(own)
-        out.append(found(own, s))
+        out.append([(int(x.ids[k]), v) for x in indexes for k, v in x.search(own, s).items()])
     return out
 
 
@@ -270,10 +263,8 @@ def _indexes(folder: str, parts: int, frequencies: Frequencies, similarity: floa
         _INDEX.clear()
         _INDEX[folder] = []
         for part in range(parts):
-            if os.path.exists(_place(folder, part, "seed")):
+            if os.path.exists(_place(folder, part, _ARRAYS[-1])):
                 arrays = {x: np.load(_place(folder, part, x), mmap_mode="r") for x in _ARRAYS}
-                if np.load(_place(folder, part, "seed"))[0] != _seed():
-                    raise RuntimeError("Python workers differ in PYTHONHASHSEED")
                 _INDEX[folder].append(Index(arrays, frequencies, similarity=similarity))
     return _INDEX[folder]
 
@@ -281,10 +272,6 @@ def _indexes(folder: str, parts: int, frequencies: Frequencies, similarity: floa
 _ARRAYS = ("ids", "sizes", "ends", "items", "prints", "keys", "key_ends", "key_sizes", "listed", "listed_ends", "listed_items")
 
 
-def _seed() -> int:
-    return hash("the seed of this process")
-
-
 def index(benchmark: DataFrame, most_items: int = MOST_ITEMS) -> tuple[str, int, Frequencies]:
     """Build the index of a benchmark (item_id, text): its folder, its parts, and the shingles' frequencies."""
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col(TEXT)).where(F.length(F.trim(TEXT)) > 0)
@@ -307,8 +294,8 @@ def index(benchmark: DataFrame, most_items: int = MOST_ITEMS) -> tuple[str, int,
         rows = [x for b in batches for x in zip(b.column("item_id").to_pylist(), b.column(TEXT).to_pylist())]
         if not rows:
             return
-        arrays = Index.build([(-1 if k is None else k, t) for k, t in rows], frequencies=frequencies).arrays | {"seed": np.array([_seed()])}
-        for name in (*_ARRAYS, "seed"):
+        arrays = Index.build([(-1 if k is None else k, t) for k, t in rows], frequencies=frequencies).arrays
+        for name in _ARRAYS:  # the last one says that all are there
             own = _place(folder, task.partitionId(), f"{name}.{task.taskAttemptId()}")
             np.save(own, arrays[name])
             os.replace(own, _place(folder, task.partitionId(), name))
@@ -342,7 +329,7 @@ def _searched(docs: DataFrame, benchmark: DataFrame, similarity: float, most_ite
         indexes = _indexes(folder, parts, frequencies, similarity)
         out = []
         for piece in slices(pa.RecordBatch.from_arrays([text], [TEXT])):
-            out += [[{"item_id": k, "similarity": v} for k, v in own] for own in search_texts(indexes, texts_of(piece.column(TEXT)))]
+            out += [[{"item_id": k, "similarity": v} for k, v in own] for own in search_texts(indexes, piece.column(TEXT))]
         return pa.array(out, pa.list_(pa.struct([("item_id", pa.int64()), ("similarity", pa.float64())])))
 
     return found(F.col(TEXT))

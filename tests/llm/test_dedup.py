@@ -4,6 +4,7 @@ import sys
 from pathlib import Path
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -72,7 +73,9 @@ def test_classes_against_brute_force(spark):
     docs += [" ".join(edited(r, ws, r.choice((0, 1, 2, 4)))) for ws in base for _ in range(4)]
     docs += [" ".join(edited(r, base[0], 1)) for _ in range(60)]  # one large group
     docs += ["short text", "Short  text", None, "", "one two three four five six " * 400]
-    df = spark.createDataFrame([(k, t) for k, t in enumerate(docs)] + [(7, docs[7])], "doc_id long, text string").selectExpr("*", "1 AS class_id", "2 AS node")
+    long = words(r, 30_000)
+    docs += [" ".join(long), " ".join(edited(r, long, 200))]
+    df = spark.createDataFrame([(k, t) for k, t in enumerate(docs)] + [(7, docs[7])], "doc_id long, text string").selectExpr("*", "1 AS class_id", "2 AS node", *(f"3 AS {n}" for n in ("__doc", "__th", "doc", "th", "_doc", "class", "key")))
     got = near_dedup.near_duplicates(df).collect()
     assert len(got) == len(docs) + 1
     cls = {x.doc_id: x.class_id for x in got}
@@ -105,7 +108,7 @@ def test_classes_against_brute_force(spark):
     assert len({frozenset(v) for v in expected.values()} ^ {frozenset(k for k in cls if cls[k] == c) for c in set(cls.values())}) <= 3
     assert cls[185] == cls[186] and cls[187] == cls[188]
     kept = near_dedup.keep_one(df)
-    assert kept.columns == df.columns
+    assert kept.columns == df.columns and {tuple(x)[2:] for x in kept.collect()} == {(1, 2, *[3] * 7)}
     assert sorted(x.doc_id for x in kept.collect()) == sorted(set(cls.values()))
     assert near_dedup.near_duplicates(df.limit(0)).count() == 0 and near_dedup.keep_one(df.limit(0)).count() == 0
 
@@ -143,39 +146,70 @@ def distance(a, b):
     return row[-1]
 
 
+def sequences(*lists):
+    return np.array([near_dedup.mix64(np.array([x], dtype=np.uint64))[0] for y in lists for x in y], dtype=np.uint64), np.cumsum([0, *map(len, lists)])
+
+
 @settings(max_examples=300, deadline=None)
-@given(st.lists(st.sampled_from("ab"), min_size=1, max_size=9), st.lists(st.sampled_from("ab"), min_size=1, max_size=9))
-def test_variants_and_anchors_lose_nothing(a, b):
-    near = distance(a, b) <= 1
-    assert line_dedup.within_one_edit(a, b) == near
-    if near and a != b:
-        assert {v for v, _ in line_dedup.variants(a)} & {v for v, _ in line_dedup.variants(b)}
-        if min(len(a), len(b)) >= 2:
-            assert set(line_dedup.anchors(a)) & set(line_dedup.anchors(b))
+@given(st.integers(6, 30), st.integers(1, 6), st.lists(st.tuples(st.integers(0, 40), st.integers(0, 2), st.integers(0, 5)), max_size=3), st.randoms())
+def test_anchors_and_links_lose_nothing(n, letters, edits, r):
+    """Sequences within the bound share an anchor, and a link that the earlier leads and the later follows; links join no others."""
+    a = [r.randrange(letters) for _ in range(n)]
+    b = list(a)
+    for at, how, x in edits:
+        k = at % max(1, len(b))
+        b[k : k + (how != 1)] = [] if how == 0 and len(b) > 1 else [x]
+    near = distance(a, b)
+    h, ends = sequences(a, b)
+    none = np.zeros(2, dtype=np.int64)
+    keys, row = line_dedup.anchors(h, ends, none)
+    v, of, left, p, q = line_dedup.variants(h, ends, none)
+    assert line_dedup.within(h[: ends[1]], h[ends[1] :], 2) == (near <= 2) and line_dedup.within(h[: ends[1]], h[ends[1] :], 1) == (near <= 1)
+    if a == b or min(len(a), len(b)) < line_dedup.FEW:
+        return
+    if near <= 2:
+        assert set(keys[row == 0].tolist()) & set(keys[row == 1].tolist())
+    n_ = {x: len(set(of[(v == x) & (left < 2)].tolist())) for x in set(v.tolist())}
+    t_ = {x: len(set(of[(v == x) & (left == 2)].tolist())) for x in set(v.tolist())}
+    size = np.diff(ends)
+    link, at, leads, follows = line_dedup.links(v, left, p, q, np.array([n_[x] for x in v.tolist()]), np.array([t_[x] for x in v.tolist()]), line_dedup.two(size[of]))
+    for later in (0, 1):
+        met = set(link[follows & (of[at] == later)].tolist()) & set(link[leads & (of[at] != later)].tolist())
+        assert bool(met) == (near <= line_dedup.bound(int(size[later])))
+
+
+def units_of(line):
+    h, ends, _, _ = line_dedup.lines_of(pa.array([line]))
+    u = line_dedup.Units(h, ends)
+    return {int(k): u.h[a:b].tolist() for k, a, b in zip(u.level, u.ends, u.ends[1:])}
 
 
 def test_lines_against_brute_force(spark):
     r = random.Random(5)
-    pool = [words(r, r.choice((3, 6, 7, 8, 9, 15, 40))) for _ in range(40)]
-    pool += [edited(r, ws, r.choice((1, 1, 2))) for ws in pool for _ in range(2)]
+    pool = [words(r, r.choice((3, 6, 7, 8, 9, 15, 20, 40, 47, 60, 150))) for _ in range(60)]
+    pool += [edited(r, ws, r.choice((1, 1, 2, 2, 3))) for ws in pool for _ in range(2)]
     hot = words(r, 12)
     docs = {}
     for k in range(50):
         lines = [" ".join(r.choice(pool)) for _ in range(r.randint(0, 8))] + ([" ".join(hot)] if k % 3 == 0 else [])
         docs[k] = "\n".join(lines)
-    docs |= {60: None, 61: "", 62: "\n\n", 63: docs[3], 64: " ".join(hot) + "  ", 65: " ".join([*hot[:5], *hot[6:]])}
+    docs |= {60: None, 61: "", 62: "\n\n", 63: docs[3], 64: " ".join(hot) + "  ", 65: " ".join([*hot[:5], *hot[6:]]), 66: " ".join(words(r, 30_000)), 67: "same " * 9000}
     rows = [(k, t, len(t or "")) for k, t in docs.items()]
-    df = spark.createDataFrame([*rows, rows[3]], "doc_id long, text string, n_chars long").selectExpr("*", "1 AS line", "'x' AS words")
-    seen, drop = [], {k: set() for k in docs}
+    df = spark.createDataFrame([*rows, rows[3]], "doc_id long, text string, n_chars long").selectExpr("*", *(f"1 AS {n}" for n in ("line", "words", "__doc", "doc", "th", "exact", "near", "kept", "_kept")))
+    seen, drop, two = [], {k: set() for k in docs}, 0
     for k in sorted(docs):
         for n, line in enumerate((docs[k] or "").split("\n")):
             ws = line.split()
-            if len(ws) < line_dedup.LEAST:
+            if not ws:
                 continue
-            if any(ws == w for w in seen) or len(ws) >= line_dedup.NEAR and any(len(w) >= line_dedup.NEAR - 1 and distance(ws, w) <= 1 for w in seen):
+            own = units_of(line)
+            apart = [distance(u, w[j]) for _, w in seen for j, u in own.items() if j in w and len(u) < 200 and abs(len(u) - len(w[j])) <= line_dedup.bound(len(u)) and distance(u, w[j]) <= line_dedup.bound(len(u))]
+            if any(ws == w for w, _ in seen) or apart:
                 drop[k].add(n)
-            seen.append(ws)
+                two += 0 not in apart and 1 not in apart and not any(ws == w for w, _ in seen)
+            seen.append((ws, own))
     # A line also goes where its first occurrence has an earlier neighbour, which the loop above covers: the neighbour is earlier still.
+    assert two > 3
     out = line_dedup.line_dedup(df)
     assert out.columns == df.columns
     got = out.collect()
@@ -203,31 +237,56 @@ def brute(index, text):
     ws = text.lower().split()
     h = decontaminate.word_hashes(ws)
     s, out = decontaminate.shingles(h), {}
-    for k, own in enumerate(index.shingles):
+    for k, item in enumerate(index.ids.tolist()):
+        own = index.items[index.ends[k] : index.ends[k + 1]]
         n = min(max(1, index.sizes[k] - 4), len(s))
         best = max((index.jaccard(s[i : i + n], own) for i in range(len(s) - n + 1)), default=0)
         if best >= 0.8:
-            out[k] = best
+            out[item] = best
     return out
 
 
 def test_windows_against_brute_force():
     r = random.Random(6)
     items = [(k, " ".join(words(r, r.randint(8, 60)))) for k in range(40)]
-    index = decontaminate.Index(items)
+    index = decontaminate.Index.build(items)
     for k in range(150):
         ws = edited(r, items[k % 40][1].split(), r.randint(0, 2))
         text = " ".join([*words(r, r.randint(0, 50)), *ws, *words(r, r.randint(0, 50))])
-        found = index.documents([text, ""])[0]
+        found = dict(decontaminate.search_texts([index], pa.array([text, None, ""]))[0])
         assert {a: round(b, 9) for a, b in found.items()} == {a: round(b, 9) for a, b in brute(index, text).items()}
 
 
-def test_blocks_guarantee_the_radius():
+def test_blocks_guarantee_the_radius(monkeypatch):
     r = random.Random(7)
-    index = decontaminate.Index([(k, " ".join(words(r, 20))) for k in range(60)])
+    index = decontaminate.Index.build([(k, " ".join(words(r, 20 + k % 2))) for k in range(60)])
     probes = np.array([int(p) ^ sum(1 << b for b in r.sample(range(64), r.randint(0, 24))) for p in index.prints.tolist()], dtype=np.uint64)
-    found = set(zip(*(x.tolist() for x in index.within_radius(probes))))
-    assert found == {(i, j) for i, p in enumerate(probes.tolist()) for j, q in enumerate(index.prints.tolist()) if (p ^ q).bit_count() <= index.radius}
+    near = {(i, j) for i, p in enumerate(probes.tolist()) for j, q in enumerate(index.prints.tolist()) if (p ^ q).bit_count() <= index.radius and index.sizes[j] == 20}
+    for pairs in (1 << 20, 7):  # however few pairs are held at once
+        monkeypatch.setattr(decontaminate, "PAIRS", pairs)
+        assert set(zip(*(x.tolist() for x in index.within_radius(probes, 20)))) == near
+
+
+def test_the_index_prunes():
+    """Of all items a window meets few: those of its size, and of these those near it in a block."""
+    r = random.Random(17)
+    index = decontaminate.Index.build([(k, " ".join(words(r, r.randint(20, 60)))) for k in range(800)])
+    for text in (" ".join(words(r, 400)) for _ in range(5)):
+        s = decontaminate.shingles(decontaminate.word_hashes(text.split()))
+        for size in (20, 40, 60):
+            index.within_radius(decontaminate.fingerprints(s, np.arange(len(s) - size), size - 4, index.frequencies), size)
+    assert 0 < index.tried < 0.02 * index.windows * len(index.ids)
+
+
+def test_parts_change_no_result(spark):
+    """Weights are those of the whole benchmark, however many parts its index has."""
+    r = random.Random(18)
+    items = [(k, " ".join(edited(r, words(r, 60), 0))) for k in range(30)]
+    items += [(100 + k, " ".join(edited(r, items[k][1].split(), 2))) for k in range(10)]
+    docs = [(k, " ".join([*words(r, 20), *edited(r, items[k % 30][1].split(), 1), *words(r, 30_000 if k == 5 else 20)])) for k in range(60)]
+    df, bench = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    one, many = ({x.doc_id: (list(x.item_ids), x.similarity) for x in decontaminate.contamination(df, bench, most_items=most).collect()} for most in (1000, 4))
+    assert one == many and sum(len(x) > 0 for x, _ in one.values()) > 30
 
 
 def test_contamination(spark):
