@@ -18,8 +18,10 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
+from .common import strings_of
+
 #: Chunks that a worker remembers, at about 250 bytes each.
-REMEMBERED = 400_000
+REMEMBERED = 300_000
 #: Letters that are one pre-token, alone and unchanged by composition.
 LETTERS = re.compile("[A-Za-zÀ-ÖØ-öø-įı-ɏ]+")
 #: Marks that are a pre-token of their own after letters.
@@ -58,7 +60,7 @@ def chunk_codes(column: pa.Array, lower_words: bool) -> tuple[np.ndarray, np.nda
         column = pc.replace_substring(column, "\n", " ")
     lists = pc.split_pattern(column, " ")
     pieces = lists.flatten().dictionary_encode()
-    codes, offsets, keys = pieces.indices.to_numpy().astype(np.int64), lists.offsets.to_numpy().astype(np.int64), pieces.dictionary.to_pylist()
+    codes, offsets, keys = pieces.indices.to_numpy().astype(np.int64), lists.offsets.to_numpy().astype(np.int64), strings_of(pieces.dictionary)
     if lower_words or not len(codes):
         return codes, offsets, keys
     beside = np.array([not x or x[0].isspace() or x[-1].isspace() for x in keys])

@@ -126,17 +126,17 @@ def test_tables_without_languages(spark):
 def test_quality_rules(spark):
     r = random.Random(1)
     clean = [(k, prose(r, 120), "en") for k in range(60)]
-    other = [(100, "".join(r.choice("qxzjkvw") for _ in range(900)) + " a b c d e f g h i", "en"), (101, None, "en"), (102, "", None), (103, "one two " * 50, "en"), (104, "few words", "xx")]
+    other = [(100, "".join(r.choice("qxzjkvw") for _ in range(900)) + " a b c d e f g h i", "en"), (101, None, "en"), (102, "", None), (103, "one two " * 50, "en"), (104, "few words", "xx"), (105, "some words and more " * 8000, "en")]
     df = spark.createDataFrame(clean + other + [clean[0]], "doc_id long, text string, lang string").selectExpr("*", "true AS kept")
     rows = perplexity_rules.quality_rules(df).collect()
-    assert len(rows) == 66
+    assert len(rows) == 67
     texts = {k: t or "" for k, t, _ in clean + other}
     for x in rows:
         assert tuple(x[k] for k in perplexity_rules.FEATURES) == brute(texts[x.doc_id])
         assert x.base_failed == (x.n_words < 10 or 100 * x.n_repeat_words > 20 * x.n_words)
         assert not (x.base_failed and x.kept)
     kept = {x.doc_id for x in rows if x.kept}
-    assert kept >= {k for k, _, _ in clean if not any(x.doc_id == k and x.base_failed for x in rows)} and not kept & {100, 101, 102, 103, 104}
+    assert kept >= {k for k, _, _ in clean if not any(x.doc_id == k and x.base_failed for x in rows)} and not kept & {100, 101, 102, 103, 104, 105}
     assert {x.doc_id: x.perplexity for x in rows}[101] is None
     out = perplexity_rules.keep_good(df)
     assert out.columns == df.columns and {x.doc_id for x in out.collect()} == kept

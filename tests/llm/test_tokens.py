@@ -4,6 +4,7 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -39,6 +40,29 @@ def test_encoder_is_the_library(path, lower):
         assert ids_of(enc, text) == expected and ids_of(small, text) == expected, repr(text[:40])
 
 
+_ENCODERS = {}
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.one_of(st.none(), st.text(alphabet=st.sampled_from("ab  é1🙂.,'\n\t s<|>ZÉ̈　\x1c"), max_size=40)), max_size=6))
+def test_columns_are_encoded_as_the_library_does(texts):
+    """Whole batches, cut by Arrow, whatever stands beside the blanks."""
+    column = pa.array(texts, pa.string())
+    for path, lower in ((BYTE, False), (WORD, True)):
+        lib, enc = _ENCODERS.setdefault(path, (library(path), word_encoder.Encoder(path, lower, remembered=50)))
+        expected = [lib.encode(t or "", add_special_tokens=False).ids for t in texts]
+        ids, n = enc.encode_column(column)
+        assert n.tolist() == list(map(len, expected)) == enc.lengths(column).tolist() and ids.tolist() == [x for e in expected for x in e]
+    model = bpe.bpe(BYTE)
+    codes, offsets, keys = word_encoder.chunk_codes(column, lower_words=False)
+    pieces = model.pieces(keys)
+    for k, t in enumerate(texts):
+        own = [pieces[c] for c in codes[offsets[k] : offsets[k + 1]].tolist()]
+        ids = library_cache().encode(t or "", add_special_tokens=False).ids
+        assert np.frombuffer(b"".join(x[0] for x in own), model.dtype).tolist() == ids
+        assert b"".join(x[1] for x in own)[:-1].decode() == ",".join(map(str, ids)) and b"".join(x[2] for x in own).decode() == (t or "")
+
+
 @settings(max_examples=200, deadline=None)
 @given(st.text(alphabet=st.sampled_from("ab é1🙂.'\n\t s<|>Z̈"), max_size=60))
 def test_bpe_is_the_library(text):
@@ -58,11 +82,12 @@ def library_cache():
 
 def test_bpe_hard_texts_and_digests(spark):
     lib = library_cache()
-    df = spark.createDataFrame([(k, t) for k, t in enumerate(HARD)] + [(99, None), (0, HARD[0])], "doc_id int, text string").selectExpr("*", "1 AS n_tokens", "'x' AS ids")
+    texts = [*HARD, "the quick brown fox, " * 20_000, "no" * 3_000]
+    df = spark.createDataFrame([(k, t) for k, t in enumerate(texts)] + [(99, None), (0, HARD[0])], "doc_id int, text string").selectExpr("*", "1 AS n_tokens", "'x' AS ids")
     rows = bpe.encode_decode(df).collect()
-    assert len(rows) == len(HARD) + 2
+    assert len(rows) == len(texts) + 2
     for r in rows:
-        text = HARD[r.doc_id] if r.doc_id != 99 else ""
+        text = texts[r.doc_id] if r.doc_id != 99 else ""
         ids = lib.encode(text, add_special_tokens=False).ids
         assert r.ids == ids and r.n_tokens == len(ids) and r.decoded == text
         assert r.ids_sha256 == hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest()
@@ -84,6 +109,8 @@ def test_resynchronised_chunks():
         if k % 5 == 0:
             text += "q" * 300 + text + " " * 200
         assert token_counts.encode_huge(text, lib, r.choice((40, 64, 100)), r.choice((34, 40, 64))) == lib.encode(text, add_special_tokens=False).ids
+    with pytest.raises(ValueError):
+        token_counts.encode_huge("a" * 100, lib, 5, 10)
 
 
 def test_counts(spark):
@@ -99,7 +126,7 @@ def test_counts(spark):
 
 def test_token_files(spark, tmp_path):
     lib = library(WORD)
-    texts = {k: t for k, t in enumerate(HARD * 3)}
+    texts = {k: t for k, t in enumerate([*HARD * 3, "The quick, brown fox Jumps\n" * 20_000, "x" * 10_000])}
     rows = [(k, t) for k, t in texts.items()] + [(7000, None), (5, texts[5]), (None, "without id")]
     random.Random(1).shuffle(rows)
     df = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 AS start")
