@@ -18,7 +18,7 @@ from specframe.functions import numeric, series
 from specframe.operators import deconvolute, match, ontology, similarity, spectra, traces
 from specframe.operators import peaks as pk
 from specframe.session import importable, work_folder
-from specframe.sources import codec, igzip, mzml
+from specframe.sources import codec, igzip, mzml, sqlite
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -364,6 +364,44 @@ def string_id_search(spark, d):
     return spectra.search_id(_t(spark, d, "part").select(F.col("p_partkey").alias("idx"), F.col("p_name").alias("id_raw")), "cold")
 
 
+@query("search_any", "SELECT 'chromatogram' AS kind, event_type AS id FROM events WHERE contains(event_type, 'lic') GROUP BY 2 ORDER BY min(event_id) LIMIT 1")
+def search_any(spark, d):
+    """Text that no spectrum's id holds, so a chromatogram is found."""
+    s = _t(spark, d, "part").select(F.col("p_partkey").alias("idx"), F.col("p_name").alias("id_raw"))
+    c = _t(spark, d, "events").groupBy(F.col("event_type").alias("id")).agg(F.min("event_id").alias("idx"))
+    return spectra.search_any(s, c, "lic")
+
+
+@query("precursor_rows", "SELECT l_orderkey AS native_id, l_extendedprice / 100 AS mz, l_quantity AS i, l_linenumber AS charge, l_suppkey AS precursor_id FROM lineitem")
+def precursor_rows(spark, d):
+    """Line items as the selected ions of their order."""
+    ion = F.struct((F.col("l_extendedprice") / 100).alias("mz"), F.col("l_quantity").alias("i"), F.col("l_linenumber").alias("charge"), F.col("l_suppkey").alias("precursor_id"))
+    s = _t(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("native_id")).agg(F.collect_list(ion).alias("precursors"))
+    return spectra.precursor_rows(s)
+
+
+def _cv(*rows):
+    """A parameter list of (accession, name, value)."""
+    return F.array(*[F.struct(F.lit(a).alias("accession"), F.lit(n).alias("name"), v.alias("value"), F.lit(None).cast("string").alias("unit")) for a, n, v in rows])
+
+
+@query("param_by_name", "SELECT o_orderkey AS native_id, o_orderpriority AS value FROM orders")
+def param_by_name(spark, d):
+    """A parameter whose accession is looked up by the term's name."""
+    s = _t(spark, d, "orders").select(F.col("o_orderkey").alias("native_id"), _cv(("NA:3", "x", F.col("o_orderstatus")), ("NA:7", "y", F.col("o_orderpriority"))).alias("cv"))
+    terms = _terms(spark, d)
+    return spectra.param_by_name(s, terms, terms.where("id = 'NA:7'").first()["name"]).select("native_id", "value")
+
+
+@query("params_all", "SELECT o_orderkey AS native_id, true AS present, o_totalprice AS num, o_orderpriority AS str, 3::INT AS n FROM orders")
+def params_all(spark, d):
+    """Every value of an accession: a number, a flag and a text."""
+    s = _t(spark, d, "orders").select(F.col("o_orderkey").alias("native_id"), _cv(("A", "a", F.col("o_totalprice").cast("string")), ("A", "a", F.lit("")), ("B", "b", F.lit("7")), ("A", "a", F.col("o_orderpriority"))).alias("cv"))
+    own = s.withColumn("all", spectra.all_params("cv", "A"))
+    at = lambda k: F.get(F.col("all"), F.lit(k))
+    return own.select("native_id", (at(1)["present"] & at(1)["num"].isNull() & at(1)["str"].isNull()).alias("present"), at(0)["num"].alias("num"), at(2)["str"].alias("str"), F.size("all").alias("n"))
+
+
 @query("first_scans", "SELECT o_orderkey AS native_id, o_totalprice AS tic FROM orders ORDER BY o_orderkey LIMIT 5")
 def first_scans(spark, d):
     return spectra.first_scans(_scans(spark, d).withColumn("idx", F.col("native_id")), 5).select("native_id", "tic")
@@ -437,6 +475,16 @@ def chrom_by_name(spark, d):
     return spectra.by_name(_t(spark, d, "events"), "CLICK", "event_type").select("event_id", F.col("value").alias("i"))
 
 
+@query("chrom_properties", "SELECT event_type AS id, 'total ion current chromatogram' AS type, CASE WHEN min(event_id) % 2 = 0 THEN 'positive scan' ELSE 'negative scan' END AS polarity, round(min(value), 4) AS precursor_mz, round(max(value), 4) AS product_mz FROM events GROUP BY 1")
+def chrom_properties(spark, d):
+    e = _t(spark, d, "events").groupBy(F.col("event_type").alias("id")).agg(F.min("event_id").alias("n"), F.min("value").alias("low"), F.max("value").alias("high"))
+    even = F.col("n") % 2 == 0
+    polarity = F.struct(F.when(even, spectra.POSITIVE).otherwise(spectra.NEGATIVE).alias("accession"), F.when(even, "positive scan").otherwise("negative scan").alias("name"), F.lit("").alias("value"), F.lit(None).cast("string").alias("unit"))
+    kind = _cv(("MS:1000235", "total ion current chromatogram", F.lit("")))
+    c = e.select("id", F.concat(kind, F.array(polarity)).alias("cv"), _cv((spectra.ISOLATION_TARGET, "t", F.col("low").cast("string"))).alias("precursor_cv"), _cv((spectra.ISOLATION_TARGET, "t", F.col("high").cast("string"))).alias("product_cv"))
+    return spectra.chromatogram_properties(c).withColumns({x: F.round(x, 4) for x in ("precursor_mz", "product_mz")})
+
+
 @query("chrom_windows", "SELECT event_type AS id, strftime(date_trunc('hour', ts), '%Y-%m-%d %H') AS hour, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2")
 def chrom_windows(spark, d):
     from specframe.streaming import dropfolder
@@ -633,6 +681,27 @@ def mzml_runs(spark, d):
     return mzml.headers(spark, path).select("run_id", "spectrum_count", "instrument", F.size("software").alias("n_software"))
 
 
+@query("index_from_scratch", "SELECT DISTINCT l_suppkey AS native_id, 'spectrum' AS kind FROM lineitem")
+def index_from_scratch(spark, d):
+    """Offsets of open tags in written files; each one points at its tag."""
+    path = mzml.write(_elements(spark, d), work_folder(spark, "mzml"))
+    return mzml.scan_index_from_scratch(spark, path).where("offset > 0").select("native_id", "kind")
+
+
+@query("raw_elements", "SELECT DISTINCT l_suppkey AS native_id, true AS whole FROM lineitem")
+def raw_elements(spark, d):
+    path = mzml.write(_elements(spark, d), work_folder(spark, "mzml"), "mzML.gz")
+    e = mzml.raw_elements(spark, path)
+    return e.select(spectra.native_id(F.regexp_extract("element", r'\bid="([^"]*)"', 1)).alias("native_id"), (F.startswith("element", F.lit("<spectrum ")) & F.endswith("element", F.lit("</spectrum>"))).alias("whole"))
+
+
+@query("sqlite_scan", SQL["mzml_scan"])
+def sqlite_scan(spark, d):
+    path = f"{work_folder(spark, 'sqlite')}/store.db"
+    sqlite.write(_elements(spark, d).withColumnRenamed("spec_id", "id"), path)
+    return _scanned(mzml.spectra_from_xml(sqlite.read(spark, path)))
+
+
 @query("element_by_path", f"WITH {SQL_PEAKS} SELECT DISTINCT spec_id AS native_id, '1' AS ms_level, '64-bit float' AS kind FROM peaks")
 def element_by_path(spark, d):
     e = _elements(spark, d)
