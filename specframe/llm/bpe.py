@@ -27,9 +27,11 @@ from pyspark.sql import functions as F
 
 from .common import DOC, TEXT, map_arrow, slices
 from .vocab_files import vocab_path
-from .word_encoder import MARKS, REMEMBERED, chunk_codes, spaced_chunks
+from .word_encoder import MARKS, chunk_codes, spaced_chunks
 
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
+#: Chunks, and pre-tokens, that a worker remembers; this changes speed only.
+REMEMBERED = 150_000
 _LOADED: dict[str, Bpe] = {}
 
 
@@ -175,20 +177,23 @@ def _run(docs: DataFrame, vocab: str, schema: str, whole: bool) -> DataFrame:
         model = bpe(vocab)
         size = model.dtype.itemsize
         for batch in batches:
-            for piece in slices(batch):
+            for piece in slices(batch, most=3_000_000):
                 out: dict = {k: [] for k in ("n_tokens", "ids", "decoded", "ids_sha256", "decoded_sha256")}
                 codes, offsets, keys = chunk_codes(piece.column(TEXT), lower_words=False)
-                raw, decimals, strings = zip(*model.pieces(keys)) if keys else ((), (), ())
+                found = np.empty((3, len(keys)), dtype=object)
+                for k, own in enumerate(zip(*model.pieces(keys))):
+                    found[k] = own
+                raw, decimals, strings = found
                 n = np.fromiter(map(len, raw), dtype=np.int64, count=len(keys)) // size
-                numbers, at = codes.tolist(), offsets.tolist()
+                at = offsets.tolist()
                 for a, b in zip(at, at[1:]):
-                    own = numbers[a:b]
-                    decoded = b"".join(map(strings.__getitem__, own)).decode("utf-8", "replace")
-                    out["n_tokens"].append(int(n[codes[a:b]].sum()))
-                    out["ids_sha256"].append(hashlib.sha256(b"".join(map(decimals.__getitem__, own))[:-1]).hexdigest())
+                    own = codes[a:b]
+                    decoded = b"".join(strings[own].tolist()).decode("utf-8", "replace")
+                    out["n_tokens"].append(int(n[own].sum()))
+                    out["ids_sha256"].append(hashlib.sha256(b"".join(decimals[own].tolist())[:-1]).hexdigest())
                     out["decoded_sha256"].append(hashlib.sha256(decoded.encode()).hexdigest())
                     if whole:
-                        out["ids"].append(np.frombuffer(b"".join(map(raw.__getitem__, own)), dtype=model.dtype).tolist())
+                        out["ids"].append(np.frombuffer(b"".join(raw[own].tolist()), dtype=model.dtype).tolist())
                         out["decoded"].append(decoded)
                 cols = {DOC: piece.column(DOC), "n_tokens": pa.array(out["n_tokens"], pa.int64())}
                 if whole:

@@ -39,7 +39,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import importable
-from .common import DOC, TEXT, cut, map_arrow, mix64, release, shared_folder, slices, texts_of, word_codes
+from .common import DOC, TEXT, cut, map_arrow, mix64, release, shared_folder, slices, texts_of, trim, word_codes
 from .ranges import PACKED, Adder, Sorted, store
 
 SHINGLE, SIMILARITY, RADIUS, MOST_ITEMS = 5, 0.8, 19, 20_000
@@ -328,8 +328,9 @@ def _searched(docs: DataFrame, benchmark: DataFrame, similarity: float, most_ite
         release(__name__)
         indexes = _indexes(folder, parts, frequencies, similarity)
         out = []
-        for piece in slices(pa.RecordBatch.from_arrays([text], [TEXT])):
+        for piece in slices(pa.RecordBatch.from_arrays([text], [TEXT]), most=4_000_000):
             out += [[{"item_id": k, "similarity": v} for k, v in own] for own in search_texts(indexes, piece.column(TEXT))]
+        trim()
         return pa.array(out, pa.list_(pa.struct([("item_id", pa.int64()), ("similarity", pa.float64())])))
 
     return found(F.col(TEXT))

@@ -45,12 +45,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import importable
-from .common import DOC, TEXT, cut, fresh, map_arrow, mix64, partitions, release, shared_folder, slices, word_codes, written
+from .common import DOC, TEXT, cut, fresh, map_arrow, mix64, partitions, release, shared_folder, slices, trim, word_codes, written
 from .ranges import PACKED, SPAN, Adder, Mapped, Sorted, by_range, of_range, store
 
 NEAR, WORDS, TWO, FEW, MANY, CUTS = 8, 32, 16, 6, 144, 2
 #: Keys that a task adds up before it sends them.
-HELD = 1_000_000
+HELD = 500_000
+#: Bytes of text that are looked at together.
+PIECE = 3_000_000
 REF = "doc long, th long, line int"
 NULL = -(1 << 63)
 _ODD = np.uint64(0x9E3779B97F4A7C15)
@@ -225,7 +227,7 @@ def _line_rows(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for piece in slices(batch):
+            for piece in slices(batch, most=PIECE):
                 h, ends, doc, number = lines_of(piece.column(TEXT))
                 some = np.flatnonzero(np.diff(ends))
                 a, b = ends[:-1][some], ends[1:][some]
@@ -290,7 +292,7 @@ def _sequences(docs: DataFrame, shared: Sorted, wanted: Sorted) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shared, wanted = sent.value
         for batch in batches:
-            for piece in slices(batch):
+            for piece in slices(batch, most=PIECE):
                 lists = pc.split_pattern(pc.fill_null(piece.column(TEXT), ""), "\n")
                 ends = lists.offsets.to_numpy().astype(np.int64)
                 number, doc = _runs(np.zeros(len(ends) - 1, dtype=np.int64), np.diff(ends))
@@ -528,7 +530,7 @@ def _applied(docs: DataFrame) -> tuple[DataFrame, str]:
     def apply(text: pa.Array, key: pa.Array) -> pa.Array:
         release(__name__)
         out = [pa.array([], _STAYS)]
-        for piece in slices(pa.RecordBatch.from_arrays([text, key], [TEXT, "key"])):
+        for piece in slices(pa.RecordBatch.from_arrays([text, key], [TEXT, "key"]), most=PIECE):
             lists = pc.split_pattern(pc.fill_null(piece.column(TEXT), ""), "\n")
             ends = lists.offsets.to_numpy().astype(np.int64)
             number, doc = _runs(np.zeros(len(ends) - 1, dtype=np.int64), np.diff(ends))
@@ -542,6 +544,7 @@ def _applied(docs: DataFrame) -> tuple[DataFrame, str]:
             mask[changed] = True
             stay = pc.replace_with_mask(texts, pa.array(mask), pa.array(list(new.values()), pa.string())) if len(changed) else texts
             out.append(pa.StructArray.from_arrays([stay, pa.array(n_exact), pa.array(n_near)], fields=list(_STAYS)))
+        trim()
         return pa.concat_arrays(out)
 
     (name,) = fresh(docs, "stays")
