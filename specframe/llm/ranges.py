@@ -20,6 +20,8 @@ from pyspark.sql import functions as F
 
 from .common import cut, map_arrow, shared_folder
 
+#: Ranges whose files a worker holds open at once.
+MOST_OPEN = 1000
 #: Counts below this are stored in a byte.
 _BYTE = 255
 
@@ -76,8 +78,13 @@ class Mapped:
         self.folder, self.parts = folder, parts
         self.maps: dict[int, dict[str, np.ndarray] | None] = {}
 
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"maps": {}}  # what is mapped stays where it is
+
     def _open(self, part: int) -> dict[str, np.ndarray] | None:
         if part not in self.maps:
+            if len(self.maps) >= MOST_OPEN:
+                self.maps.clear()
             paths = {x: os.path.join(self.folder, f"{x}-{part}.npy") for x in self.names}
             self.maps[part] = {k: np.load(v, mmap_mode="r") for k, v in paths.items()} if os.path.exists(paths["keys"]) else None
         return self.maps[part]
