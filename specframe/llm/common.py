@@ -148,7 +148,8 @@ def strings_of(column: pa.Array) -> list[str]:
 
 def word_codes(column: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
     """Distinct words, the number of each word of all texts, and how many words each text has; cut as ``str.split`` does."""
-    lists = pc.utf8_split_whitespace(pc.fill_null(column, ""))
+    # Arrow may look at what lies behind the last text, so another one is put there.
+    lists = pc.utf8_split_whitespace(pa.concat_arrays([pc.fill_null(column, ""), pa.array(["."], column.type)]))[:-1]
     flat = lists.flatten().dictionary_encode()
     codes, ends = flat.indices.to_numpy().astype(np.int64), lists.offsets.to_numpy().astype(np.int64)
     words = strings_of(flat.dictionary)

@@ -12,6 +12,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from specframe.llm import lm_scoring, perplexity_rules, quality, secrets
+from specframe.llm.common import word_codes
 
 
 def prose(r, n, words="the cat sat on a mat and then it ran to me for some good old fun in this big wide open world".split()):
@@ -418,3 +419,12 @@ def test_ordinary_strings_are_left_alone():
     paths = [os.path.join(d, f) for d, _, files in os.walk(where) for f in files if secrets.CANDIDATE.fullmatch(os.path.join(d, f))]
     for strings in ([str(uuid.UUID(int=r.getrandbits(128))) for _ in range(300)], r.sample(names, 500), r.sample(paths, 300), ["com.example.service.UserAccountManagerFactory"]):
         assert sum(scorer.best(x)[0] >= scorer.threshold for x in strings) < 0.05 * len(strings)
+
+
+def test_what_lies_behind_a_text_makes_no_difference():
+    texts = ["\tİΣΣΣ\na\n\nΣ \t", "a \u3000\u3000", None, "b\x85 \t"]
+    for k in range(300):
+        dirt = [bytes([32, 9, 10, 97][k % 4 :] * 20) for _ in range(50)]
+        del dirt
+        words, codes, sizes = word_codes(pa.array(texts))
+        assert sizes.tolist() == [3, 1, 0, 1] and [words[c] for c in codes] == ["İΣΣΣ", "a", "Σ", "a", "b"]
