@@ -42,10 +42,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import bloom
-from .common import DOC, TEXT, cut, map_arrow, mix64, shared_folder, slices, texts_of
+from .common import DOC, TEXT, cut, fresh, map_arrow, mix64, partitions, shared_folder, slices, texts_of
 
 SHINGLE, SIMILARITY, RISE, ROWS, BANDS, SKETCH, SAMPLES, SEED = 5, 0.8, 0.25, 5, 16, 1 << 18, 1 << 20, 11
 _POWERS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63], dtype=np.uint64)
+#: Bytes of text that are looked at together.
+PIECE = 3_000_000
 _CACHE: dict = {}
 
 
@@ -200,7 +202,7 @@ def document_frequencies(docs: DataFrame) -> str:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sketch, n = np.zeros(SKETCH, dtype=np.int64), 0
         for batch in batches:
-            for piece in slices(batch):
+            for piece in slices(batch, most=PIECE):
                 for s, _ in shingles([words_of(t) for t in texts_of(piece.column(TEXT))]):
                     if len(s):
                         n += 1
@@ -257,7 +259,7 @@ def _signatures(docs: DataFrame, sketch: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         idf = _idf(sketch)
         for batch in batches:
-            for piece in slices(batch):
+            for piece in slices(batch, most=PIECE):
                 lists = [words_of(t) for t in texts_of(piece.column(TEXT))]
                 h = [xxhash.xxh3_128_digest(" ".join(words)) for words in lists]
                 bands = [signature(s, idf.weights(s, n)) if len(s) else None for s, n in shingles(lists)]
@@ -276,7 +278,7 @@ def _vectors(docs: DataFrame, wanted: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for piece in slices(batch):
+            for piece in slices(batch, most=PIECE):
                 hit = bloom.may_contain(path, piece.column("key").to_numpy(zero_copy_only=False))
                 own = piece.filter(pa.array(hit))
                 v = []
@@ -311,7 +313,8 @@ def _verified(pairs: DataFrame, vectors: DataFrame, sketch: str, similarity: flo
 
     va = vectors.select(F.col("node").alias("a"), F.col("v").alias("va"))
     vb = vectors.select(F.col("node").alias("b"), F.col("v").alias("vb"))
-    return map_arrow(pairs.join(va, "a").join(vb, "b").select("a", "b", "va", "vb"), run, "a binary, b binary")
+    # A leader is in many pairs: it meets them while they are only names, and with its vector they then spread by the other one.
+    return map_arrow(pairs.join(vb, "b").join(va, "a").select("a", "b", "va", "vb"), run, "a binary, b binary")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -388,18 +391,33 @@ def _classes(docs: DataFrame, similarity: float) -> tuple[DataFrame, DataFrame |
         leaders *= 4
 
 
-def _named(ids: DataFrame, labels: DataFrame | None) -> DataFrame:
+def _told(rows: DataFrame, table: DataFrame, key: str, n: str, total: int) -> DataFrame:
+    """rows joined with a table that has each key once, and in ``n`` how many of the ``total`` rows have it.
+
+    Keys of so many rows that they would weigh on one task are at most four for
+    each partition: they go to every task, and only the other rows are shuffled.
+    """
+    most = total // (4 * partitions(rows.sparkSession)) + 1
+    hot, cold = table.where(F.col(n) > most).drop(n), table.where(F.col(n) <= most).drop(n)
+    rest = rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(cold, key)
+    return rows.join(F.broadcast(hot), key).unionByName(rest)
+
+
+def _classed(ids: DataFrame, labels: DataFrame | None) -> DataFrame:
+    """node, first (the least doc and hash of its texts), n and class of each node."""
+    nodes = ids.groupBy("node").agg(F.min(F.struct("doc", "th")).alias("first"), F.min("doc").alias("least"), F.count("*").alias("n"))
     if labels is None:
-        return ids.withColumn("class", F.col("node"))
-    return ids.join(labels, "node", "left").withColumn("class", F.coalesce("class", "node"))
+        return nodes.withColumn("class", F.col("node"))
+    return nodes.join(labels, "node", "left").withColumn("class", F.coalesce("class", "node"))
 
 
 def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """doc_id, class_id (the least id of its class) and class_size, for every document."""
-    ids, label = _classes(docs, similarity)
-    named = _named(ids, label)
-    least = named.groupBy("class").agg(F.min("doc").alias("class_id"), F.count("*").alias("class_size"))
-    return named.join(least, "class").select(F.col("doc").alias(DOC), "class_id", "class_size")
+    ids, labels = _classes(docs, similarity)
+    nodes = cut(_classed(ids, labels).select("node", "least", "n", "class"))
+    classes = nodes.groupBy("class").agg(F.min("least").alias("class_id"), F.sum("n").alias("class_size"), F.count("*").alias("n_nodes"))
+    of_node = cut(_told(nodes.select("node", "n", "class"), cut(classes), "class", "n_nodes", nodes.count()).drop("class"))
+    return _told(ids.select("node", F.col("doc").alias(DOC)), of_node, "node", "n", ids.count()).select(DOC, "class_id", "class_size")
 
 
 def keep_one(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
@@ -407,11 +425,11 @@ def keep_one(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
 
     Of rows that agree in id and text one stays as well.
     """
-    ids, label = _classes(docs, similarity)
-    named = _named(ids, label)
-    kept = named.groupBy("class").agg(F.min(F.struct("doc", "th")).alias("k")).select(F.col("k.doc").alias("__doc"), F.col("k.th").alias("__th"))
+    ids, labels = _classes(docs, similarity)
+    doc, th = fresh(docs, "doc", "th")
+    kept = _classed(ids, labels).groupBy("class").agg(F.min("first").alias("k")).select(F.col("k.doc").alias(doc), F.col("k.th").alias(th))
     # The least long stands for a null id, so that both steps below use one shuffle.
     null = F.lit(-(1 << 63))
-    own = docs.withColumn("__doc", F.coalesce(F.col(DOC).cast("long"), null)).withColumn("__th", F.xxhash64(F.coalesce(F.col(TEXT), F.lit(""))))
-    kept = kept.withColumn("__doc", F.coalesce("__doc", null))
-    return own.join(kept, ["__doc", "__th"], "left_semi").dropDuplicates(["__doc", "__th"]).select(*[F.col(f"`{c}`") for c in docs.columns])
+    own = docs.withColumn(doc, F.coalesce(F.col(DOC).cast("long"), null)).withColumn(th, F.xxhash64(F.coalesce(F.col(TEXT), F.lit(""))))
+    kept = kept.withColumn(doc, F.coalesce(doc, null))
+    return own.join(kept, [doc, th], "left_semi").dropDuplicates([doc, th]).select(*[F.col(f"`{c}`") for c in docs.columns])
