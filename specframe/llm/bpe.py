@@ -30,8 +30,9 @@ from .vocab_files import vocab_path
 from .word_encoder import MARKS, chunk_codes, spaced_chunks
 
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
-#: Chunks, and pre-tokens, that a worker remembers; this changes speed only.
+#: Chunks, and pre-tokens, that a worker remembers, from the second time on that it meets them; this changes speed only.
 REMEMBERED = 150_000
+_SLOTS = 1 << 22
 _LOADED: dict[str, Bpe] = {}
 
 
@@ -77,6 +78,8 @@ class Bpe:
         self.chunks: dict[str, tuple[bytes, bytes, bytes]] = {}
         self.words: dict[str, list[int]] = {}
         self.remembered = remembered
+        self.met = bytearray(_SLOTS)
+        self.specials = tuple(self.special)
 
     def merge(self, word: bytes) -> list[int]:
         """The ids of one pre-token."""
@@ -111,10 +114,18 @@ class Bpe:
     def _word(self, word: str) -> list[int]:
         if (ids := self.words.get(word)) is None:
             ids = self.merge(word.encode())
-            if len(self.words) < self.remembered and len(word) < 64:
+            if len(self.words) < self.remembered and len(word) < 64 and self._again(hash(word)):
                 self.words[word] = ids
         return ids
 
+    def _again(self, hashed: int) -> bool:
+        """Whether it has been met before, or something with the same slot has."""
+        slot = hashed & _SLOTS - 1
+        if self.met[slot]:
+            return True
+        self.met[slot] = 1
+        return False
+
     def _plain(self, text: str) -> list[int]:
         tail = text[-1:] if text[-1:] in MARKS else ""
         word = text[: len(text) - len(tail)]
@@ -124,7 +135,10 @@ class Bpe:
         return list(chain.from_iterable(map(self._word, self.pattern.findall(text))))
 
     def _chunk(self, chunk: str) -> list[int]:
-        if not self.split or not any(t in chunk for t in self.special):
+        for token in self.specials:
+            if token in chunk:
+                break
+        else:
             return self._plain(chunk)
         ids, at = [], 0
         for m in self.split.finditer(chunk):
@@ -142,7 +156,7 @@ class Bpe:
             if own is None:
                 ids = self._chunk(chunks[k])
                 own = found[k] = array(self.dtype.char, ids).tobytes(), b"".join(map(decimals, ids)), b"".join(map(strings, ids))
-                if len(known) < self.remembered and len(ids) < 32:
+                if len(known) < self.remembered and len(ids) < 32 and self._again(~hash(chunks[k]) >> 3):
                     known[chunks[k]] = own
         return found
 
