@@ -19,11 +19,12 @@ Equal documents are one to begin with.  In every bucket of every band the
 members first meet one leader each, the one they share most bands with.  A pair
 that meets is verified by exact weighted Jaccard similarity (``SIMILARITY`` or
 more) and linked, and linked documents form classes, by repeated minimum
-labels.  Then, in buckets of several classes, members lead in turn (1, 4, 16 …
-at a time, those of the smallest classes first) and meet all that aren't in
-their class, until all but the largest class have led or one class is left.  So
-every pair of a bucket is either in one class or has been verified: no link is
-lost, and near copies never make all their pairs.
+labels.  Then, in buckets of several classes, all members of different classes
+meet: a task has the vectors of a bucket, or of two of its ``BLOCK``s, compares
+one member with all others of a fitting total weight at once, and returns no
+more links than join its classes.  So every pair of a bucket is either in one
+class or has been verified: no link is lost, near copies never make all their
+pairs, and pairs that aren't similar never leave the task that compares them.
 
 Texts without words are equal to each other.  Rows that repeat an id are
 documents of their own if their texts differ.  A null id stays null, and a
@@ -33,12 +34,13 @@ class is named by its least id.
 from __future__ import annotations
 
 import os
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import bloom
@@ -48,6 +50,8 @@ SHINGLE, SIMILARITY, RISE, ROWS, BANDS, SKETCH, SAMPLES, SEED = 5, 0.8, 0.25, 5,
 _POWERS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63], dtype=np.uint64)
 #: Bytes of text that are looked at together.
 PIECE = 3_000_000
+#: Members of a bucket, and bytes of their vectors, beyond which it is compared block by block.
+BLOCK, BLOCK_BYTES = 4000, 4_000_000
 _CACHE: dict = {}
 
 
@@ -354,6 +358,118 @@ def _labelled(pairs: DataFrame, labels: DataFrame | None) -> DataFrame:
     return pairs
 
 
+def _meetings(members: DataFrame, labels: DataFrame | None, vectors: DataFrame) -> DataFrame:
+    """key, i, j, block, node, class, v: who meets whom in each bucket (key, node) of several classes.
+
+    All of a bucket is block 0, or the members of its largest class, which
+    needn't meet each other, are its first blocks and the others its last ones.
+    In (i, j) the blocks i and j meet; each pair of members that may differ in
+    class is in one of these.
+    """
+    sized = members.join(vectors.select("node", F.length("v").alias("size")), "node")
+    if labels is None:
+        classed = cut(sized.withColumn("class", F.col("node")))
+    else:
+        classed = cut(sized.join(labels, "node", "left").withColumn("class", F.coalesce("class", "node")))
+    sizes = classed.groupBy("key", "class").agg(F.count("*").alias("n"), F.sum("size").alias("size"))
+    mixed = sizes.groupBy("key").agg(F.max_by(F.struct("class", "n", "size"), F.struct("n", "class")).alias("largest"), F.sum("n").alias("n"), F.sum("size").alias("size"), F.count("*").alias("classes")).where("classes > 1")
+
+    def blocks(n: Column, size: Column) -> Column:
+        return F.ceil(F.greatest(n / BLOCK, size / BLOCK_BYTES)).cast("int")
+
+    whole = (F.col("n") <= BLOCK) & (F.col("size") <= BLOCK_BYTES)
+    first = F.when(whole, 0).otherwise(blocks(F.col("largest.n"), F.col("largest.size")))
+    rest = F.when(whole, 1).otherwise(blocks(F.col("n") - F.col("largest.n"), F.col("size") - F.col("largest.size")))
+    cuts = mixed.select("key", F.col("largest.class").alias("largest"), first.alias("first"), rest.alias("rest"))
+    in_first = (F.col("first") > 0) & (F.col("class") == F.col("largest"))
+    own = F.when(in_first, F.pmod(F.xxhash64("node"), F.col("first"))).otherwise(F.col("first") + F.pmod(F.xxhash64("node"), F.col("rest"))).cast("int")
+    placed = classed.join(cuts, "key").withColumn("block", own)
+    # Those of the first blocks meet the last ones only.
+    others = F.sequence(F.when(F.col("block") < F.col("first"), F.col("first")).otherwise(F.lit(0)), F.col("first") + F.col("rest") - 1)
+    met = placed.select("key", "node", "class", "block", F.explode(others).alias("other"))
+    met = met.select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "node", "class")
+    return met.join(vectors, "node").select("key", "i", "j", "block", "node", "class", "v")
+
+
+def join_classes(raw: list[bytes], classes: list[bytes], left: np.ndarray, right: np.ndarray, idf: Idf, similarity: float) -> list[tuple[int, int]]:
+    """Links that join the classes of similar members; every pair of one of ``left`` with one of ``right`` is looked at, if their classes differ.
+
+    ``raw`` has the members' vectors, ``left`` and ``right`` their numbers.
+    """
+    vectors = [_vector(x) for x in raw]
+    weights = [idf.weights(*x) for x in vectors]
+    total = np.array([w.sum() for w in weights])
+    left = left[np.argsort(total[left], kind="stable")]
+    # What the left ones have, end to end in the order of their total weights; a shingle is its rank among all.
+    sizes = np.array([len(weights[k]) for k in left], dtype=np.int64)
+    known, rank = np.unique(np.concatenate([vectors[k][0] for k in left]), return_inverse=True)
+    weight = np.concatenate([weights[k] for k in left])
+    ends = np.concatenate(([0], np.cumsum(sizes)))
+    sums = total[left]
+    of = {c: k for k, c in enumerate(dict.fromkeys(classes))}
+    own = np.array([of[c] for c in classes], dtype=np.int64)
+    links = []
+    dense = np.zeros(len(known))
+    for x in right.tolist():
+        # Similar vectors are also similar in total weight.
+        a, b = np.searchsorted(sums, (total[x] * similarity * (1 - 1e-9), total[x] / similarity * (1 + 1e-9)), side="left")
+        if a >= b or (own[left[a:b]] == own[x]).all():
+            continue
+        at = np.minimum(np.searchsorted(known, vectors[x][0]), len(known) - 1)
+        there = known[at] == vectors[x][0]
+        dense[at[there]] = weights[x][there]
+        span = slice(ends[a], ends[b])
+        shared = np.add.reduceat(np.minimum(dense[rank[span]], weight[span]), ends[a:b] - ends[a])
+        dense[at] = 0
+        # Sums in another order may differ in the last places, so the last word is the plain function's.
+        near = left[a:b][shared >= similarity * (1 - 1e-9) * (sums[a:b] + total[x] - shared)]
+        for y in near.tolist():
+            if own[y] != own[x] and weighted_jaccard(*vectors[x], *vectors[y], idf) >= similarity:
+                links.append((x, y))
+                own[own == own[y]] = own[x]
+    return links
+
+
+def _joined(meetings: DataFrame, sketch: str, similarity: float) -> DataFrame:
+    """a, b: the links that join the classes of those who meet."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        idf = _idf(sketch)
+        for t in _groups(batches, ("key", "i", "j")):
+            i, j = t.column("i")[0].as_py(), t.column("j")[0].as_py()
+            nodes, classes, raw = (t.column(k).to_pylist() for k in ("node", "class", "v"))
+            if i == j:
+                largest = Counter(classes).most_common(1)[0][0]
+                left, right = np.arange(len(raw)), np.flatnonzero([c != largest for c in classes])
+            else:
+                block = t.column("block").to_numpy()
+                left, right = np.flatnonzero(block == i), np.flatnonzero(block == j)
+            if len(left) and len(right):
+                links = join_classes(raw, classes, left, right, idf, similarity)
+                yield pa.RecordBatch.from_pydict({k: pa.array([nodes[x[n]] for x in links], pa.binary()) for n, k in enumerate("ab")})
+
+    return map_arrow(meetings.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j"), run, "a binary, b binary")
+
+
+def _groups(batches: Iterator[pa.RecordBatch], by: tuple[str, ...]) -> Iterator[pa.Table]:
+    """Runs of rows that agree in some columns of integers, whatever batches they come in."""
+    held: list[pa.RecordBatch] = []
+    last = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        k = np.stack([batch.column(c).to_numpy().astype(np.int64) for c in by])
+        cuts = [0, *(np.flatnonzero((k[:, 1:] != k[:, :-1]).any(axis=0)) + 1).tolist(), batch.num_rows]
+        for a, b in zip(cuts, cuts[1:]):
+            if (now := tuple(k[:, a])) != last and held:
+                yield pa.Table.from_batches(held)
+                held = []
+            last = now
+            held.append(batch.slice(a, b - a))
+    if held:
+        yield pa.Table.from_batches(held)
+
+
 def _classes(docs: DataFrame, similarity: float) -> tuple[DataFrame, DataFrame | None]:
     """(node, doc, th of every document), (node, class of every linked node)."""
     sketch = document_frequencies(docs)
@@ -364,31 +480,13 @@ def _classes(docs: DataFrame, similarity: float) -> tuple[DataFrame, DataFrame |
     members = cut(keyed.join(shared, "key"))
     wanted = members.groupBy("node").agg(F.first("rep").alias("rep")).select("node", "rep.doc", "rep.th")
     vectors = cut(_vectors(docs, wanted))
-    open_ = members.select("key", "node")
-    # Each member's leader of the most bands first; of the others only what these don't join is verified.
-    least = open_.groupBy("key").agg(F.min("node").alias("b"))
-    most = open_.join(least, "key").where("node <> b").groupBy(F.col("node").alias("a"), "b").count().groupBy("a").agg(F.max_by("b", F.struct("count", "b")).alias("b"))
+    members = members.select("key", "node")
+    # Each member's leader of the most bands first; of the others only what these don't join is compared.
+    least = members.groupBy("key").agg(F.min("node").alias("b"))
+    most = members.join(least, "key").where("node <> b").groupBy(F.col("node").alias("a"), "b").count().groupBy("a").agg(F.max_by("b", F.struct("count", "b")).alias("b"))
     labels = _merged(None, _verified(most, vectors, sketch, similarity))
-    open_ = open_.withColumn("led", F.lit(False))
-    leaders = 1
-    while True:
-        # Buckets of one class are done, and so are those all of whose members but the largest class's have led.
-        own = open_.withColumn("a", F.col("node")).withColumn("b", F.col("node"))
-        classed = cut(_labelled(own, labels).select("key", "node", "led", F.col("ca").alias("class")))
-        sizes = classed.groupBy("key", "class").agg(F.count("*").alias("n"))
-        largest = sizes.groupBy("key").agg(F.max_by("class", F.struct("n", "class")).alias("largest"), F.count("*").alias("classes")).where("classes > 1").drop("classes")
-        may = classed.where("not led").join(largest, "key").where("class <> largest").join(sizes, ["key", "class"])
-        order = Window.partitionBy("key").orderBy("n", "node")
-        first = cut(may.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= leaders).select("key", "node", "class"))
-        if first.isEmpty():
-            return raw.select("node", "doc", "th"), labels
-        lead = first.select("key", F.col("node").alias("b"), F.col("class").alias("cb"))
-        met = classed.where("not led").join(lead, "key").where("class <> cb").select(F.greatest("node", "b").alias("a"), F.least("node", "b").alias("b")).distinct()
-        labels = _merged(labels, _verified(met, vectors, sketch, similarity))
-        led = first.select("key", "node", F.lit(True).alias("now"))
-        keys = first.select("key").distinct()
-        open_ = cut(classed.join(keys, "key", "left_semi").join(led, ["key", "node"], "left").select("key", "node", (F.col("led") | F.coalesce("now", F.lit(False))).alias("led")))
-        leaders *= 4
+    labels = _merged(labels, _joined(_meetings(members, labels, vectors), sketch, similarity))
+    return raw.select("node", "doc", "th"), labels
 
 
 def _told(rows: DataFrame, table: DataFrame, key: str, n: str, total: int) -> DataFrame:

@@ -113,6 +113,69 @@ def test_classes_against_brute_force(spark):
     assert near_dedup.near_duplicates(df.limit(0)).count() == 0 and near_dedup.keep_one(df.limit(0)).count() == 0
 
 
+def test_unlike_members_of_a_bucket_stay_in_their_task(spark, monkeypatch):
+    r = random.Random(8)
+    base = words(r, 150)
+    docs = [" ".join(edited(r, base, n)) for n in [6] * 120 + [1] * 40]
+    df = spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string")
+    verified, pairs = near_dedup._verified, []
+
+    def counted(found, *others):
+        found = near_dedup.cut(found)
+        pairs.append(found.count())
+        return verified(found, *others)
+
+    monkeypatch.setattr(near_dedup, "_verified", counted)
+    whole = {x.doc_id: x.class_id for x in near_dedup.near_duplicates(df).collect()}
+    # Most of the 12,720 pairs share a band and few are similar; each document but one meets one other by name.
+    assert sum(pairs) < len(docs)
+    sets = near_dedup.shingles([near_dedup.words_of(t) for t in docs])
+    counts, documents = np.zeros(near_dedup.SKETCH), len(docs)
+    for s, _ in sets:
+        np.add.at(counts, s & np.uint32(near_dedup.SKETCH - 1), 1)
+    idf = near_dedup.Idf(counts, documents)
+    similar = [(a, b) for a in range(documents) for b in range(a) if near_dedup.weighted_jaccard(*sets[a], *sets[b], idf) >= 0.8]
+    assert len(set(whole.values())) > 30 and sum(whole[a] != whole[b] for a, b in similar) == 0
+    monkeypatch.setattr(near_dedup, "BLOCK", 9)
+    assert {x.doc_id: x.class_id for x in near_dedup.near_duplicates(df).collect()} == whole
+    monkeypatch.setattr(near_dedup, "BLOCK", 4000)
+    monkeypatch.setattr(near_dedup, "BLOCK_BYTES", 20_000)
+    assert {x.doc_id: x.class_id for x in near_dedup.near_duplicates(df).collect()} == whole
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.randoms(use_true_random=False), st.integers(2, 14), st.booleans())
+def test_links_join_what_is_similar(r, n, crossed):
+    base = words(r, r.choice((3, 20, 60)))
+    sets = near_dedup.shingles([edited(r, base, r.choice((0, 1, 3, 8))) * r.choice((1, 1, 2)) or ["a"] for _ in range(n)])
+    raw = []
+    for s, count in sets:
+        many = np.flatnonzero(count > 1).astype("<u4")
+        raw.append(b"".join((np.uint32(len(s)).tobytes(), s.astype("<u4").tobytes(), many.tobytes(), count[many].astype("<u4").tobytes())))
+    classes = [bytes([r.randrange(n)]) for _ in range(n)]
+    idf = near_dedup.Idf(np.random.default_rng(r.randrange(100)).integers(0, 50, near_dedup.SKETCH), 50)
+    left = np.arange(n // 2 if crossed else n)
+    right = np.arange(n // 2, n) if crossed else left
+    similar = {(x, y) for x in right.tolist() for y in left.tolist() if x != y and near_dedup.weighted_jaccard(*sets[x], *sets[y], idf) >= 0.8}
+
+    def joined(links):
+        own = list(classes)
+        for x, y in links:
+            own = [own[x] if c == own[y] else c for c in own]
+        return [[a == b for a in own] for b in own]
+
+    links = near_dedup.join_classes(raw, classes, left, right, idf, 0.8) if len(left) else []
+    assert set(links) <= similar and len(links) < n and joined(links) == joined(similar)
+
+
+def test_groups_over_batches():
+    rows = [(1, 1), (1, 1), (1, 2), (2, 2), (2, 2), (2, 2), (3, 0)]
+    for cuts in ([], [2], [1, 4, 5], [0, 3, 3, 6]):
+        parts = [rows[a:b] for a, b in zip([0, *cuts], [*cuts, len(rows)])]
+        batches = [pa.RecordBatch.from_pydict({"a": pa.array([x[0] for x in p], pa.int64()), "b": pa.array([x[1] for x in p], pa.int32())}) for p in parts]
+        assert [t.num_rows for t in near_dedup._groups(iter(batches), ("a", "b"))] == [2, 1, 3, 1]
+
+
 def test_components(spark):
     r = random.Random(4)
     edges = [(r.randrange(60), r.randrange(60)) for _ in range(45)] + [(k, k + 1) for k in range(100, 130)]
