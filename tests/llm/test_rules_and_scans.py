@@ -104,6 +104,34 @@ def test_letters_of_all_scripts_are_told_apart():
     assert [int(symbols[ord(c)]) for c in " 1,#\U0001f642"] == [0, 1, 2, 6, 5]
 
 
+def test_letters_beyond_the_commonest_are_told_apart():
+    r = random.Random(31)
+    letters = [chr(0x4E00 + k) for k in range(2500)]
+    symbols = symbols_of(["".join(letters[: len(letters) // k]) for k in range(1, 40)])
+    spelled = {}
+    for c in letters:
+        code, (n,) = perplexity_rules.grams([c], symbols)
+        spelled[c] = tuple(code[:n].tolist())
+        assert len(code) == n and max(code.tolist()) < perplexity_rules.SYMBOLS**4
+    assert len(set(spelled.values())) == len(letters) and sorted({len(x) for x in spelled.values()}) == [1, 2, 3, 5]
+    mixed = ["".join(r.choice(letters + list(" a1.")) for _ in range(r.choice((0, 1, 40)))) for _ in range(20)]
+    code, sizes = perplexity_rules.grams(mixed, symbols)
+    apart = [perplexity_rules.grams([t], symbols)[0] for t in mixed]
+    assert sizes.tolist() == [len(x) for x in apart] and code.tolist() == np.concatenate(apart).tolist()
+    # Letters in other places than the language has them cost more, also where they are rare.
+    vocab = ["".join(r.choice(letters[:90]) for _ in range(3)) for _ in range(60)]
+    texts = [" ".join(r.choice(vocab) for _ in range(100)) for _ in range(40)]
+    symbols = symbols_of(texts)
+    gram, n = np.unique(perplexity_rules.grams(texts, symbols)[0], return_counts=True)
+    model = perplexity_rules.kneser_ney(gram, n)
+    counts = Counter("".join(texts).replace(" ", ""))
+    ranked = sorted(counts, key=lambda c: (-counts[c], c))
+    swap = {a: b for k in range(30, len(ranked) - 11, 12) for a, b in [*zip(ranked[k : k + 6], ranked[k + 6 : k + 12]), *zip(ranked[k + 6 : k + 12], ranked[k : k + 6])]}
+    other = ["".join(swap.get(c, c) for c in t) for t in texts]
+    bits = [-float(perplexity_rules.log_probabilities(model, perplexity_rules.grams(x, symbols)[0]).sum()) / sum(map(len, x)) for x in (texts, other)]
+    assert len(swap) > 20 and bits[1] > bits[0] + 0.5
+
+
 @pytest.mark.parametrize(("lang", "letters"), [("ru", "абвгдежзийклмнопрстуфхцчшщыьэюя"), ("el", "αβγδεζηθικλμνξοπρστυφχψω"), ("en", "abcdefghijklmnopqrstuvwxyz")])
 def test_bands_reject_what_is_unlike_the_language(spark, lang, letters):
     r = random.Random(21)
