@@ -176,6 +176,27 @@ def test_groups_over_batches():
         assert [t.num_rows for t in near_dedup._groups(iter(batches), ("a", "b"))] == [2, 1, 3, 1]
 
 
+def test_pipeline_stage_shuffles_no_unlike_pairs(spark, monkeypatch):
+    import corpus_pipeline
+
+    r = random.Random(9)
+    base = words(r, 150)
+    docs = [" ".join(edited(r, base, 7)) for _ in range(100)] + [" ".join(base)] * 2
+    df = spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string")
+    verified, pairs = near_dedup._verified, []
+
+    def counted(found, *others):
+        found = near_dedup.cut(found)
+        pairs.append(found.count())
+        return verified(found, *others)
+
+    monkeypatch.setattr(near_dedup, "_verified", counted)
+    kept = {x.doc_id for x in corpus_pipeline.dedup_documents(spark, df, "").collect()}
+    monkeypatch.undo()
+    assert sum(pairs) < len(docs) and len(kept) > 30
+    assert kept == {x.class_id for x in near_dedup.near_duplicates(df).collect()}
+
+
 def test_components(spark):
     r = random.Random(4)
     edges = [(r.randrange(60), r.randrange(60)) for _ in range(45)] + [(k, k + 1) for k in range(100, 130)]
