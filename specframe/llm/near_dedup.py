@@ -20,10 +20,11 @@ members first meet one leader each, the one they share most bands with.  A pair
 that meets is verified by exact weighted Jaccard similarity (``SIMILARITY`` or
 more) and linked, and linked documents form classes, by repeated minimum
 labels.  Then, in buckets of several classes, all members of different classes
-meet: a task has the vectors of a bucket, or of two of its ``BLOCK``s, compares
-one member with all others of a fitting total weight at once, and returns no
-more links than join its classes.  So every pair of a bucket is either in one
-class or has been verified: no link is lost, near copies never make all their
+meet: a task has the vectors of a bucket, or of two of its ``BLOCK``s, and
+returns no more links than join its classes.  A matrix product bounds from above
+what each two members share; those that the bound and their total weights leave
+are compared.  So every pair of a bucket is either in one
+class or has been bounded or verified: no link is lost, near copies never make all their
 pairs, and pairs that aren't similar never leave the task that compares them.
 
 Texts without words are equal to each other.  Rows that repeat an id are
@@ -35,7 +36,7 @@ from __future__ import annotations
 
 import os
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -52,6 +53,8 @@ _POWERS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9,
 PIECE = 3_000_000
 #: Members of a bucket, and bytes of their vectors, beyond which it is compared block by block.
 BLOCK, BLOCK_BYTES = 4000, 4_000_000
+#: Members from which on bounds come before comparisons, shingles that have a column there, pairs bounded and members compared at once.
+FEW, COLUMNS, CELLS, AT_ONCE = 24, 1024, 500_000, 64
 _CACHE: dict = {}
 
 
@@ -397,39 +400,72 @@ def join_classes(raw: list[bytes], classes: list[bytes], left: np.ndarray, right
     ``raw`` has the members' vectors, ``left`` and ``right`` their numbers.
     """
     vectors = [_vector(x) for x in raw]
-    weights = [idf.weights(*x) for x in vectors]
-    total = np.array([w.sum() for w in weights])
-    left = left[np.argsort(total[left], kind="stable")]
-    # What the left ones have, end to end in the order of their total weights; a shingle is its rank among all.
-    sizes = np.array([len(weights[k]) for k in left], dtype=np.int64)
-    known, rank = np.unique(np.concatenate([vectors[k][0] for k in left]), return_inverse=True)
-    weight = np.concatenate([weights[k] for k in left])
-    ends = np.concatenate(([0], np.cumsum(sizes)))
-    sums = total[left]
+    # What all have, end to end; a shingle is its rank among all.
+    sizes = np.array([len(s) for s, _ in vectors], dtype=np.int64)
+    starts = np.cumsum(sizes) - sizes
+    known, rank, having = np.unique(np.concatenate([s for s, _ in vectors]), return_inverse=True, return_counts=True)
+    rank, once = rank.astype(np.int32), idf.weights(known, np.ones(1, dtype=np.int64))
+    weight = once[rank] * np.concatenate([n for _, n in vectors])
+    total = np.add.reduceat(weight, starts)
     of = {c: k for k, c in enumerate(dict.fromkeys(classes))}
     own = np.array([of[c] for c in classes], dtype=np.int64)
     links = []
     dense = np.zeros(len(known))
-    for x in right.tolist():
+    step = max(1, CELLS // len(left))
+    bound = _bounds(rank, having, once, weight, starts, sizes) if len(left) >= FEW else None
+    for k in range(0, len(right), step):
+        rows = right[k : k + step]
         # Similar vectors are also similar in total weight.
-        a, b = np.searchsorted(sums, (total[x] * similarity * (1 - 1e-9), total[x] / similarity * (1 + 1e-9)), side="left")
-        if a >= b or (own[left[a:b]] == own[x]).all():
-            continue
-        at = np.minimum(np.searchsorted(known, vectors[x][0]), len(known) - 1)
-        there = known[at] == vectors[x][0]
-        dense[at[there]] = weights[x][there]
-        span = slice(ends[a], ends[b])
-        shared = np.add.reduceat(np.minimum(dense[rank[span]], weight[span]), ends[a:b] - ends[a])
-        dense[at] = 0
-        # Sums in another order may differ in the last places, so the last word is the plain function's.
-        near = left[a:b][shared >= similarity * (1 - 1e-9) * (sums[a:b] + total[x] - shared)]
-        for y in near.tolist():
-            if own[y] != own[x] and weighted_jaccard(*vectors[x], *vectors[y], idf) >= similarity:
-                links.append((x, y))
-                own[own == own[y]] = own[x]
+        most = np.minimum(total[rows, None], total[None, left])
+        if bound:
+            most = np.minimum(most, bound(rows, left))
+        may = most * (1 + similarity) >= similarity * (1 - 1e-4) * (total[rows, None] + total[None, left])
+        may &= own[rows, None] != own[None, left]
+        for r in np.flatnonzero(may.any(axis=1)).tolist():
+            x = int(rows[r])
+            at = np.flatnonzero(may[r])
+            others = left[at[np.argsort(-most[r, at], kind="stable")]]
+            entries = slice(starts[x], starts[x] + sizes[x])
+            dense[rank[entries]] = weight[entries]
+            # The likeliest first: a link may spare all others of that class.
+            while len(others := others[own[others] != own[x]]):
+                some, others = others[:AT_ONCE], others[AT_ONCE:]
+                ends = np.cumsum(sizes[some])
+                span = np.arange(ends[-1]) + np.repeat(starts[some] - (ends - sizes[some]), sizes[some])
+                shared = np.add.reduceat(np.minimum(dense[rank[span]], weight[span]), ends - sizes[some])
+                # Sums in another order may differ in the last places, so the last word is the plain function's.
+                for y in some[shared >= similarity * (1 - 1e-9) * (total[some] + total[x] - shared)].tolist():
+                    if own[y] != own[x] and weighted_jaccard(*vectors[x], *vectors[y], idf) >= similarity:
+                        links.append((x, y))
+                        own[own == own[y]] = own[x]
+            dense[rank[entries]] = 0
     return links
 
 
+def _bounds(rank: np.ndarray, having: np.ndarray, once: np.ndarray, weight: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> Callable[[np.ndarray, np.ndarray], np.ndarray]:
+    """A function of two lists of members: at most how much weight each two of them share.
+
+    The shingles that most members have are columns of a matrix, and its
+    product with itself is what two members share of these, once each.  Of the
+    rest (rarer ones that others have too, and repeats) two share no more than
+    the one with less of it has.
+    """
+    columns = np.flatnonzero(having > 1)
+    if len(columns) > COLUMNS:
+        columns = columns[np.argpartition(having[columns], -COLUMNS)[-COLUMNS:]]
+    column = np.full(len(having), -1, dtype=np.int32)
+    column[columns] = np.arange(len(columns))
+    at = column[rank]
+    inside = np.flatnonzero(at >= 0)
+    rest = np.where(having[rank] > 1, weight, 0)
+    rest[inside] -= once[rank[inside]]
+    rest = np.add.reduceat(rest, starts)
+    root = np.zeros((len(sizes), len(columns)), dtype=np.float32)
+    root[np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)[inside], at[inside]] = np.sqrt(once)[rank[inside]]
+    # What is rounded off is less than the ten thousandth that the comparison allows.
+    return lambda a, b: root[a] @ root[b].T + np.minimum(rest[a, None], rest[None, b])
+
+
 def _joined(meetings: DataFrame, sketch: str, similarity: float) -> DataFrame:
     """a, b: the links that join the classes of those who meet."""
 

@@ -168,6 +168,56 @@ def test_links_join_what_is_similar(r, n, crossed):
     assert set(links) <= similar and len(links) < n and joined(links) == joined(similar)
 
 
+def vectors_of(lists):
+    sets, raw = near_dedup.shingles(lists), []
+    for s, count in sets:
+        many = np.flatnonzero(count > 1).astype("<u4")
+        raw.append(b"".join((np.uint32(len(s)).tobytes(), s.astype("<u4").tobytes(), many.tobytes(), count[many].astype("<u4").tobytes())))
+    return sets, raw
+
+
+@pytest.mark.parametrize(("few", "columns", "cells"), [(2, 1024, 500_000), (2, 7, 40), (2, 150, 1), (1000, 1024, 500_000)])
+def test_bounds_lose_no_link(monkeypatch, few, columns, cells):
+    r = random.Random(12)
+    for k, v in (("FEW", few), ("COLUMNS", columns), ("CELLS", cells), ("AT_ONCE", 3)):
+        monkeypatch.setattr(near_dedup, k, v)
+    idf = near_dedup.Idf(np.random.default_rng(2).integers(0, 50, near_dedup.SKETCH), 50)
+    base = [words(r, 120), words(r, 25) * 6, words(r, 3)]
+    sets, raw = vectors_of([edited(r, r.choice(base), r.choice((0, 1, 2, 3, 4, 6))) for _ in range(90)])
+    similar = [(a, b) for a in range(90) for b in range(a) if near_dedup.weighted_jaccard(*sets[a], *sets[b], idf) >= 0.8]
+    for left, right in ((range(90), range(90)), (range(40), range(40, 90))):
+        own = list(range(90))
+        for a, b in similar:
+            if a in right and b in left:
+                own = [own[a] if c == own[b] else c for c in own]
+        got = list(range(90))
+        for a, b in near_dedup.join_classes(raw, [bytes([k]) for k in range(90)], np.array(left), np.array(right), idf, 0.8):
+            got = [got[a] if c == got[b] else c for c in got]
+        assert 10 < len(set(own)) < 80 and [[a == b for a in own] for b in own] == [[a == b for a in got] for b in got]
+
+
+def test_unlike_members_are_not_compared_shingle_by_shingle(monkeypatch):
+    """A family of variants of one document, as it grows with the corpus: pairs that can't be similar cost a few numbers, not their vectors."""
+    r = random.Random(13)
+    base = words(r, 200)
+    sets, raw = vectors_of([edited(r, base, 8) for _ in range(300)])
+    idf = near_dedup.Idf(np.zeros(near_dedup.SKETCH), 1000)
+    compared = []
+
+    class Counting:
+        def __getattr__(self, name):
+            return getattr(np, name)
+
+        def minimum(self, a, b):
+            compared.append(np.minimum(a, b).size)
+            return np.minimum(a, b)
+
+    monkeypatch.setattr(near_dedup, "np", Counting())
+    links = near_dedup.join_classes(raw, [k.to_bytes(2, "big") for k in range(300)], np.arange(300), np.arange(300), idf, 0.8)
+    monkeypatch.undo()
+    assert len(links) < 200 and sum(compared) < 10 * 300 * 300 < 0.1 * 300 * 300 * len(sets[0][0])
+
+
 def test_groups_over_batches():
     rows = [(1, 1), (1, 1), (1, 2), (2, 2), (2, 2), (2, 2), (3, 0)]
     for cuts in ([], [2], [1, 4, 5], [0, 3, 3, 6]):
