@@ -66,3 +66,21 @@ def _sums(rows, decimals):
         k = s, None if mz is None else round(mz, decimals)
         out[k] = out.get(k, 0.0) + (i or 0.0)
     return out
+
+
+@pytest.mark.parametrize("k", [1, 4, 40])
+def test_nearest_vectors_by_blocks(spark, monkeypatch, k):
+    """As all pairs ranked: ties, zeros, nulls, other lengths, what isn't a number; only k of a block and query leave the task."""
+    monkeypatch.setattr(similarity, "VECTORS", 9)
+    monkeypatch.setattr(similarity, "QUERIES", 4)
+    r = random.Random(5)
+    rows = [(n, [float(r.randrange(-2, 3)) for _ in range(3)]) for n in range(50)] + [(60, [1.0, 2.0]), (61, [0.0] * 3), (62, None), (63, [1.0, None, 2.0]), (64, []), (65, [math.nan, 1.0, 1.0]), (66, [math.inf, 1.0, 1.0]), (None, [1.0, 1.0, 1.0])]
+    v = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
+    q = v.where("vec_id % 5 = 0 OR vec_id > 59")
+    every = sorted((tuple(x) for x in similarity.array_cosine(v, q).collect()), key=lambda x: (x[1], not math.isnan(x[2]), -round(x[2], 6) if not math.isnan(x[2]) else 0, -1 if x[0] is None else x[0]))
+    ranked = {}
+    for a, b, c in every:
+        ranked.setdefault(b, []).append((a, b, str(round(c, 6) + 0.0)))
+    got = similarity.top_cosines(v, q, k)
+    assert sorted(map(str, ((a, b, str(c)) for a, b, c in map(tuple, got.collect())))) == sorted(map(str, (x for own in ranked.values() for x in own[:k])))
+    assert "Join" not in plan(got)
