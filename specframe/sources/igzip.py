@@ -9,14 +9,18 @@ filled with 1, padding is 0xAC.  Offsets point behind the block's header.
 from __future__ import annotations
 
 import os
+import shutil
 import struct
 import time
+import uuid
 import zlib
 from collections.abc import Iterable, Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+from specframe.session import importable
+
 MAGIC, VERSION, PAD, UNUSED, WIDTH = b"FU", 1, b"\xac", b"\x01", 8
 FCOMMENT = 16
 
@@ -151,12 +155,85 @@ def index_mzml(source: str, target: str, encoding: str = "latin-1") -> int:
 
 
 def write(blocks: DataFrame, path: str, most: int | None = None) -> int:
-    """Write (id, block) to one file, row after row on the driver, since a file has one index; how many there are."""
-    n = blocks.count() if most is None else most
-    with IgzipWriter(path, n) as out:
-        for row in blocks.select("id", "block").toLocalIterator():
-            if not out.add(row["block"], row["id"]):
-                raise ValueError(f"more than {n} blocks")
+    """Write (id, block) to one file in a shared folder, partition after partition; how many there are.
+
+    The index has as many slots as there are blocks, or ``most``.  Each task packs its blocks into a part beside the file.  Sizes and widths of
+    the parts give each one's place, so tasks put their blocks and slots there.
+    """
+    import pyarrow as pa
+    from pyspark import TaskContext
+
+    spark = blocks.sparkSession
+    folder = f"{path}.{uuid.uuid4().hex}"
+    os.makedirs(folder)
+    header = b"\x1f\x8b\x08%c" + struct.pack("<I", int(time.time()) & 0xFFFFFFFF) + b"\x00\xff"
+    plain = header % 0
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        task = TaskContext.get()
+        own = os.path.join(folder, f"{task.partitionId()}-{task.taskAttemptId()}")
+        n, at, width = 0, 0, 0
+        with open(own, "wb") as out, open(f"{own}.index", "wb") as index:
+            for batch in batches:
+                for id_, block in zip(*batch.columns):
+                    name, data = str(id_.as_py()).encode("latin-1"), block.as_py()
+                    data = data.encode("latin-1") if isinstance(data, str) else data
+                    packer = zlib.compressobj(6, zlib.DEFLATED, -zlib.MAX_WBITS)
+                    member = plain + packer.compress(data) + packer.flush() + struct.pack("<II", zlib.crc32(data), len(data) & 0xFFFFFFFF)
+                    out.write(member)
+                    index.write(struct.pack("<HQ", len(name), at + len(plain)) + name)
+                    n, at, width = n + 1, at + len(member), max(width, len(name))
+        yield pa.RecordBatch.from_pydict({"part": pa.array([task.partitionId()], pa.int64()), "own": [own], "n": pa.array([n], pa.int64()), "size": pa.array([at], pa.int64()), "width": pa.array([width], pa.int64())})
+
+    importable(spark)
+    parts = sorted(r for r in blocks.select("id", "block").mapInArrow(pack, "part long, own string, n long, size long, width long").collect() if r.n)
+    n = sum(r.n for r in parts)
+    free = 0 if most is None else most - n
+    if free < 0:
+        raise ValueError(f"more than {most} blocks")
+    id_width = max([WIDTH, *(r.width for r in parts)])
+    if id_width > 255:
+        raise ValueError(f"an id of {id_width} bytes in slots of 255")
+    # The first member has the index in its header, so its own header is left out.
+    slots = len(plain) + len(MAGIC) + 3
+    total = sum(r.size for r in parts)
+    offset_width = WIDTH
+    while len(str(slots + (n + free) * (id_width + offset_width) + 1 + total)) > offset_width:
+        offset_width += 1
+    slot = id_width + offset_width
+    first = slots + (n + free) * slot + 1
+    if not n:
+        with IgzipWriter(path, max(1, free)):
+            return 0
+    own = f"{path}.{os.getpid()}"
+    with open(own, "wb") as out:
+        out.write(header % FCOMMENT + MAGIC + bytes([VERSION, id_width, offset_width]))
+        out.seek(slots + n * slot)
+        out.write(UNUSED * (free * slot))
+        out.truncate(first + total - len(plain))
+    places, k, at = [], 0, first - len(plain)
+    for r in parts:
+        places.append((r.own, slots + k * slot, at))
+        k, at = k + r.n, at + r.size
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for which in batch.column(0).to_pylist():
+                part, index_at, data_at = places[which]
+                with open(own, "r+b") as out, open(part, "rb") as data, open(f"{part}.index", "rb") as index:
+                    out.seek(index_at)
+                    while head := index.read(10):
+                        length, offset = struct.unpack("<HQ", head)
+                        out.write(index.read(length).rjust(id_width, PAD) + str(data_at + offset).encode().rjust(offset_width, PAD))
+                    skip = 0 if which else len(plain)
+                    data.seek(skip)
+                    out.seek(data_at + skip)
+                    shutil.copyfileobj(data, out, 1 << 20)
+                yield pa.RecordBatch.from_pydict({"n": pa.array([1], pa.int64())})
+
+    spark.range(0, len(places), 1, len(places)).mapInArrow(place, "n long").count()
+    shutil.rmtree(folder)
+    os.replace(own, path)
     return n
 
 
@@ -199,7 +276,7 @@ class _Reader(DataSourceReader):
         for path in self.paths:
             blocks = [b for b in read_index(path).items() if wanted is None or b[0] in wanted]
             out += [_Blocks(path, blocks[k : k + self.size]) for k in range(0, len(blocks), self.size)]
-        return out
+        return out or [_Blocks("", [])]
 
     def read(self, partition: _Blocks) -> Iterator[tuple]:
         for id_, offset in partition.blocks:
@@ -222,8 +299,6 @@ class IgzipSource(DataSource):
 
 def read_igzip(spark: SparkSession, path: str, ids: list[str] | None = None) -> DataFrame:
     """Blocks (path, id, offset, text) of files (separated by commas): all, or those of some ids."""
-    from specframe.session import importable
-
     importable(spark)
     spark.dataSource.register(IgzipSource)
     reader = spark.read.format("igzip")

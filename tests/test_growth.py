@@ -1,12 +1,15 @@
 """What moves between tasks and to the driver, and the same results however the work is cut."""
 
+import gzip
 import math
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from specframe.operators import similarity
+from specframe.sources import igzip
 
 
 def plan(df):
@@ -84,3 +87,27 @@ def test_nearest_vectors_by_blocks(spark, monkeypatch, k):
     got = similarity.top_cosines(v, q, k)
     assert sorted(map(str, ((a, b, str(c)) for a, b, c in map(tuple, got.collect())))) == sorted(map(str, (x for own in ranked.values() for x in own[:k])))
     assert "Join" not in plan(got)
+
+
+def test_long_indexed_gzip(spark, tmp_path):
+    """Tasks write their own blocks of the one file; offsets beyond 99,999,999 have their place."""
+
+    def noise(batches):
+        for batch in batches:
+            for k in batch.column(0).to_pylist():
+                yield pa.RecordBatch.from_pydict({"id": [f"id-{k:09d}"], "block": [np.random.default_rng(k).bytes(1 << 21).decode("latin-1")]})
+
+    path = str(tmp_path / "long.gz")
+    n = igzip.write(spark.range(0, 56, 1, 4).mapInArrow(noise, "id string, block string"), path)
+    index = igzip.read_index(path)
+    assert n == 56 and list(index) == [f"id-{k:09d}" for k in range(56)] and max(index.values()) > 99_999_999
+    assert all(igzip.read_block(path, index[f"id-{k:09d}"]) == np.random.default_rng(k).bytes(1 << 21) for k in (0, 1, 30, 55))
+    assert [p.name for p in tmp_path.iterdir()] == ["long.gz"]
+    small = spark.createDataFrame([(k, f"block {k}\n") for k in range(10)], "id long, block string").repartition(3)
+    assert igzip.write(small, path, most=12) == 10
+    whole = gzip.open(path, "rt").read()
+    assert sorted(whole.split("\n")[:-1]) == sorted(f"block {k}" for k in range(10))
+    assert sorted((r.id, r.text) for r in igzip.read_igzip(spark, path).collect()) == [(str(k), f"block {k}\n") for k in range(10)]
+    with pytest.raises(ValueError, match="more than 9"):
+        igzip.write(small, path, most=9)
+    assert igzip.write(small.limit(0), path) == 0 and igzip.read_igzip(spark, path).count() == 0 and gzip.open(path).read() == b""
