@@ -9,7 +9,7 @@ import pyarrow as pa
 import pytest
 
 from specframe.operators import similarity
-from specframe.sources import igzip
+from specframe.sources import codec, igzip
 
 
 def plan(df):
@@ -111,3 +111,28 @@ def test_long_indexed_gzip(spark, tmp_path):
     with pytest.raises(ValueError, match="more than 9"):
         igzip.write(small, path, most=9)
     assert igzip.write(small.limit(0), path) == 0 and igzip.read_igzip(spark, path).count() == 0 and gzip.open(path).read() == b""
+
+
+@pytest.mark.parametrize("kinds", [["MS:1000523", codec.ZLIB], [codec.PIC]])
+def test_arrays_are_coded_one_by_one(kinds):
+    """No number of a batch becomes a Python object that is kept, so memory is the arrays' own."""
+    import tracemalloc
+
+    v = pa.array([np.arange(1000.0) + k for k in range(300)] + [None, []], pa.list_(pa.float64()))
+    tracemalloc.start()
+    coded = codec.encode_all(v, kinds)
+    back = codec.decode_all(coded, pa.array([kinds] * len(v)))
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert back.to_pylist() == [x or [] for x in v.to_pylist()] and coded[300].as_py() is None
+    assert most < 3 * v.nbytes
+
+
+def test_pic_of_all_kinds_of_integers():
+    r = random.Random(2)
+    for _ in range(300):
+        xs = [float(r.choice([0, 15, 16, -1, -16, -17, 2**31 - 1, -(2**31), r.randrange(-(2**31), 2**31), r.randrange(300)])) for _ in range(r.randrange(9))]
+        assert codec.encode_pic(xs) == codec._pack([h for x in xs for h in codec.encode_int(int(x + 0.5))])
+    for bad in (2.0**31, math.nan, math.inf):
+        with pytest.raises(ValueError):
+            codec.encode_pic([bad])
