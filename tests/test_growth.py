@@ -8,6 +8,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
+from specframe.operators import peaks as pk
 from specframe.operators import similarity
 from specframe.sources import codec, igzip
 
@@ -136,3 +137,27 @@ def test_pic_of_all_kinds_of_integers():
     for bad in (2.0**31, math.nan, math.inf):
         with pytest.raises(ValueError):
             codec.encode_pic([bad])
+
+
+@pytest.mark.parametrize("most", [1, 40, 1 << 20])
+def test_grid_points_stay_in_their_task(spark, monkeypatch, most):
+    """Dense and far peaks, nulls in keys and intensities, cut anywhere: the sums by grid number, and only peaks are shuffled."""
+    monkeypatch.setattr(pk, "POINTS", most)
+    r = random.Random(8)
+    rows = [(r.choice(["a", "b", None]), r.choice([1.0, math.nan]), r.choice([r.uniform(50, 50.3), r.uniform(900, 901), 0.0]), r.choice([None, 1.0, r.uniform(0, 9)])) for _ in range(200)] + [("c", 1.0, None, 1.0), ("d", 1.0, 70.0, None)]
+    t = spark.createDataFrame(rows, "run string, scan double, mz double, i double").repartition(3)
+    expected = {}
+    for run, scan, mz, i in rows:
+        if mz is not None:
+            s = mz * 4e-5
+            for k in range(math.floor((mz - 5 * s) * 625) - 1, math.ceil((mz + 5 * s) * 625) + 1):
+                if k % 5 == 0 and round((mz - 5 * s) * 625) <= k <= round((mz + 5 * s) * 625):
+                    own = expected.setdefault((run, str(scan), k), [])
+                    own += [] if i is None else [i * math.exp(-((mz - k / 625) ** 2) / (2 * s * s)) if s else math.nan]
+    got = pk.reprofile(t, 20e-6, ("run", "scan"))
+    text = plan(got)
+    found = {(x.run, str(x.scan), x.k): x.i for x in got.collect()}
+    assert got.count() == len(found) and found.keys() == expected.keys()
+    for key, i in found.items():
+        assert i is None if not expected[key] else math.isnan(i) if math.isnan(sum(expected[key])) else math.isclose(i, sum(expected[key]), rel_tol=1e-12)
+    assert text.count("Exchange hashpartitioning") == 1 and text.index("MapInArrow") < text.index("Exchange hashpartitioning") and "Aggregate" not in text
