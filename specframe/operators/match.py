@@ -58,18 +58,23 @@ def has_overlapping_peak(peaks: DataFrame, targets: DataFrame, precision: float,
     return found.select(*keys, "target", (F.col("n") > 1).alias("overlaps"))
 
 
+def _new_bins(peaks: DataFrame, precision: float, keys: Sequence[str]) -> DataFrame:
+    """Peaks by ascending window, and the first of their bins that no window before reaches (beyond ``high`` if there is none)."""
+    w = Window.partitionBy(*keys).orderBy("low", "high")
+    before = F.max("high").over(w.rowsBetween(Window.unboundedPreceding, -1))
+    return with_window(peaks, precision).select(*keys, "low", "high", F.greatest(F.col("low"), F.coalesce(before + 1, F.col("low"))).alias("new"))
+
+
 def bin_set(peaks: DataFrame, precision: float, keys: Sequence[str] = KEYS) -> DataFrame:
-    """keys…, bin: all bins that a spectrum's peaks occupy."""
-    w = with_window(peaks, precision)
-    return w.select(*keys, F.explode(F.sequence("low", "high")).alias("bin")).distinct()
+    """keys…, bin: all bins that a spectrum's peaks occupy, each listed by the first window that has it, so that none is shuffled."""
+    own = _new_bins(peaks, precision, keys).where("new <= high")
+    return own.select(*keys, F.explode(F.sequence("new", "high")).alias("bin"))
 
 
 def bin_set_size(peaks: DataFrame, precision: float, keys: Sequence[str] = KEYS) -> DataFrame:
-    """keys…, n_bins: the size of the bin set, by merging windows instead of listing their bins."""
-    w = Window.partitionBy(*keys).orderBy("low", "high")
-    before = F.max("high").over(w.rowsBetween(Window.unboundedPreceding, -1))
-    new = F.greatest(F.lit(0), F.col("high") - F.greatest(F.col("low"), F.coalesce(before + 1, F.col("low"))) + 1)
-    return with_window(peaks, precision).withColumn("new", new).groupBy(*keys).agg(F.sum("new").alias("n_bins"))
+    """keys…, n_bins: the size of the bin set, without listing the bins."""
+    own = _new_bins(peaks, precision, keys)
+    return own.groupBy(*keys).agg(F.sum(F.greatest(F.lit(0), F.col("high") - F.col("new") + 1)).alias("n_bins"))
 
 
 def spectra_with(peaks: DataFrame, targets: DataFrame, precision: float, keys: Sequence[str] = KEYS) -> DataFrame:

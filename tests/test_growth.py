@@ -9,7 +9,7 @@ import pyarrow as pa
 import pytest
 
 from specframe.operators import peaks as pk
-from specframe.operators import similarity
+from specframe.operators import match, similarity
 from specframe.sources import codec, igzip
 
 
@@ -161,3 +161,15 @@ def test_grid_points_stay_in_their_task(spark, monkeypatch, most):
     for key, i in found.items():
         assert i is None if not expected[key] else math.isnan(i) if math.isnan(sum(expected[key])) else math.isclose(i, sum(expected[key]), rel_tol=1e-12)
     assert text.count("Exchange hashpartitioning") == 1 and text.index("MapInArrow") < text.index("Exchange hashpartitioning") and "Aggregate" not in text
+
+
+def test_bins_stay_in_their_task(spark):
+    """Overlapping, equal and nested windows, and a null: each bin once, and peaks are all that is shuffled."""
+    r = random.Random(6)
+    rows = [(k % 3, r.choice([r.uniform(99, 99.02), r.uniform(5, 900), 50.0])) for k in range(300)] + [(5, None), (None, 50.0)]
+    t = spark.createDataFrame(rows, "spec_id long, mz double").repartition(3)
+    expected = sorted({(s, b) for s, m in rows if m is not None for b in range(round((m - m * 20e-6) * 2500), round((m + m * 20e-6) * 2500) + 1)}, key=str)
+    got = match.bin_set(t, 20e-6)
+    text = plan(got)
+    assert "Aggregate" not in text and text.count("Exchange hashpartitioning") == 1
+    assert sorted(((x.spec_id, x.bin) for x in got.collect()), key=str) == expected
