@@ -15,18 +15,21 @@ def ladders(mz: np.ndarray, i: np.ndarray, precision: float, most: int = 8) -> l
 
     Peaks are taken from the lowest m/z on; of all charges the one with the
     longest ladder counts, the lower one among equals.  Lone peaks are left out.
+    All second steps are looked up at once; where nothing is near, no ladder begins.
     """
     order = np.argsort(mz, kind="stable")
     mz, i = mz[order], i[order]
     used = np.zeros(len(mz), dtype=bool)
     out = []
-    for k in range(len(mz)):
+    second = mz[:, None] + PROTON / np.arange(1, most + 1)
+    begins = np.searchsorted(mz, second - second * precision) < np.searchsorted(mz, second + second * precision)
+    for k in np.flatnonzero(begins.any(axis=1)):
         if used[k]:
             continue
         best: list[int] = []
         charge = 0
-        for z in range(1, most + 1):
-            chain = [k]
+        for z in (np.flatnonzero(begins[k]) + 1).tolist():
+            chain = [int(k)]
             while True:
                 want = mz[k] + len(chain) * PROTON / z
                 a, b = np.searchsorted(mz, [want - want * precision, want + want * precision])

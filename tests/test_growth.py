@@ -173,3 +173,46 @@ def test_bins_stay_in_their_task(spark):
     text = plan(got)
     assert "Aggregate" not in text and text.count("Exchange hashpartitioning") == 1
     assert sorted(((x.spec_id, x.bin) for x in got.collect()), key=str) == expected
+
+
+def test_ladders_begin_only_where_a_peak_is_near(monkeypatch):
+    """As step by step for each peak and charge, with far fewer look-ups."""
+    import types
+
+    from specframe.operators import deconvolute
+
+    calls = []
+    real = np.searchsorted
+    counting = types.SimpleNamespace(**{x: getattr(np, x) for x in dir(np) if not x.startswith("_")})
+    counting.searchsorted = lambda *a, **k: calls.append(1) or real(*a, **k)
+    monkeypatch.setattr(deconvolute, "np", counting)
+    r = np.random.default_rng(3)
+    for n, span in ((600, 1000), (60, 4), (0, 1), (1, 1)):
+        mz = np.concatenate((r.uniform(50, 50 + span, n), *(m + np.arange(4) * deconvolute.PROTON / z for m, z in zip(r.uniform(50, 50 + span, n // 20), r.integers(1, 9, n // 20)))))
+        i = r.uniform(1, 9, len(mz)).round(1)
+        calls.clear()
+        got = deconvolute.ladders(mz, i, 20e-6)
+        assert len(calls) <= 2 + 8 * len(mz) / (4 if span > 4 else 1)
+        assert got == _ladders(mz, i, 20e-6)
+
+
+def _ladders(mz, i, precision, most=8, proton=1.00727646677):
+    order = np.argsort(mz, kind="stable")
+    mz, i = mz[order], i[order]
+    used, out = set(), []
+    for k in range(len(mz)):
+        best, charge = [], 0
+        for z in range(1, most + 1) if k not in used else ():
+            chain = [k]
+            while True:
+                want = mz[k] + len(chain) * proton / z
+                near = [j for j in np.flatnonzero((mz >= want - want * precision) & (mz < want + want * precision)).tolist() if j not in used and i[j] <= i[chain[-1]] and j not in chain]
+                if not near:
+                    break
+                chain.append(min(near, key=lambda j: abs(mz[j] - want)))
+            if len(chain) > max(1, len(best)):
+                best, charge = chain, z
+        if best:
+            used.update(best)
+            out.append(((mz[k] - proton) * charge, float(i[best].sum()), charge))
+    return out
