@@ -10,7 +10,7 @@ import pytest
 
 from specframe.operators import peaks as pk
 from specframe.operators import match, similarity
-from specframe.sources import codec, igzip
+from specframe.sources import codec, igzip, mzml
 
 
 def plan(df):
@@ -216,3 +216,25 @@ def _ladders(mz, i, precision, most=8, proton=1.00727646677):
             used.update(best)
             out.append(((mz[k] - proton) * charge, float(i[best].sum()), charge))
     return out
+
+
+@pytest.mark.parametrize("suffix", ["mzML", "mzML.gz"])
+@pytest.mark.parametrize("n_files", [1, 3])
+def test_few_files_of_many_tasks(spark, tmp_path, suffix, n_files):
+    """So many whole files with all elements, though no task reads all of them."""
+    spark.sparkContext.setJobGroup("few files", "")
+    df = spark.createDataFrame([(k, [100.0 + k], [1.0]) for k in range(40)], "n long, mz array<double>, i array<double>").repartition(4)
+    folder = mzml.write(mzml.spectrum_elements(df, "n", ["MS:1000523"]), str(tmp_path), suffix, files=n_files, run="r")
+    stages = [s for j in spark.sparkContext.statusTracker().getJobIdsForGroup("few files") for s in spark.sparkContext.statusTracker().getJobInfo(j).stageIds]
+    tasks = [i.numTasks for s in stages if (i := spark.sparkContext.statusTracker().getStageInfo(s))]
+    spark.sparkContext._jsc.clearJobGroup()
+    assert sum(n >= 4 for n in tasks) >= 3  # shuffled, written, and put into place by four tasks
+    assert sorted(p.name for p in tmp_path.iterdir()) == [f"part-{k:05d}.{suffix}" for k in range(n_files)]
+    assert mzml.spectra(spark, folder).select("native_id").orderBy("native_id").collect() == [(k,) for k in range(40)]
+    heads = mzml.headers(spark, folder).collect()
+    assert len(heads) == n_files and sum(h.spectrum_count for h in heads) == 40 and max(h.spectrum_count for h in heads) < 40 / n_files + 4
+    text = gzip.open if suffix.endswith("gz") else open
+    assert all(text(p, "rb").read().endswith(b"</spectrum>\n</spectrumList></run></mzML>\n") for p in tmp_path.iterdir())
+    (tmp_path / "none").mkdir()
+    mzml.write(spark.createDataFrame([], "element string"), str(tmp_path / "none"), suffix, files=1)
+    assert mzml.headers(spark, str(tmp_path / "none")).first().spectrum_count == 0
