@@ -7,7 +7,9 @@ rows can be passed to ``mzml.spectra_from_xml``.
 from __future__ import annotations
 
 import os
+import shutil
 import sqlite3
+import uuid
 from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
@@ -17,17 +19,54 @@ from specframe.session import importable
 
 
 def write(elements: DataFrame, path: str, table: str = "Spectra") -> int:
-    """Write (id, element) to one file, row after row on the driver, since SQLite has one writer; how many there are."""
+    """Write (id, element) to one file in a shared folder; how many there are.
+
+    SQLite has one writer, so each task fills a file of its own beside it, and
+    SQLite copies these into the one file: no element comes to the driver as a row.
+    """
+    import pyarrow as pa
+    from pyspark import TaskContext
+
+    folder = f"{path}.{uuid.uuid4().hex}"
+    os.makedirs(folder)
+    create = f'CREATE TABLE "{table}" (ID INTEGER PRIMARY KEY, xml TEXT)'
+
+    def opened(file: str) -> sqlite3.Connection:
+        """A new file, which gets its name when it is whole, so a journal would be of no use."""
+        con = sqlite3.connect(file, isolation_level=None)
+        con.execute("PRAGMA journal_mode = OFF")
+        con.execute("PRAGMA synchronous = OFF")
+        return con
+
+    def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        task = TaskContext.get()
+        own = os.path.join(folder, f"{task.partitionId()}-{task.taskAttemptId()}.db")
+        con, n = opened(own), 0
+        con.execute(create)
+        con.execute("BEGIN")
+        for batch in batches:
+            con.executemany(f'INSERT INTO "{table}" VALUES (?, ?)', ((i.as_py(), e.as_py()) for i, e in zip(*batch.columns)))
+            n += batch.num_rows
+        con.execute("COMMIT")
+        con.close()
+        yield pa.RecordBatch.from_pydict({"part": pa.array([task.partitionId()], pa.int64()), "own": [own], "n": pa.array([n], pa.int64())})
+
+    importable(elements.sparkSession)
+    parts = sorted(elements.select("id", "element").mapInArrow(fill, "part long, own string, n long").collect())
     own = f"{path}.{os.getpid()}"
-    n = 0
-    with sqlite3.connect(own) as con:
-        con.execute(f'CREATE TABLE "{table}" (ID INTEGER PRIMARY KEY, xml TEXT)')
-        for row in elements.select("id", "element").toLocalIterator():
-            con.execute(f'INSERT INTO "{table}" VALUES (?, ?)', (row["id"], row["element"]))
-            n += 1
+    if os.path.exists(own):
+        os.remove(own)
+    con = opened(own)
+    con.execute(create)
+    for r in parts:
+        con.execute("ATTACH ? AS part", (r.own,))
+        con.execute(f'INSERT INTO main."{table}" SELECT ID, xml FROM part."{table}" ORDER BY ID')
+        con.execute("DETACH part")
+        os.remove(r.own)
     con.close()
+    shutil.rmtree(folder)
     os.replace(own, path)
-    return n
+    return sum(r.n for r in parts)
 
 
 class _Range(InputPartition):

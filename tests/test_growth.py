@@ -10,7 +10,7 @@ import pytest
 
 from specframe.operators import peaks as pk
 from specframe.operators import match, similarity
-from specframe.sources import codec, igzip, mzml
+from specframe.sources import codec, igzip, mzml, sqlite
 
 
 def plan(df):
@@ -238,3 +238,15 @@ def test_few_files_of_many_tasks(spark, tmp_path, suffix, n_files):
     (tmp_path / "none").mkdir()
     mzml.write(spark.createDataFrame([], "element string"), str(tmp_path / "none"), suffix, files=1)
     assert mzml.headers(spark, str(tmp_path / "none")).first().spectrum_count == 0
+
+
+def test_sqlite_is_filled_by_tasks(spark, tmp_path, monkeypatch):
+    """No row comes to the driver, and an id that comes twice is an error."""
+    monkeypatch.setattr(type(spark.range(1)), "toLocalIterator", None)
+    path = str(tmp_path / "store.db")
+    df = spark.createDataFrame([(k * 7 % 50, f"<spectrum n='{k}'/>") for k in range(50)], "id long, element string").repartition(4)
+    assert sqlite.write(df, path) == 50
+    assert sorted(tuple(r) for r in sqlite.read(spark, path).collect()) == sorted((k * 7 % 50, f"<spectrum n='{k}'/>") for k in range(50))
+    assert [p.name for p in tmp_path.iterdir()] == ["store.db"]
+    with pytest.raises(Exception, match="UNIQUE"):
+        sqlite.write(df.unionByName(df), str(tmp_path / "twice.db"))
